@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, media, packing, sharding, url_filter, warc
+from factorloom.llm import bpe, media, packing, quality, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
+        "op2_quality_rules": quality.op2_quality_rules,
         "op3_media_containers": media.op3_media_containers,
         "op4_lexical_packing": packing.op4_lexical_packing,
         "op5_warc_seekable_bundles": warc.op5_warc_seekable_bundles,
         "op6_stratified_sharding": sharding.op6_stratified_sharding,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_url_filters": url_filter.op10_url_filters,
     }
 
