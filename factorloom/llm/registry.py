@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, media, packing, quality, sharding, similarity, toxicity, url_filter, warc
+from factorloom.llm import bpe, media, packing, quality, sharding, similarity, substring, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc_seekable_bundles": warc.op5_warc_seekable_bundles,
         "op6_stratified_sharding": sharding.op6_stratified_sharding,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_substring_dedup": substring.op8_substring_dedup,
         "op9_ngram_jaccard_join": similarity.op9_ngram_jaccard_join,
         "op10_url_filters": url_filter.op10_url_filters,
     }

@@ -336,5 +336,12 @@ def similarity_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -
     return classed.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, without those whose component has a lesser
+    doc_id; rows without doc_id stay."""
+    others = similarity_components(docs, k, percent).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))

@@ -167,6 +167,20 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
 
 
+def keep_ordinary(docs: DataFrame, model: ToxicityModel, toxic_from: float = TOXIC_FROM) -> DataFrame:
+    """The rows of docs, with all their columns, that score below ``toxic_from``."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = sent.value.meter()
+        for b in batches:
+            x = np.array([meter.features(t) for t in as_bytes(b["text"])], float).reshape(-1, len(_MONOTONE))
+            yield b.filter(pa.array(sent.value.trees.predict(x) < toxic_from))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out() -> Column:
     """Whether labels of a doc_id are kept from learning."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
