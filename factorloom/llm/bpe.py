@@ -1,12 +1,17 @@
 """BPE encoding through a table of distinct words, and decoding through a join with the pieces.
 
-Encoding is one pass over the texts and two shuffles of packed rows:
+Encoding shuffles packed rows only:
 
-1. each task cuts its texts into words, block by block; a block sends its coded texts to
-   itself and its distinct words, packed, to buckets by the word's hash;
+1. each task cuts its texts into words, block by block; a block sends its distinct words,
+   packed, to buckets by the word's hash;
 2. a bucket puts the words of all blocks into one table, encodes each distinct word once and
    sends every block the ids of its words;
-3. a block joins the ids back by position.
+3. a second scan sends the coded texts of each block, and the block joins the ids back by
+   position. Coding twice costs less than carrying the coded texts through both shuffles.
+
+A block is named by a digest of its coded texts. An input whose rows arrive in another order
+in the second scan (one that is neither a table nor checkpointed) is an error, never a wrong
+result.
 
 A hot word is one entry of each block, however often it occurs, so no task gets more than
 its share. Decoding joins ids with the table of pieces (its size is the vocabulary's).
@@ -19,6 +24,7 @@ columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -31,7 +37,7 @@ from factorloom.llm import tokens
 from factorloom.llm.common import n_buckets, pack, small_batches, unpack
 
 #: Characters of text in a block.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 16 << 20
 #: Words of a block that are expanded to ids at once.
 STEP = 1 << 19
 _ROW = "key long, block long, bucket int, payload binary"
@@ -47,8 +53,8 @@ def _word_array(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _block_rows(ids: list, texts: list[str], buckets: int) -> pa.RecordBatch:
-    """One row with the coded texts of a block, and a row for each bucket with its words."""
+def _block_rows(ids: list, texts: list[str], buckets: int, with_words: bool) -> pa.RecordBatch:
+    """A row for each bucket with the words of a block, or one row with its coded texts."""
     words, codes, counts = tokens.code_texts(texts)
     rank = np.empty(len(words), np.int64)
     rank[np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")] = np.arange(len(words))
@@ -59,12 +65,12 @@ def _block_rows(ids: list, texts: list[str], buckets: int) -> pa.RecordBatch:
     known = np.array([x is not None for x in ids])
     docs = pack(known, np.array([x or 0 for x in ids], np.int64), counts, bucket, *planes)
     block = xxhash.xxh64_intdigest(docs) >> 1
-    rows = [(block, block, -1, docs)]
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
-    for b, (start, end) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+    ends = np.searchsorted(bucket[order], np.arange(buckets), "right") if with_words else []
+    rows = [] if with_words and len(words) else [(block, block, -1, docs)]
+    for b, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ()):
         if start < end:
-            rows.append((-1 - b, block, b, pack(*_join_words([words[i] for i in order[start:end]]))))
+            rows.append((b, block, b, pack(*_join_words([words[i] for i in order[start:end]]))))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "block", "bucket", "payload"])
 
 
@@ -74,7 +80,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
     small_batches(spark)
     path, buckets = path or tokens.vocabulary_path(), n_buckets(spark)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], with_words: bool) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
         for b in batches:
             for i, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
@@ -82,14 +88,12 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
                 texts.append(text or "")
                 size += len(texts[-1])
                 if size >= BLOCK_CHARS:
-                    yield _block_rows(ids, texts, buckets)
+                    yield _block_rows(ids, texts, buckets, with_words)
                     ids, texts, size = [], [], 0
         if ids:
-            yield _block_rows(ids, texts, buckets)
+            yield _block_rows(ids, texts, buckets, with_words)
 
     def encode(rows: pa.Table) -> pa.Table:
-        if rows["bucket"][0].as_py() < 0:  # the coded texts pass
-            return rows.select(["block", "bucket", "payload"])
         lists = [unpack(x.as_py()) for x in rows["payload"]]
         table = pa.chunked_array([_word_array(*x) for x in lists]).combine_chunks().dictionary_encode()
         lengths, ids = tokens.encode_words([w.decode() for w in table.dictionary.to_pylist()], path)
@@ -127,9 +131,11 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
             first = last
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=~known), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    cut_rows = docs.select("doc_id", "text").mapInArrow(cut, _ROW)
-    encoded = cut_rows.groupBy("key").applyInArrow(encode, "block long, bucket int, payload binary")
-    return encoded.groupBy("block").applyInArrow(place, "doc_id long, n_tokens long, ids binary")
+    texts = docs.select("doc_id", "text")
+    words = texts.mapInArrow(partial(cut, with_words=True), _ROW).where("bucket >= 0")
+    coded = texts.mapInArrow(partial(cut, with_words=False), _ROW).select("block", "bucket", "payload")
+    encoded = words.groupBy("key").applyInArrow(encode, "block long, bucket int, payload binary")
+    return encoded.unionByName(coded).groupBy("block").applyInArrow(place, "doc_id long, n_tokens long, ids binary")
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, path: str | None = None) -> DataFrame:
