@@ -1,0 +1 @@
+"""All sources here are batch tables with a fixed cutoff; no operator needs a stream."""
