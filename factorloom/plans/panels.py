@@ -64,7 +64,8 @@ class Panels:
 
     @cached_property
     def factor_panel(self) -> DataFrame:
-        return self.factors()
+        """Kept, as most queries start from it: a row for each entity and month only."""
+        return self.factors().persist()
 
     @cached_property
     def ic(self) -> DataFrame:
