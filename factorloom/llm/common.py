@@ -41,12 +41,20 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: With it, a finished query's shuffle files are removed at once.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts the lineage and
-    survives the loss of executors."""
+    survives the loss of executors. The shuffle files of the write are removed after it."""
     spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = shared_dir(spark, purpose), spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,14 +9,16 @@
 3. A bucket lists, for each shingle, the classes with it in their prefix. The class that comes
    first in the order of fingerprints is the head; heads and members are candidate pairs after
    bounds by size and position.
-4. Candidate sets are made again from one text of each class. The members of a head, in groups
+4. One compressed text of each candidate class is kept; sets are made again from it where they
+   are compared, as it is several times smaller than its set. The members of a head, in groups
    of bounded size, are put into a prefix tree by the global order; the head's set runs through
    it, sharing overlaps of common beginnings and leaving subtrees whose remaining length cannot
    reach the threshold.
-5. Components of these links usually join each list. Lists whose classes still lie in several
-   components are compared again in blocks, each block's tree with each block's sets, skipping
-   pairs that are connected already. So no link between components is lost, and no group's
-   pairs are all written out.
+5. Components of these links usually join each list. The members of all lists of a head are one
+   group. Where its classes still lie in several components, those outside the largest one are
+   compared again with all of the group, in cells of bounded size: one block's tree with another
+   block's sets, skipping pairs that are connected already. So no link between components is
+   lost, and no group's pairs are all written out.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is its own component; fewer than k words are one shingle; copies and repeated rows
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,7 +193,9 @@ def _scan(docs: DataFrame, counts: np.ndarray, buckets: int, k: int, percent: in
                 if start < end:
                     at = order[start:end]
                     own, local = np.unique(doc[at], return_inverse=True)
-                    rows.append((b, pack(np.array(fps, np.int64)[own], np.array(sizes, np.uint32)[own], token[at], local.astype(np.uint32), (pieces[at] > 1).astype(np.uint8))))
+                    short = token[at] >> np.uint64(16)  # 48 bits name a shingle here: another one of that name is a needless candidate
+                    local = local.astype(np.min_scalar_type(len(own)))
+                    rows.append((b, pack(np.array(fps, np.int64)[own], np.array(sizes, np.uint32)[own], short.astype(np.uint32), (short >> np.uint64(32)).astype(np.uint16), local, (pieces[at] > 1).astype(np.uint8))))
             fps.clear(), sizes.clear(), prefixes.clear(), seen.clear()
             held = 0
             none = pa.nulls(len(rows), pa.int64())
@@ -218,11 +223,11 @@ def _scan(docs: DataFrame, counts: np.ndarray, buckets: int, k: int, percent: in
 
 
 def _lists(rows: pa.Table, percent: int) -> pa.Table:
-    """Of a bucket: kind 0, candidate pairs (head, member); kind 1, members of lists of three
-    and more (list, class); kind 2, heads of parts of hot lists (shingle, class)."""
+    """Of a bucket: kind 0, candidate pairs (head, member); kind 1, members of the groups of heads
+    with lists of three and more (group, class); kind 2, heads of parts of hot lists (shingle, class)."""
     parts = [unpack(x.as_py()) for x in rows["payload"]]
-    fp, size = np.concatenate([p[0][p[3]] for p in parts]), np.concatenate([p[1][p[3]] for p in parts]).astype(np.int64)
-    token, hot = np.concatenate([p[2] for p in parts]), np.concatenate([p[4] for p in parts])
+    fp, size = np.concatenate([p[0][p[4]] for p in parts]), np.concatenate([p[1][p[4]] for p in parts]).astype(np.int64)
+    token, hot = np.concatenate([p[2] | p[3].astype(np.uint64) << np.uint64(32) for p in parts]), np.concatenate([p[5] for p in parts])
     order = np.lexsort((fp, token))
     fp, size, token, hot = fp[order], size[order], token[order], hot[order]
     fresh = np.ones(len(fp), bool)
@@ -233,48 +238,48 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     head, of = np.repeat(first, counts), np.repeat(np.arange(len(first)), counts)
     fits = (head != np.arange(len(fp))) & (100 * np.minimum(size, size[head]) >= percent * np.maximum(size, size[head]))
     pairs = np.unique(np.stack([fp[head[fits]], fp[fits]], 1), axis=0) if fits.any() else np.empty((0, 2), np.int64)
-    # Lists with the same members are one list; a hot list keeps the shingle's name in all its parts.
-    sums = np.add.reduceat(mix(fp.astype(np.uint64)), first) if len(first) else np.empty(0, np.uint64)
-    name = np.where(hot[first] > 0, mix(token[first]), mix(sums + counts.astype(np.uint64))).astype(np.int64)
-    _, one = np.unique(name, return_index=True)
-    chosen = np.zeros(len(first), bool)
-    chosen[one] = True
-    chosen &= (counts > 2) | (hot[first] > 0)
-    members = chosen[of]
+    # A group is named by its head; a hot list keeps the shingle's name in all its parts.
+    name = np.where(hot[first] > 0, mix(token[first]).astype(np.int64), fp[first])
+    chosen = ((counts > 2) | (hot[first] > 0))[of]
+    groups = np.unique(np.stack([name[of][chosen], fp[chosen]], 1), axis=0) if chosen.any() else np.empty((0, 2), np.int64)
     heads = first[hot[first] > 0]
-    kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(int(members.sum()), np.int32), np.full(len(heads), 2, np.int32)])
-    a = np.concatenate([pairs[:, 0], name[of][members], token[heads].astype(np.int64)])
-    b = np.concatenate([pairs[:, 1], fp[members], fp[heads]])
+    kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(groups), np.int32), np.full(len(heads), 2, np.int32)])
+    a = np.concatenate([pairs[:, 0], groups[:, 0], token[heads].astype(np.int64)])
+    b = np.concatenate([pairs[:, 1], groups[:, 1], fp[heads]])
     return pa.table({"kind": kind, "a": a, "b": b})
 
 
-def _class_sets(docs: DataFrame, scanned: DataFrame, wanted: DataFrame, counts: np.ndarray, k: int) -> DataFrame:
-    """fp, n and the set (64-bit integers in global order) of the wanted classes, from the
-    text of each one's least document."""
+def _class_texts(docs: DataFrame, scanned: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp and the compressed text of the least document of each wanted class."""
     chosen = scanned.where("fp is not null and doc_id is not null").select("fp", "doc_id").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(chosen, "doc_id").select("fp", "text")
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd, hashes = zstandard.ZstdCompressor(level=3), WordHashes()
         for b in batches:
-            made = [in_order(shingle_set(t, hashes, k), sent.value) for t in as_bytes(b["text"])]
-            real = pa.array([len(s) > 0 and fingerprint(s) == f for s, f in zip(made, b["fp"].to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["fp"], pa.array([len(s) for s in made], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in made], pa.binary())], ["fp", "n", "elements"]).filter(real)
+            texts = as_bytes(b["text"])
+            # Rows may share a doc_id: the class's own text is the one with its fingerprint.
+            own = pa.array([bool(t) and fingerprint(shingle_set(t, hashes, b["k"][0].as_py())) == f for t, f in zip(texts, b["fp"].to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["fp"], pa.array([zstd.compress(t) for t in texts], pa.binary())], ["fp", "packed"]).filter(own)
+
+    return docs.join(chosen, "doc_id").select("fp", "text", "k").mapInArrow(squeeze, "fp long, packed binary")
+
 
-    return materialize(texts.mapInArrow(sets, "fp long, n long, elements binary").dropDuplicates(["fp"]), "sets")
+def _made_sets(packed: pa.ChunkedArray, counts: np.ndarray, k: int) -> list[np.ndarray]:
+    """The sets, in the global order, of compressed texts."""
+    hashes, zstd = WordHashes(), zstandard.ZstdDecompressor()
+    return [in_order(shingle_set(zstd.decompress(x.as_py()), hashes, k), counts) for x in packed]
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _star_links(pairs: DataFrame, texts: DataFrame, made_sets, percent: int) -> DataFrame:
     """The pairs (a, b) that link; a's set runs through trees of at most about GROUP sets."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    members = dealt.join(sets.withColumnRenamed("fp", "b"), "b").select("a", "part", "b", "elements")
-    heads = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("fp", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "elements")
+    members = dealt.join(texts.withColumnRenamed("fp", "b"), "b").select("a", "part", "b", "packed")
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("fp", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "packed")
 
     def probe(rows: pa.Table) -> pa.Table:
         ids = rows["b"].to_pylist()
-        made = [np.frombuffer(x.as_buffer(), "<u8") for x in rows["elements"]]
+        made = made_sets(rows["packed"])
         query = np.sort(made[ids.index(None)])
         own = [i for i, x in enumerate(ids) if x is not None]
         found = PrefixTree([made[i] for i in own]).probe(query, percent)
@@ -283,31 +288,41 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.unionByName(heads).groupBy("a", "part").applyInArrow(probe, "a long, b long")
 
 
-def _list_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components within the lists (list, fp)."""
+def _group_links(members: DataFrame, labels: DataFrame, texts: DataFrame, made_sets, percent: int) -> DataFrame:
+    """Links between different components within the groups (list, fp)."""
     labelled = members.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("list", "fp", F.coalesce("component", "fp").alias("component"))
-    mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    rows = labelled.join(mixed.select("list", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks")), "list")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = rows.select("*", other.alias("other")).select("list", "fp", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    placed = met.join(sets, "fp").select("list", "i", "j", "own", "fp", "component", "elements")
+    # Of a group the largest component is known to hang together: only the others' members ask.
+    # Groups with the same largest component are one, so a family's texts are sent about once.
+    counts = labelled.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    rows = labelled.join(mixed.select("list", "major"), "list").select("major", "fp", "component").distinct()
+    sizes = rows.groupBy("major").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("component") != F.col("major")).alias("asking"))
+    rows = rows.join(sizes, "major")
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / GROUP).cast("int"), F.lit(1))
+    rows = rows.select("major", "fp", "component", (F.col("component") != F.col("major")).alias("asks"), parts("size").alias("rows"), parts("asking").alias("columns"))
+    rows = rows.withColumns({"own_i": F.pmod(F.xxhash64("fp"), "rows").cast("int"), "own_j": F.pmod(F.xxhash64("fp"), "columns").cast("int")})
+    # A member is asked in its row of cells and, if it asks, asks in its column of cells.
+    asked = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
+    cells = F.when(F.col("asks"), F.array_union(asked, asking)).otherwise(asked)
+    met = rows.select("major", "fp", "component", "asks", "own_i", "own_j", F.explode(cells).alias("cell")).select("*", "cell.i", "cell.j").drop("cell")
+    placed = met.join(texts, "fp").select("major", "i", "j", "asks", "own_i", "own_j", "fp", "component", "packed")
 
     def compare(rows: pa.Table) -> pa.Table:
-        fps, comps, own = (rows[c].to_pylist() for c in ("fp", "component", "own"))
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        made = [np.frombuffer(x.as_buffer(), "<u8") for x in rows["elements"]]
+        fps, comps = rows["fp"].to_pylist(), rows["component"].to_pylist()
+        asked = np.flatnonzero(rows["own_i"].to_numpy() == rows["i"].to_numpy())
+        asking = np.flatnonzero(rows["asks"].to_numpy() & (rows["own_j"].to_numpy() == rows["j"].to_numpy()))
+        made = made_sets(rows["packed"])
         places = {c: n for n, c in enumerate(dict.fromkeys(comps))}
         union, group = Union(len(places)), [places[c] for c in comps]
-        tree_of, queries = [n for n, o in enumerate(own) if o == i], [n for n, o in enumerate(own) if o == j]
-        tree, found = PrefixTree([made[n] for n in tree_of]), []
-        for q in queries:
-            for t in tree.probe(np.sort(made[q]), percent, lambda t, q=q: union.find(group[tree_of[t]]) == union.find(group[q])):
-                if union.join(group[tree_of[t]], group[q]):
-                    found.append((fps[q], fps[tree_of[t]]))
+        tree, found = PrefixTree([made[n] for n in asked]), []
+        for q in asking:
+            for t in tree.probe(np.sort(made[q]), percent, lambda t, q=q: union.find(group[asked[t]]) == union.find(group[q])):
+                if union.join(group[asked[t]], group[q]):
+                    found.append((fps[q], fps[asked[t]]))
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return placed.groupBy("list", "i", "j").applyInArrow(compare, "a long, b long")
+    return placed.groupBy("major", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def similarity_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -324,10 +339,13 @@ def similarity_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -
     heads = found.where("kind = 2").select("a", "b")
     first = heads.groupBy("a").agg(F.min("b").alias("first"))
     pairs = pairs.union(heads.join(first, "a").where("b != first").select("first", "b")).distinct()
-    sets = _class_sets(docs, scanned, found.where("kind < 2").select(F.explode(F.array(F.when(F.col("kind") == 0, F.col("a")), F.col("b"))).alias("fp")).where("fp is not null").distinct(), counts, k)
-    stars = materialize(_star_links(pairs, sets, percent), "links")
+    wanted = found.where("kind < 2").select(F.explode(F.array(F.when(F.col("kind") == 0, F.col("a")), F.col("b"))).alias("fp")).where("fp is not null").distinct()
+    texts = materialize(_class_texts(docs.withColumn("k", F.lit(k)), scanned, wanted), "texts")
+    sent = spark.sparkContext.broadcast(counts)
+    made_sets = lambda packed: _made_sets(packed, sent.value, k)
+    stars = materialize(_star_links(pairs, texts, made_sets, percent), "links")
     labels = components(stars)
-    more = materialize(_list_links(members, labels, sets, percent), "links")
+    more = materialize(_group_links(members, labels, texts, made_sets, percent), "links")
     if more.limit(1).count():
         labels = components(stars.union(more))
     rows = scanned.where("bucket is null").select("doc_id", "fp", F.col("n").alias("n_shingles"))
