@@ -164,19 +164,6 @@ plan(
     5,
 )
 plan("nav_daily", lambda p: p.nav, "SELECT * FROM t_nav", "strategy_daily_return benchmark_daily_return strategy_nav benchmark_nav strategy_drawdown benchmark_drawdown relative_nav")
-plan(
-    "drift_nav",
-    lambda p: po.drift_nav(p.targets, p.schedule, p.daily, 0.001),
-    """WITH legs AS (SELECT signal_date, scheduled_trade_date AS s, lead(scheduled_trade_date) OVER (ORDER BY scheduled_trade_date) AS e, row_number() OVER (ORDER BY scheduled_trade_date) AS leg FROM t_schedule WHERE scheduled_trade_date IS NOT NULL),
-    bars AS (SELECT canonical_ts_code AS c, trade_date AS d, close_hfq AS p FROM t_daily WHERE security_code_interval_valid),
-    held AS (SELECT t.canonical_ts_code AS c, t.target_weight AS w, l.*, (SELECT max_by(p, d) FROM bars b WHERE b.c = t.canonical_ts_code AND b.d <= l.s) AS p0, (SELECT max_by(p, d) FROM bars b WHERE b.c = t.canonical_ts_code AND b.d <= l.e) AS p1 FROM t_targets t JOIN legs l USING (signal_date)),
-    g AS (SELECT leg, signal_date, s, e, sum(w * coalesce(p1 / p0, 1)) + 1 - sum(w) AS growth FROM held GROUP BY ALL),
-    ch AS (SELECT leg, c, sum(nw) AS nw, sum(ow) AS ow FROM (SELECT leg, c, w AS nw, 0 AS ow FROM held UNION ALL SELECT h.leg + 1, c, 0, w * coalesce(p1 / p0, 1) / g.growth FROM held h JOIN g USING (leg)) GROUP BY ALL),
-    tv AS (SELECT leg, sum(abs(nw - ow)) AS turnover FROM ch GROUP BY leg)
-    SELECT signal_date, s AS trade_date, turnover, CASE WHEN e IS NOT NULL THEN growth END AS growth, product((1 - 0.001 * turnover) * CASE WHEN e IS NULL THEN 1 ELSE growth END) OVER (ORDER BY leg) AS nav_at_end FROM g JOIN tv USING (leg)""",
-    "turnover growth nav_at_end",
-    7,
-)
 plan(
     "rebalance_summary",
     lambda p: po.rebalance_summary(p["b_orders"]),

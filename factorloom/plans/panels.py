@@ -81,7 +81,7 @@ class Panels:
 
     @cached_property
     def schedule(self) -> DataFrame:
-        return portfolio.rebalance_schedule(self.monthly, self["b_benchmark"])
+        return portfolio.rebalance_schedule(self["b_month_end"], self["b_benchmark"])
 
     @cached_property
     def nav(self) -> DataFrame:
