@@ -35,7 +35,7 @@ from factorloom.llm.common import WordHashes, as_bytes, n_buckets, pack, small_b
 
 WINDOW, ANCHOR = 20, 8
 #: Bits of the anchor bitmap and of one of its pieces (as powers of two).
-SLOT_BITS, PIECE_BITS = 27, 21
+SLOT_BITS, PIECE_BITS = 29, 22
 #: Words of passages in a block, and of the passages that one automaton serves.
 BLOCK_WORDS, AUTOMATON_WORDS = 4 << 20, 200_000
 _NO_WORD = 0x10FFFF  # separates passages in an automaton's input
@@ -122,6 +122,12 @@ class Ranges:
         return [(p, pack(*(c[order[a:b]] for c in cols))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b]
 
 
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        return code
+
+
 def _shard_ranges(payloads: list[bytes], window: int) -> Ranges:
     """All but the earliest occurrence of each window in a shard's passages."""
     out = Ranges()
@@ -131,17 +137,23 @@ def _shard_ranges(payloads: list[bytes], window: int) -> Ranges:
         docs.append(doc), digests.append(digest), starts.append(start), marks.append(mark)
         passages += text.tobytes().split(b"\n")
     doc, digest, start, mark = (np.concatenate(c) for c in (docs, digests, starts, marks))
-    order = np.argsort(mark, kind="stable")
     size = np.fromiter((p.count(b" ") + 1 for p in passages), np.int64, len(passages))
-    total, portion, first = np.cumsum(size[order]), [], 0
-    bound = np.flatnonzero(np.append(mark[order][1:] != mark[order][:-1], True)) + 1  # ends of the groups of one anchor
-    done = 0
-    for end in bound:
+    # Equal passages of several blocks: the earliest goes on, later ones are covered whole.
+    order, first, own, later = np.lexsort((start, doc)), {}, [], []
+    for i in order.tolist():
+        j = first.setdefault(passages[i], i)
+        (later if j != i and (doc[j], start[j]) != (doc[i], start[i]) else own).append(i)
+    if later:
+        out.add(doc[later], digest[later], start[later], start[later] + size[later])
+    order = np.array(own, np.int64)
+    order = order[np.argsort(mark[order], kind="stable")]
+    total, cut, done = np.cumsum(size[order]), 0, 0
+    groups = np.flatnonzero(np.append(mark[order][1:] != mark[order][:-1], True)) + 1  # ends of the passages of one anchor
+    for end in groups.tolist():
         if total[end - 1] - done >= AUTOMATON_WORDS or end == len(order):
-            portion.append(order[first:end])
-            first, done = end, total[end - 1]
-    for own in portion:
-        _locate(own, [passages[i] for i in own], size, doc, digest, start, window, out)
+            some = order[cut:end]
+            _locate(some, [passages[i] for i in some], size, doc, digest, start, window, out)
+            cut, done = end, total[end - 1]
     return out
 
 
@@ -150,8 +162,8 @@ AUTOMATON_CODES = 500_000
 
 
 def _locate(own: np.ndarray, passages: list[bytes], size: np.ndarray, doc, digest, start, window: int, out: Ranges) -> None:
-    codes: dict[bytes, int] = {b"": 0}  # stands for the separator behind each passage
-    flat = np.array([codes.setdefault(w, len(codes)) for p in passages for w in (*p.split(b" "), b"")], np.uint64)
+    codes = _Codes({b"\n": 0})  # stands for the separator behind each passage
+    flat = np.fromiter(map(codes.__getitem__, (b" \n ".join(passages) + b" \n").split(b" ")), np.uint64)
     ends = np.cumsum(size[own] + 1) - 1
     begins = ends - size[own]
     h = window_hashes(flat * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), window)
@@ -162,11 +174,8 @@ def _locate(own: np.ndarray, passages: list[bytes], size: np.ndarray, doc, diges
         some = recurring[hashes[counts > 1] % np.uint64(portions) == n]
         if not len(some):
             continue
-        if portions == 1:
-            chosen = np.ones(len(own), bool)
-        else:  # only the passages with a window of this portion
-            chosen = np.zeros(len(own), bool)
-            chosen[np.searchsorted(ends, at[np.isin(h[at], h[some])], "right")] = True
+        chosen = np.zeros(len(own), bool)  # the passages with a window of this portion
+        chosen[np.searchsorted(ends, at[np.isin(h[at], h[some])], "right")] = True
         _stream(np.flatnonzero(chosen), some, flat, begins, ends, own, doc, digest, start, window, out)
 
 
