@@ -22,8 +22,8 @@
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is its own component; fewer than k words are one shingle; copies and repeated rows
-share a component; a row without doc_id gets no component; an empty table gives an empty
-result; other columns of the input are ignored.
+share a component; a row without doc_id gets no component and takes no part in links; an empty
+table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -203,11 +203,11 @@ def _scan(docs: DataFrame, counts: np.ndarray, buckets: int, k: int, percent: in
 
         for b in batches:
             own_fp, own_n = [], []
-            for text in as_bytes(b["text"]):
+            for known, text in zip(b["doc_id"].is_valid().to_pylist(), as_bytes(b["text"]), strict=True):
                 s = shingle_set(text, hashes, k)
                 own_n.append(len(s))
                 own_fp.append(fingerprint(s) if len(s) else None)
-                if len(s) and own_fp[-1] not in seen:
+                if known and len(s) and own_fp[-1] not in seen:
                     seen.add(own_fp[-1])
                     fps.append(own_fp[-1])
                     sizes.append(len(s))
