@@ -9,7 +9,8 @@ Encoding shuffles packed rows only:
 3. a second scan sends the coded texts of each block, and the block joins the ids back by
    position. Coding twice costs less than carrying the coded texts through both shuffles.
 
-A block is named by a digest of its coded texts. An input whose rows arrive in another order
+A block is named by a digest of its coded texts; equal blocks are placed once and given out as
+often as they occur. An input whose rows arrive in another order
 in the second scan (one that is neither a table nor checkpointed) is an error, never a wrong
 result.
 
@@ -94,6 +95,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
             yield _block_rows(ids, texts, buckets, with_words)
 
     def encode(rows: pa.Table) -> pa.Table:
+        rows = rows.take(np.unique(rows["block"].to_numpy(), return_index=True)[1])  # equal blocks get one answer
         lists = [unpack(x.as_py()) for x in rows["payload"]]
         table = pa.chunked_array([_word_array(*x) for x in lists]).combine_chunks().dictionary_encode()
         lengths, ids = tokens.encode_words([w.decode() for w in table.dictionary.to_pylist()], path)
@@ -108,10 +110,11 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
 
     def place(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("bucket")
+        copies = int((rows["bucket"].to_numpy() == -1).sum())  # the coded rows come first
         known, doc_ids, counts, bucket, *planes = unpack(rows["payload"][0].as_py())
-        if rows["bucket"][0].as_py() != -1 or len(rows) - 1 != len(np.unique(bucket)):
+        if not copies or len(rows["payload"][:copies].unique()) > 1 or len(rows) - copies != len(np.unique(bucket)):
             raise RuntimeError("the rows of a block differ between two runs of its task; checkpoint the input")
-        parts = [unpack(x.as_py()) for x in rows["payload"][1:]]
+        parts = [unpack(x.as_py()) for x in rows["payload"][copies:]]
         order = np.argsort(bucket, kind="stable")
         lengths = np.empty(len(bucket), np.int64)
         lengths[order] = np.concatenate([*(p[0] for p in parts), np.empty(0, np.int64)])
@@ -129,7 +132,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
             out += [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             n += np.diff(cuts).tolist()
             first = last
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=~known), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(out, pa.binary())})
+        return pa.concat_tables([pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=~known), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(out, pa.binary())})] * copies)
 
     texts = docs.select("doc_id", "text")
     words = texts.mapInArrow(partial(cut, with_words=True), _ROW).where("bucket >= 0")
