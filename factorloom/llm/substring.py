@@ -3,10 +3,12 @@
 A window is ``window`` consecutive words. Each window has an anchor, its least run of ANCHOR
 words by hash, so equal windows have equal anchors at the same place.
 
-1. A scan marks anchors that occur twice in a bitmap of fixed size. A slot shared by chance
-   only costs work.
+1. A scan marks anchors that occur twice in a bitmap of fixed size, and lists the slots of hot
+   ones. A slot shared by chance only costs work.
 2. A second scan cuts out the passages around marked anchors. Of equal passages of a block the
-   earliest goes on; the others are covered for certain. Passages go to shards by anchor.
+   earliest goes on; the others are covered for certain. Passages go to shards by anchor. Around
+   a hot anchor each window is a passage of its own and goes by its own hash, so that different
+   surroundings of one common run are dealt to all shards and an automaton's size is bounded.
 3. A shard confirms which windows recur, compiles automata of them in portions of bounded size
    and streams its passages through them to locate every occurrence; all but the earliest one
    of each window are covered.
@@ -38,6 +40,8 @@ WINDOW, ANCHOR = 20, 8
 SLOT_BITS, PIECE_BITS = 29, 22
 #: Words of passages in a block, and of the passages that one automaton serves.
 BLOCK_WORDS, AUTOMATON_WORDS = 4 << 20, 200_000
+#: Words of the passages of one anchor from which it is hot.
+HOT_WORDS = 640_000
 _NO_WORD = 0x10FFFF  # separates passages in an automaton's input
 _FIRST_WORD = 0xE000  # code points from here on stand for words
 
@@ -56,8 +60,10 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
 
 
-def repeated_anchors(texts: DataFrame, window: int = WINDOW) -> np.ndarray:
-    """Packed bits of the slots in which anchors occur twice or more; a fixed size."""
+def repeated_anchors(texts: DataFrame, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Packed bits of the slots in which anchors occur twice or more, a fixed size; and the
+    sorted slots of hot anchors, as many as the anchors' number by the bound at most."""
+    most = max(2, HOT_WORDS // (2 * window - ANCHOR))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = WordHashes(), [], 0
@@ -65,7 +71,7 @@ def repeated_anchors(texts: DataFrame, window: int = WINDOW) -> np.ndarray:
         def flush() -> pa.RecordBatch:
             slots, counts = np.unique(np.concatenate(held), return_counts=True)
             ends = np.searchsorted(slots, np.arange(1, (1 << SLOT_BITS - PIECE_BITS) + 1) << PIECE_BITS)
-            rows = [(p, pack(np.diff(slots[a:b], prepend=slots[a:a] if a == b else np.uint32(p << PIECE_BITS)), np.packbits(counts[a:b] > 1))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b]
+            rows = [(p, pack(np.diff(slots[a:b], prepend=slots[a:a] if a == b else np.uint32(p << PIECE_BITS)), np.packbits(counts[a:b] > 1), counts[a:b][counts[a:b] > 1].astype(np.uint32))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["piece", "slots"])
 
         for b in batches:
@@ -83,18 +89,22 @@ def repeated_anchors(texts: DataFrame, window: int = WINDOW) -> np.ndarray:
     def merge(rows: pa.Table) -> pa.Table:
         piece, slots, twice = rows["piece"][0].as_py(), [], []
         for x in rows["slots"]:
-            steps, many = unpack(x.as_py())
+            steps, many, counts = unpack(x.as_py())
             slots.append(np.cumsum(steps, dtype=np.int64))
-            twice.append(np.unpackbits(many, count=len(steps)).astype(np.int64) + 1)
+            times = np.ones(len(steps), np.int64)
+            times[np.unpackbits(many, count=len(steps)) == 1] = counts
+            twice.append(times)
         seen = np.bincount(np.concatenate(slots), np.concatenate(twice), 1 << PIECE_BITS)
-        return pa.table({"piece": pa.array([piece], pa.int32()), "slots": pa.array([pack(np.packbits(seen > 1))], pa.binary())})
+        hot = np.flatnonzero(seen > most) + (piece << PIECE_BITS)
+        return pa.table({"piece": pa.array([piece], pa.int32()), "slots": pa.array([pack(np.packbits(seen > 1), hot.astype(np.uint32))], pa.binary())})
 
     out = np.zeros(1 << SLOT_BITS - 3, np.uint8)
-    size = 1 << PIECE_BITS - 3
+    size, hot = 1 << PIECE_BITS - 3, [np.empty(0, np.uint32)]
     # One row for each piece of the bitmap.
     for r in texts.select("text").mapInArrow(mark, "piece int, slots binary").groupBy("piece").applyInArrow(merge, "piece int, slots binary").collect():
-        out[r.piece * size : (r.piece + 1) * size] = unpack(r.slots)[0]
-    return out
+        out[r.piece * size : (r.piece + 1) * size], own = unpack(r.slots)
+        hot.append(own)
+    return out, np.sort(np.concatenate(hot))
 
 
 def _is_marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -214,10 +224,11 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    bits = spark.sparkContext.broadcast(repeated_anchors(docs, window))
+    sent = spark.sparkContext.broadcast(repeated_anchors(docs, window))
     shards = n_buckets(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hot = sent.value
         hashes, seen, words_held = WordHashes(), {}, 0
         ranges = Ranges()
 
@@ -238,15 +249,18 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 at, runs = anchors(hashes.of(words), window)
                 if not len(at):
                     continue
-                marked = np.flatnonzero(_is_marked(bits.value, runs[at]))
+                marked = np.flatnonzero(_is_marked(bits, runs[at]))
                 if not len(marked):
                     continue
                 digest = xxhash.xxh64_intdigest(text, 42)
                 digest -= (digest >> 63) << 64
-                cuts = np.flatnonzero(np.concatenate([[True], (at[marked][1:] != at[marked][:-1]) | (marked[1:] != marked[:-1] + 1)]))
+                single = np.isin(_slots(runs[at[marked]]), hot) if len(hot) else np.zeros(len(marked), bool)
+                cuts = np.flatnonzero(np.concatenate([[True], single[1:] | (at[marked][1:] != at[marked][:-1]) | (marked[1:] != marked[:-1] + 1)]))
                 firsts, lasts = marked[cuts].tolist(), marked[np.append(cuts[1:], len(marked)) - 1].tolist()
-                for i, j, mark in zip(firsts, lasts, runs[at[marked[cuts]]].tolist(), strict=True):
+                for i, j, mark, alone in zip(firsts, lasts, runs[at[marked[cuts]]].tolist(), single[cuts].tolist(), strict=True):
                     passage = b" ".join(words[i : j + window])
+                    if alone:
+                        mark = xxhash.xxh64_intdigest(passage)
                     old = seen.get(passage)
                     if old is None:
                         seen[passage] = (doc_id, digest, i, mark)
