@@ -5,9 +5,10 @@ Documents are encoded once and kept as a table of ids. Document frequencies of a
 then range-partitioned by a lexical signature, which brings like texts together and splits
 groups of copies of any size, and each partition is worked through in shards of bounded size.
 A shard is a BM25 inverted index: each seed document opens a window, the index returns its
-unused neighbours, best first, and they fill the window; the one that does not fit is cut
-there and its rest stays unused. A document's full windows need no neighbours. What is left
-over in the last window of a shard goes on to the next one.
+unused neighbours, best first by all of the seed's terms, and they fill the window; the one that
+does not fit is cut there and its rest stays unused. A document's full windows need no
+neighbours. What is left over in the last window of a shard goes on to the next one. Documents
+of other shards are not searched.
 
 Defined results: a null text is the empty text and gives the end id alone; texts of any
 length are packed whole, as pieces of up to ``window`` ids; repeated rows are packed each;
@@ -30,8 +31,8 @@ from factorloom.llm import tokens
 from factorloom.llm.common import materialize, mix, small_batches
 
 WINDOW, END_ID = 2048, 1
-#: Characters that are encoded together, ids in a shard, terms of a seed's query.
-BLOCK_CHARS, SHARD_IDS, QUERY_TERMS = 8 << 20, 1 << 20, 32
+#: Characters that are encoded together, ids in a shard.
+BLOCK_CHARS, SHARD_IDS = 8 << 20, 1 << 20
 #: Ids of a partition.
 PARTITION_IDS = 16 << 20
 K1, B = 1.2, 0.75
@@ -97,13 +98,10 @@ class Shard:
         self.term, self.doc = keys // max(1, len(docs)), keys % max(1, len(docs))
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
         self.start = np.searchsorted(self.term, np.arange(len(idf) + 1))
-        self.idf = idf
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a query term with the seed, by falling score."""
+        """Documents by falling score; each of the seed's terms is a query term."""
         query = np.unique(self.ends[seed])
-        if len(query) > QUERY_TERMS:
-            query = query[np.argpartition(-self.idf[query], QUERY_TERMS)[:QUERY_TERMS]]
         spans = [slice(self.start[t], self.start[t + 1]) for t in query]
         scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.docs))
         return np.argsort(-scores, kind="stable")  # those without a shared term come last
