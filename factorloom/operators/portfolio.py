@@ -122,10 +122,14 @@ def cash_scaling(orders: DataFrame, scenarios: DataFrame, cash: float) -> DataFr
 
 def stale_valuation(ledger: DataFrame, bars: DataFrame, days: DataFrame, key: list[str], code: str) -> DataFrame:
     """Positions on every market day at the day's close, or else at the last one, with its age.
-    Ledger rows and bars before the first day count for it."""
+    A position's days begin with its first fill; ledger rows and bars before the first day count
+    for it."""
     asof = Window.partitionBy(*key).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     held = ledger.select(*key).distinct()
-    grid = held.join(days.select("trade_date").distinct()).withColumn("is_market_day", F.lit(True))
+    market = days.select("trade_date").distinct()
+    span = market.agg(F.min("trade_date").alias("begin"), F.max("trade_date").alias("end"))  # one row
+    own = ledger.groupBy(*key).agg(F.min("trade_date").alias("first")).join(span).where("first <= end")
+    grid = own.select(*key, F.explode(F.sequence(F.greatest("first", "begin"), "end")).alias("trade_date")).join(market, "trade_date").withColumn("is_market_day", F.lit(True))
     units = ledger.select(*key, "trade_date", "units_after")
     prices = bars.select(code, "trade_date", "close").join(held, code)
     rows = grid.join(units, [*key, "trade_date"], "full").join(prices, [*key, "trade_date"], "full")

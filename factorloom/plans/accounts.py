@@ -102,6 +102,10 @@ def _stale(p: Panels):
     return po.stale_valuation(_ledger(p), p["b_daily"], days, key, "suppkey")
 
 
+def _stale_all(p: Panels):
+    return po.stale_valuation(_ledger(p), p["b_daily"], p["b_benchmark"], ["portfolio_id", "suppkey"], "suppkey")
+
+
 def _refs(p: Panels):
     return po.corporate_action_refs(p["b_code_history"], p.daily, RATIO)
 
@@ -141,6 +145,8 @@ plan(
     4,
 )
 plan("stale_valuation", _stale, "SELECT * FROM t_stale", "units price market_value", 4)
+plan("stale_valuation_all_days", _stale_all, None, "units price market_value", 4)
+plan("stale_summary_all_days", lambda p: po.stale_summary(_stale_all(p), ["portfolio_id", "suppkey"]))
 plan(
     "stale_summary",
     lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"]),
