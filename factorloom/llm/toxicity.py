@@ -1,28 +1,28 @@
 """Toxicity by compression distance: how much shorter do windows of a text become with a
-zstandard dictionary of toxic text than with one of ordinary text.
-
-Both dictionaries are trained on a bounded sample of labelled documents. The ordinary one is
-trained by zstandard's own trainer. That trainer cuts samples into segments of one length,
-which splits the short phrases that make a text toxic; so the toxic part is made of the word
-beginnings whose document frequency in toxic documents is far above that in ordinary ones,
-and the toxic dictionary is this part before the ordinary content. What ordinary text matches
-is then the same in both, and lengths differ only where toxic phrases match.
-
-A window is a word, written ``COPIES`` times with its position before each byte, so that only
-beginnings of words match and each matched letter saves bytes; windows of a text are
-compressed once for each distinct word. How often which length
-is saved, for each word and in all, goes through thresholds calibrated on the same sample
-(boosted trees that may only rise with any saving).
-
-Defined results: a null or empty text has no windows and gets the score of no saving;
-repeated rows get the same score; without usable labels all scores are one constant; an empty
-table gives an empty result; labels, language, source and id are never inputs of a score.
+zstandard dictionary of toxic text than without it.
+
+1. Of a bounded sample of labelled documents one half trains two dictionaries with zstandard's
+   own trainer: one on windows of toxic texts, one on windows of ordinary ones.
+2. The toxic dictionary also holds what toxic texts share with all others. On the other half of
+   the sample each of its runs of ``GRAM`` bytes is counted in toxic and in ordinary documents;
+   only runs that occur clearly more often in toxic ones stay in it.
+3. A window is ``WINDOW_WORDS`` consecutive words of the text, with each byte moved on by its
+   place in its word, so that only equal beginnings of words match. It is compressed with the ordinary
+   dictionary and with the toxic one before the same ordinary one, so that ordinary passages
+   cost the same and the difference is what toxic content saves.
+4. How many windows save how many bytes goes through thresholds calibrated on the second half
+   (boosted trees that may only rise with any saving).
+
+Defined results: a null or empty text has no windows and gets the score of no saving; texts of
+any length are scored whole; repeated rows get the same score, and of labelled rows with one
+doc_id any one text is learned from, with the greatest label; scores have no ties to break;
+without usable labels all scores are one constant; an empty table gives an empty result; labels,
+language, source and id are never inputs of a score; other columns are ignored by the scores and
+kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,51 +35,80 @@ from pyspark.sql import functions as F
 from factorloom.llm import boosting
 from factorloom.llm.common import as_bytes, small_batches, table
 
-#: Bounds of the sample: labelled documents (the least by hashed id), and characters of one.
-MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 8_000, 20_000
+#: Bounds of the sample: labelled documents (the least by hashed id), characters of one, and
+#: windows of ordinary text for the trainer.
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS, MAX_WINDOWS = 8_000, 20_000, 60_000
 #: A document with a score from here on counts as toxic.
 TOXIC_FROM = 0.3
-COPIES, LEVEL = 2, 6
-ORDINARY_BYTES = 4096
-#: Lengths of word beginnings, the share of toxic documents that must have one, and the least
-#: log ratio of its document frequencies.
-BEGINNINGS, MIN_SHARE, MIN_LOG_RATIO = range(3, 11), 0.03, 1.8
-#: Bytes saved from which words are counted.
-SAVED = (2, 3, 4, 5, 6, 7, 9)
-#: Distinct words whose savings a task remembers.
-REMEMBERED = 300_000
-
-
-#: Positions and bytes of a window; letters beyond the last position share it.
-_PLACED = [[bytes((0x80 + i, c)) for c in range(256)] for i in range(64)]
-
-
-def window(word: bytes) -> bytes:
-    return b"".join([_PLACED[min(i, 63)][c] for i, c in enumerate(word)]) * COPIES
-
-
-def text_words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+WINDOW_WORDS, LEVEL = 8, 6
+#: Odd, so that all places up to 255 move a byte differently.
+SHIFT = 37
+#: Sizes of the trained dictionaries, the trainer's segments, and the shortest match.
+ORDINARY_BYTES, TOXIC_BYTES, GRAM = 8192, 8192, 5
+_TRAINER = {"ordinary": {"d": 6, "k": 32}, "toxic": {"d": 6, "k": 16}}
+#: A run of the toxic dictionary stays if it is in this share of toxic documents at least, and
+#: this many times as often as in ordinary ones.
+MIN_SHARE, MIN_RATIO = 0.03, 6
+#: Bytes saved from which windows are counted.
+SAVED = (1, 2, 3, 4, 5, 6, 7, 9)
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def windows(text: bytes, every: int = 1, first: int = 0) -> list[bytes]:
+    """Consecutive windows of a text, or every n-th of them from the given one on: words in
+    lower case, each behind a space, its bytes moved on by ``SHIFT`` times their place."""
+    raw = np.frombuffer(text.lower(), np.uint8)
+    kept = ~_SPACE[raw]
+    starts = np.flatnonzero(kept & np.concatenate([[True], ~kept[:-1]])) if len(raw) else np.empty(0, np.int64)
+    at = np.flatnonzero(kept)
+    word = np.searchsorted(starts, at, "right") - 1
+    out = np.full(len(at) + len(starts) + 1, 0x20, np.uint8)
+    out[np.arange(len(at)) + word + 1] = raw[at] + (SHIFT * (at - starts[word])).astype(np.uint8)
+    begins = np.searchsorted(at, starts) + np.arange(len(starts))
+    line, size = out.tobytes(), len(out)
+    cuts = [*begins[::WINDOW_WORDS].tolist(), size - 1]
+    return [line[cuts[i] : cuts[i + 1] + 1] for i in range(first, len(cuts) - 1, every)]
+
+
+def _grams(content: bytes) -> np.ndarray:
+    """All runs of GRAM bytes, as numbers."""
+    v = np.frombuffer(content, np.uint8).astype(np.int64)
+    out = np.zeros(max(0, len(v) - GRAM + 1), np.int64)
+    for i in range(GRAM if len(out) else 0):
+        out = out << 8 | v[i : i + len(out)]
+    return out
+
+
+def trained(samples: list[bytes], size: int, kind: str) -> bytes:
+    """A dictionary by zstandard's trainer; of too few samples, their end."""
+    try:
+        return zstandard.train_dictionary(size, samples, **_TRAINER[kind]).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def toxic_beginnings(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """Word beginnings typical of toxic documents, the most frequent last; none is the
-    beginning of another."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for counter, docs in ((in_toxic, toxic), (in_ordinary, ordinary)):
-        for words in docs:
-            counter.update({w[:n] for w in words for n in BEGINNINGS if len(w) >= n})
-    least = max(3, MIN_SHARE * len(toxic))
+def typical_part(dictionary: bytes, toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """The runs of a dictionary that clearly more of the toxic texts contain."""
+    grams = _grams(dictionary)
+    known = np.unique(grams)
 
-    def log_ratio(g: bytes) -> float:
-        return math.log((in_toxic[g] + 0.5) / (len(toxic) + 1)) - math.log((in_ordinary[g] + 0.5) / (len(ordinary) + 1))
+    def documents(texts: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(known), np.int64)
+        for t in texts:
+            own = np.unique(np.concatenate([np.empty(0, np.int64), *map(_grams, windows(t))]))
+            out += np.isin(known, own, assume_unique=True)
+        return out
 
-    ratio = {g: r for g, n in in_toxic.items() if n >= least and (r := log_ratio(g)) > MIN_LOG_RATIO}
-    chosen: list[bytes] = []
-    for g in sorted(ratio, key=lambda g: (-in_toxic[g] * min(ratio[g], 3), len(g), g)):
-        if not any(c.startswith(g) or g.startswith(c) for c in chosen):
-            chosen.append(max((h for h in ratio if h.startswith(g) and in_toxic[h] >= 0.9 * in_toxic[g]), key=lambda h: (len(h), h)))
-    return chosen[::-1]
+    a, b = documents(toxic), documents(ordinary)
+    typical = ((a + 0.5) / (len(toxic) + 1) > MIN_RATIO * (b + 0.5) / (len(ordinary) + 1)) & (a >= max(2, MIN_SHARE * len(toxic)))
+    stays = np.zeros(len(dictionary), bool)
+    starts = np.flatnonzero(typical[np.searchsorted(known, grams)]) if len(grams) else np.empty(0, np.int64)
+    for i in range(GRAM):
+        stays[starts + i] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], stays.astype(np.int8), [0]])))
+    return b" ".join(dictionary[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
 
 
 @dataclass
@@ -92,12 +121,11 @@ class ToxicityModel:
         return Meter(self.toxic, self.ordinary)
 
 
-class Meter(dict):
-    """word -> bytes that the toxic dictionary saves on its window over the ordinary one."""
+class Meter:
+    """Compresses windows with both dictionaries."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        super().__init__()
-        plain = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        plain = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=GRAM, strategy=zstandard.STRATEGY_LAZY2, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         self.by_ordinary, self.by_toxic = (self._compress(x, plain) for x in (ordinary, toxic + ordinary))
 
     @staticmethod
@@ -106,37 +134,33 @@ class Meter(dict):
             return zstandard.ZstdCompressor(compression_params=plain).compress
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=plain).compress
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        x = window(word)
-        out = self[word] = len(self.by_ordinary(x)) - len(self.by_toxic(x))
-        return out
+    def savings(self, text: bytes) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window of a text."""
+        own = windows(text)
+        return np.fromiter((len(self.by_ordinary(w)) - len(self.by_toxic(w)) for w in own), np.int64, len(own))
 
     def features(self, text: bytes) -> list[float]:
-        words = text_words(text)
-        saved = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        saved = self.savings(text)
         counts = [int((saved >= s).sum()) for s in SAVED]
-        return [*counts, *(100 * c / (20 + len(words)) for c in counts), int(saved.max(initial=0)), len(words)]
+        return [*counts, *(100 * c / (20 + len(saved)) for c in counts), int(saved.max(initial=0)), len(saved)]
 
 
 _MONOTONE = [1] * (2 * len(SAVED) + 1) + [0]
 
 
 def train_toxicity(texts: list[bytes], toxic: np.ndarray) -> ToxicityModel:
-    """The dictionaries and thresholds of texts labelled toxic (1) or not (0)."""
-    sets = [set(text_words(t)) for t in texts]
-    part = b"".join(map(window, toxic_beginnings([s for s, y in zip(sets, toxic, strict=True) if y], [s for s, y in zip(sets, toxic, strict=True) if not y])))
-    samples = [window(w) for t, y in zip(texts, toxic, strict=True) if not y for w in text_words(t)]
-    samples = samples[:: max(1, len(samples) // 200_000)]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples, d=6, k=32).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer: their end is the content
-        ordinary = b"".join(samples)[-ORDINARY_BYTES:]
-    model = ToxicityModel(part, ordinary, None)
-    meter = model.meter()
-    x = np.array([meter.features(t) for t in texts], float).reshape(-1, len(_MONOTONE))
-    model.trees = boosting.train(x, toxic.astype(float), _MONOTONE, rounds=60, depth=3, rate=0.1)
+    """The dictionaries and thresholds of texts labelled toxic (1) or not (0). Of each label
+    every other text trains the dictionaries, the rest choose and calibrate."""
+    rank = np.where(toxic == 1, np.cumsum(toxic == 1), np.cumsum(toxic != 1))
+    pick = lambda half, label: [texts[i] for i in np.flatnonzero((rank % 2 == half) & (toxic == label))]
+    plain = pick(1, 0)
+    every = max(1, sum(map(len, plain)) // (7 * WINDOW_WORDS * MAX_WINDOWS))
+    ordinary = trained([w for i, t in enumerate(plain) for w in windows(t, every, i % every)], ORDINARY_BYTES, "ordinary")
+    found = trained([w for t in pick(1, 1) for w in windows(t)], TOXIC_BYTES, "toxic")
+    model = ToxicityModel(typical_part(found, pick(0, 1), pick(0, 0)), ordinary, None)
+    meter, rest = model.meter(), np.flatnonzero(rank % 2 == 0)
+    x = np.array([meter.features(texts[i]) for i in rest], float).reshape(-1, len(_MONOTONE))
+    model.trees = boosting.train(x, toxic[rest].astype(float), _MONOTONE, rounds=60, depth=3, rate=0.1)
     return model
 
 
@@ -146,10 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_tra
     usable = labels.where("doc_id is not null and toxic in (0, 1)")
     if learn is not None:
         usable = usable.where(learn)
-    sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= max_train_chars).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    rows = texts.orderBy("doc_id").toPandas()
-    return train_toxicity([t.encode() for t in rows["text"]], rows["toxic"].to_numpy(int))
+    short = docs.select("doc_id", "text").where(F.length("text") <= max_train_chars)
+    sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(short.select("doc_id"), "doc_id", "left_semi")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
+    texts = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(texts.toLocalIterator(), key=lambda r: r.doc_id)
+    return train_toxicity([r.text.encode() for r in rows], np.array([r.toxic for r in rows], int))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
