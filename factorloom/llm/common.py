@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows in one Arrow batch: keeps a batch of long documents within a worker's memory.
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows for the Python stages of this session."""
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes for the Python stages
+    of this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -58,10 +60,29 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_buckets(spark: SparkSession) -> int:
-    """Buckets that packed keys are dealt to: follows the session's shuffle partitions, so it
-    grows with the cluster's setting for larger inputs."""
-    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+#: Bytes of input for which there is one bucket at least.
+BUCKET_BYTES = 32 << 20
+
+
+def n_buckets(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Buckets that packed keys are dealt to: follows the session's shuffle partitions and the
+    size of the input."""
+    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (input_bytes(df) if df is not None else 0) // BUCKET_BYTES)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, by the planner's statistics; others count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)  # more stands for an unknown size
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import materialize
+from factorloom.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         heard = labels.join(spread, "node").select("node", F.col("component").alias("before"), F.least("component", "heard").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("of_c"))
         after = materialize(heard.join(jump, "c").select("node", F.least("c", "of_c").alias("component"), (F.least("c", "of_c") != F.col("before")).alias("changed")), "labels")
+        discard(labels)  # the round before
         labels = after.select("node", "component")
         if after.where("changed").limit(1).count() == 0:
+            discard(both)
             return labels
     raise RuntimeError(f"components still change after {max_rounds} rounds")

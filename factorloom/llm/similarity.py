@@ -1,11 +1,14 @@
 """Exact Jaccard join of documents on sets of word shingles, by prefix trees.
 
-1. A first scan counts shingles in a sketch of fixed size. All sets are ordered by (count of
-   the shingle's slot, shingle): rare ones first, the same order everywhere.
+1. A first scan counts in how many texts each shingle occurs: blocks send their distinct
+   shingles, packed, to buckets by value, which add up exact counts. The heaviest ones go into
+   a table of at most HEAVY_MOST entries. All sets are ordered by (count in this table, else
+   none; shingle): the same order everywhere, with common passages last.
 2. A second scan gives each document its set's size and fingerprint. Documents with one
-   fingerprint are one class. Of two sets with similarity t or more, each has one of the
-   other's elements among its first n - ceil(t n) + 1; these prefixes go, packed by block and
-   without repeats within a block, to buckets by the shingle.
+   fingerprint are one class; a block gives each of its classes with a list of its documents.
+   Of two sets with similarity t or more, each has one of the other's elements among its first
+   n - ceil(t n) + 1; these prefixes go, packed by block and without repeats within a block, to
+   buckets by the shingle.
 3. A bucket lists, for each shingle, the classes with it in their prefix. The class that comes
    first in the order of fingerprints is the head; heads and members are candidate pairs after
    bounds by size and position.
@@ -29,6 +32,7 @@ table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +40,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WordHashes, as_bytes, materialize, mix, n_buckets, pack, small_batches, table, unpack, window_hashes
+from factorloom.llm.common import WordHashes, as_bytes, discard, materialize, mix, n_buckets, pack, small_batches, table, unpack, window_hashes
 from factorloom.llm.components import components
 
 K, PERCENT = 5, 75
-#: Slots of the sketch and of one of its packed pieces.
-SLOTS, PIECE = 1 << 20, 1 << 14
-#: Prefix entries of a packed block; members of a head, or of a list, that are compared at
-#: once; documents of a slot from which its shingles' lists are dealt to several tasks.
-BLOCK_ENTRIES, GROUP, HOT = 1 << 20, 256, 20_000
+#: Bits that name a shingle where it is counted, texts from which one is heavy, and entries of
+#: the table of the heaviest.
+COUNT_BITS, HEAVY, HEAVY_MOST = 40, 8, 1 << 20
+#: Shingles of a counted block; prefix entries and documents of a packed block; members of a
+#: head, or of a list, that are compared at once; texts with a shingle from which its list is
+#: dealt to several tasks.
+COUNT_ENTRIES, BLOCK_ENTRIES, BLOCK_DOCS, GROUP, HOT = 1 << 22, 1 << 20, 1 << 17, 256, 20_000
 
 
 def shingle_set(text: bytes, hashes: WordHashes, k: int = K) -> np.ndarray:
@@ -55,42 +61,127 @@ def shingle_set(text: bytes, hashes: WordHashes, k: int = K) -> np.ndarray:
     return np.unique(window_hashes(words, min(k, len(words))))
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+def shingle_sets(texts: list[bytes], hashes: WordHashes, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of many texts one behind the other, and where each begins (and the last ends)."""
+    words = [t.lower().split() for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(n)
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
+    size = np.maximum(n - k + 1, 0)
+    whole = window_hashes(h, k)[np.repeat(ends - n, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] if size.any() else np.empty(0, np.uint64)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        own = np.concatenate([window_hashes(h[ends[i] - n[i] : ends[i]], int(n[i])) for i in short])
+        whole = np.insert(whole, (np.cumsum(size) - size)[short], own)
+        size[short] = 1
+    at = np.concatenate([[0], np.cumsum(size)])
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        whole[i:j].sort()
+    fresh = np.ones(len(whole), bool)
+    fresh[1:] = whole[1:] != whole[:-1]
+    fresh[at[:-1][size > 0]] = True
+    return whole[fresh], np.concatenate([[0], np.cumsum(fresh)])[at]
+
+
+def fingerprints(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """63 bits of a hash of each whole set; -1 for an empty one."""
+    size = np.diff(at)
+    out = np.full(len(size), -1, np.int64)
+    full = np.flatnonzero(size)
+    if len(full):
+        a, b = (np.add.reduceat(x, at[:-1][full]) for x in (mix(flat), mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
+        out[full] = (mix(mix(a + mix(b)) + size[full].astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+    return out
 
 
 def fingerprint(shingles: np.ndarray) -> int:
-    """63 bits of a hash of the whole set."""
-    a, b = mix(shingles), mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    sums = np.array([a.sum(), b.sum(), len(a)], np.uint64)
-    return int(mix(mix(sums[:1] + mix(sums[1:2])) + sums[2:])[0] >> np.uint64(1))
+    return int(fingerprints(shingles, np.array([0, len(shingles)]))[0])
+
+
+def _counted(shingles: np.ndarray) -> np.ndarray:
+    return shingles >> np.uint64(64 - COUNT_BITS)
+
 
+class Heavy:
+    """The table of heavy shingles: names, sorted, and the texts that have each."""
 
-def shingle_counts(texts: DataFrame, k: int = K) -> np.ndarray:
-    """Documents by sketch slot; the array has a fixed size whatever the input."""
+    def __init__(self, names: np.ndarray, texts: np.ndarray):
+        order = np.argsort(names)
+        self.names, self.texts = names[order], texts[order]
+
+    def weights(self, flat: np.ndarray) -> np.ndarray:
+        """Texts with each shingle, 0 for all that are not heavy."""
+        if not len(self.names):
+            return np.zeros(len(flat), np.int64)
+        name = _counted(flat)
+        at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+        return np.where(self.names[at] == name, self.texts[at], 0)
+
+
+def heavy_shingles(texts: DataFrame, buckets: int, k: int = K) -> Heavy:
+    """Exact counts of all shingles over texts that differ within a block. Of each bucket the
+    heaviest come to the driver, HEAVY_MOST at most over all; shingles are spread evenly."""
+    width = -(-(1 << COUNT_BITS) // buckets)
+    most = max(1, HEAVY_MOST // buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, hashes = np.zeros(SLOTS, np.int64), WordHashes()
-        for b in batches:
-            for text in as_bytes(b["text"]):
-                np.add.at(total, _slot(shingle_set(text, hashes, k)), 1)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(range(SLOTS // PIECE), pa.int32()), "counts": pa.array([pack(total[i : i + PIECE]) for i in range(0, SLOTS, PIECE)], pa.binary())})
-
-    def add(pieces: pa.Table) -> pa.Table:
-        total = np.zeros(PIECE, np.int64)
-        for x in pieces["counts"]:
-            total += unpack(x.as_py())[0]
-        return pa.table({"piece": pieces["piece"][:1], "counts": pa.array([pack(total)], pa.binary())})
-
-    out = np.zeros(SLOTS, np.int64)
-    for r in texts.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():  # SLOTS / PIECE rows
-        out[r.piece * PIECE : (r.piece + 1) * PIECE] = unpack(r.counts)[0]
-    return out
+        hashes, held, n, seen = WordHashes(), [], 0, set()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, n
+            names, counts = np.unique(np.concatenate(held), return_counts=True)
+            ends = np.searchsorted(names, np.arange(1, buckets + 1, dtype=np.uint64) * np.uint64(width))
+            rows = []
+            for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if a < b:
+                    steps = np.diff(names[a:b] - np.uint64(i * width), prepend=np.uint64(0))
+                    rows.append((i, pack(steps.astype(np.uint16), (steps >> np.uint64(16)).astype(np.uint32), np.packbits(counts[a:b] > 1), counts[a:b][counts[a:b] > 1].astype(np.uint32))))
+            held, n = [], 0
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
+        for b in batches:
+            flat, at = shingle_sets(as_bytes(b["text"]), hashes, k)
+            fps = fingerprints(flat, at)
+            new = np.zeros(len(fps), bool)
+            new[np.unique(fps, return_index=True)[1]] = True
+            new &= np.fromiter((f not in seen for f in fps.tolist()), bool, len(fps))
+            seen.update(fps.tolist())
+            held.append(_counted(flat[np.repeat(new, np.diff(at))]))
+            n += len(held[-1])
+            if n >= COUNT_ENTRIES:
+                yield flush()
+        if n:
+            yield flush()
 
-def in_order(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The set in the global order: rare slots first, then by shingle."""
-    return shingles[np.lexsort((shingles, counts[_slot(shingles)]))]
+    def add(rows: pa.Table) -> pa.Table:
+        names, counts = [], []
+        for x in rows["payload"]:
+            low, high, many, times = unpack(x.as_py())
+            names.append(np.cumsum(low.astype(np.int64) + (high.astype(np.int64) << 16)))
+            own = np.ones(len(low), np.uint32)
+            own[np.unpackbits(many, count=len(low)) == 1] = times
+            counts.append(own)
+        names, counts = np.concatenate(names), np.concatenate(counts)
+        order = np.argsort(names)
+        names, counts = names[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        total, names = np.add.reduceat(counts.astype(np.int64), first), names[first]
+        heavy = np.flatnonzero(total >= HEAVY)
+        heavy = heavy[np.argsort(-total[heavy], kind="stable")[:most]]
+        return pa.table({"bucket": rows["bucket"][:1], "payload": pa.array([pack(names[heavy], total[heavy])], pa.binary())})
+
+    names, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for r in texts.select("text").mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInArrow(add, "bucket int, payload binary").collect():  # HEAVY_MOST entries at most
+        own, total = unpack(r.payload)
+        names.append(own + r.bucket * width)
+        counts.append(total)
+    return Heavy(np.concatenate(names).astype(np.uint64), np.concatenate(counts))
+
+
+def in_order(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: those that are not heavy first, then by texts."""
+    return shingles[np.argsort(weights, kind="stable")] if weights.any() else shingles
 
 
 def needed(n: int, percent: int) -> int:
@@ -115,37 +206,43 @@ class PrefixTree:
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             self.share.append(int(differ[0]) if len(differ) else n)
-        self.flat = np.concatenate([*self.sets, np.empty(0, np.uint64)])
         self.start = np.concatenate([[0], np.cumsum([len(s) for s in self.sets])])
+        #: The tree's distinct elements, and each row's elements as places among them.
+        self.elements, self.places = np.unique(np.concatenate([*self.sets, np.empty(0, np.uint64)]), return_inverse=True)
 
     def probe(self, query: np.ndarray, percent: int, skip=None) -> list[int]:
         """Places (in the given list) of the sets linked with the query, which is sorted by
         value. ``skip(i)`` says that the answer for set i is not wanted."""
-        at = np.searchsorted(query, self.flat)
-        hit = query[np.minimum(at, len(query) - 1)] == self.flat if len(query) else np.zeros(len(self.flat), bool)
-        found, row, least = [], 0, needed(len(query), percent)
-        path = np.zeros(1, np.int64)  # overlap after each element of the current row
+        if not len(query) or not len(self.elements):
+            return []
+        own = np.minimum(np.searchsorted(self.elements, query), len(self.elements) - 1)
+        marked = np.zeros(len(self.elements), bool)
+        marked[own[self.elements[own] == query]] = True
+        found, row, least, longest = [], 0, needed(len(query), percent), 100 * len(query) // percent
+        path = np.zeros(1, np.int64)  # overlap after each element of the last row that was looked up
+        known = 0  # elements at the beginning of the current row whose overlap path holds
         while row < len(self.sets):
             a, n = int(self.start[row]), len(self.sets[row])
-            keep = min(self.share[row], len(path) - 1)
-            tail = path[keep] + np.cumsum(hit[a + keep : a + n])
-            path = np.concatenate([path[: keep + 1], tail])
-            both = int(path[-1])
-            if not (skip and skip(self.order[row])) and linked(len(query), n, both, percent):
+            known = min(known, self.share[row])
+            if not least <= n <= longest or (skip and skip(self.order[row])):
+                row += 1
+                continue
+            tail = path[known] + np.cumsum(marked[self.places[a + known : a + n]])
+            path = np.concatenate([path[: known + 1], tail])
+            known = n
+            if linked(len(query), n, int(path[-1]), percent):
                 found.append(self.order[row])
                 row += 1
                 continue
             # The first node from which even a complete rest could not reach the threshold: no
             # row below it can link, whatever follows, as misses so far already exceed the slack.
             misses = np.arange(1, n + 1) - path[1:]
-            longest = 100 * len(query) // percent
-            dead = np.flatnonzero(longest - misses < least)
+            dead = int(np.searchsorted(misses, longest - least, "right"))  # misses never fall
             row += 1
-            if len(dead):
-                depth = int(dead[0]) + 1
-                while row < len(self.sets) and self.share[row] >= depth:
+            if dead < n:
+                while row < len(self.sets) and self.share[row] > dead:
                     row += 1
-                path = path[:depth]
+                known = dead + 1
         return found
 
 
@@ -167,25 +264,37 @@ class Union:
         return i != j
 
 
-_SCAN = "doc_id long, fp long, n long, bucket int, payload binary"
-
-
-def _scan(docs: DataFrame, counts: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
-    """Rows of two kinds: the size and fingerprint of each document (bucket is null), and packed
-    prefixes of a block's distinct sets for each bucket."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+def _scan(docs: DataFrame, heavy: Heavy, buckets: int, k: int, percent: int) -> DataFrame:
+    """Rows (bucket, kind, payload): of kind 1 the packed classes of a block with their sizes and
+    documents, of kind 0 the packed prefixes of its distinct sets."""
+    sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes = sent.value, WordHashes()
-        fps, sizes, prefixes, held, seen = [], [], [], 0, set()
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held
-            token = np.concatenate(prefixes)
+        heavy, hashes = sent.value, WordHashes()
+        fps, sizes, prefixes, weights, held, seen = [], [], [], [], 0, set()
+        owners: list[tuple] = []
+        documents = 0
+
+        def classes() -> list[tuple[int, int, bytes]]:
+            fp, n, doc, valid = (np.concatenate(c) for c in zip(*owners, strict=True))
+            order = np.lexsort((doc, valid, n, fp))
+            fp, n, doc, valid = fp[order], n[order], doc[order], valid[order]
+            first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (n[1:] != n[:-1])]))
+            size = np.diff(first, append=len(fp))
+            bucket = (mix((fp[first] ^ doc[first]).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            rows = []
+            for i in np.unique(bucket).tolist():
+                chosen = bucket == i
+                of = np.repeat(chosen, size)
+                rows.append((i, 1, pack(fp[first][chosen], n[first][chosen], size[chosen], doc[of], valid[of])))
+            return rows
+
+        def lists() -> list[tuple[int, int, bytes]]:
+            token, weight = np.concatenate(prefixes), np.concatenate(weights)
             doc = np.repeat(np.arange(len(fps), dtype=np.uint32), [len(p) for p in prefixes])
-            pieces = 1 + counts[_slot(token)] // HOT  # lists of hot shingles are dealt to several tasks
-            part = np.array(fps, np.int64)[doc] % pieces
-            bucket = mix(token + part.astype(np.uint64)) % np.uint64(buckets)
+            fp, size = np.array(fps, np.int64), np.array(sizes, np.uint32)
+            pieces = 1 + weight // HOT  # lists of hot shingles are dealt to several tasks
+            bucket = mix(token + (fp[doc] % pieces).astype(np.uint64)) % np.uint64(buckets)
             order = np.lexsort((token, bucket))
             ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
             rows = []
@@ -195,37 +304,64 @@ def _scan(docs: DataFrame, counts: np.ndarray, buckets: int, k: int, percent: in
                     own, local = np.unique(doc[at], return_inverse=True)
                     short = token[at] >> np.uint64(16)  # 48 bits name a shingle here: another one of that name is a needless candidate
                     local = local.astype(np.min_scalar_type(len(own)))
-                    rows.append((b, pack(np.array(fps, np.int64)[own], np.array(sizes, np.uint32)[own], short.astype(np.uint32), (short >> np.uint64(32)).astype(np.uint16), local, (pieces[at] > 1).astype(np.uint8))))
-            fps.clear(), sizes.clear(), prefixes.clear(), seen.clear()
-            held = 0
-            none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "fp", "n", "bucket", "payload"])
+                    rows.append((b, 0, pack(fp[own], size[own], short.astype(np.uint32), (short >> np.uint64(32)).astype(np.uint16), local, (pieces[at] > 1).astype(np.uint8))))
+            return rows
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, documents
+            rows = [*classes(), *(lists() if fps else ())]
+            for x in (fps, sizes, prefixes, weights, seen, owners):
+                x.clear()
+            held = documents = 0
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "payload"])
 
         for b in batches:
-            own_fp, own_n = [], []
-            for known, text in zip(b["doc_id"].is_valid().to_pylist(), as_bytes(b["text"]), strict=True):
-                s = shingle_set(text, hashes, k)
-                own_n.append(len(s))
-                own_fp.append(fingerprint(s) if len(s) else None)
-                if known and len(s) and own_fp[-1] not in seen:
-                    seen.add(own_fp[-1])
-                    fps.append(own_fp[-1])
-                    sizes.append(len(s))
-                    prefixes.append(in_order(s, counts)[: len(s) - needed(len(s), percent) + 1])
+            if not len(b):
+                continue
+            flat, at = shingle_sets(as_bytes(b["text"]), hashes, k)
+            weight, fp = heavy.weights(flat), fingerprints(flat, at)
+            valid = b["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+            owners.append((fp, np.diff(at), b["doc_id"].fill_null(0).to_numpy(), valid.astype(np.uint8)))
+            documents += len(b)
+            for i in np.flatnonzero(valid & (fp >= 0)).tolist():
+                name = int(fp[i])
+                if name not in seen:
+                    seen.add(name)
+                    s, w, n = flat[at[i] : at[i + 1]], weight[at[i] : at[i + 1]], int(at[i + 1] - at[i])
+                    order = np.argsort(w, kind="stable")[: n - needed(n, percent) + 1] if w.any() else slice(n - needed(n, percent) + 1)
+                    fps.append(name)
+                    sizes.append(n)
+                    prefixes.append(s[order])
+                    weights.append(w[order])
                     held += len(prefixes[-1])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(own_fp, pa.int64()), pa.array(own_n, pa.int64()), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())], ["doc_id", "fp", "n", "bucket", "payload"])
-            if held >= BLOCK_ENTRIES:
+            if held >= BLOCK_ENTRIES or documents >= BLOCK_DOCS:
                 yield flush()
-        if fps:
+        if owners:
             yield flush()
 
-    return docs.mapInArrow(scan, _SCAN)
+    return docs.mapInArrow(scan, "bucket int, kind int, payload binary")
+
+
+_FOUND = "kind int, a long, b long, ids array<long>"
+
+
+def _classes(payloads: list[bytes]) -> pa.Table:
+    """Kind 3: fingerprint, size and documents of a block's class; null for an empty set."""
+    parts = [unpack(x) for x in payloads]
+    fp, n, size, doc, valid = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 5
+    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(doc, pa.int64(), mask=valid == 0))
+    return pa.table({"kind": np.full(len(fp), 3, np.int32), "a": pa.array(fp, mask=fp < 0), "b": pa.array(n), "ids": ids})
 
 
 def _lists(rows: pa.Table, percent: int) -> pa.Table:
     """Of a bucket: kind 0, candidate pairs (head, member); kind 1, members of the groups of heads
-    with lists of three and more (group, class); kind 2, heads of parts of hot lists (shingle, class)."""
-    parts = [unpack(x.as_py()) for x in rows["payload"]]
+    with lists of three and more (group, class); kind 2, heads of parts of hot lists (shingle, class);
+    kind 3, the classes of its blocks."""
+    kinds, payloads = rows["kind"].to_pylist(), rows["payload"].to_pylist()
+    classes = _classes([x for k, x in zip(kinds, payloads, strict=True) if k == 1])
+    parts = [unpack(x) for k, x in zip(kinds, payloads, strict=True) if k == 0]
+    if not parts:
+        return classes
     fp, size = np.concatenate([p[0][p[4]] for p in parts]), np.concatenate([p[1][p[4]] for p in parts]).astype(np.int64)
     token, hot = np.concatenate([p[2] | p[3].astype(np.uint64) << np.uint64(32) for p in parts]), np.concatenate([p[5] for p in parts])
     order = np.lexsort((fp, token))
@@ -246,28 +382,30 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(groups), np.int32), np.full(len(heads), 2, np.int32)])
     a = np.concatenate([pairs[:, 0], groups[:, 0], token[heads].astype(np.int64)])
     b = np.concatenate([pairs[:, 1], groups[:, 1], fp[heads]])
-    return pa.table({"kind": kind, "a": a, "b": b})
+    return pa.concat_tables([classes, pa.table({"kind": kind, "a": a, "b": b, "ids": pa.nulls(len(a), pa.list_(pa.int64()))}).cast(classes.schema)])
 
 
-def _class_texts(docs: DataFrame, scanned: DataFrame, wanted: DataFrame) -> DataFrame:
+def _class_texts(docs: DataFrame, least: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """fp and the compressed text of the least document of each wanted class."""
-    chosen = scanned.where("fp is not null and doc_id is not null").select("fp", "doc_id").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    chosen = least.where("doc_id is not null").join(wanted, "fp", "left_semi")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd, hashes = zstandard.ZstdCompressor(level=3), WordHashes()
         for b in batches:
             texts = as_bytes(b["text"])
             # Rows may share a doc_id: the class's own text is the one with its fingerprint.
-            own = pa.array([bool(t) and fingerprint(shingle_set(t, hashes, b["k"][0].as_py())) == f for t, f in zip(texts, b["fp"].to_pylist(), strict=True)], pa.bool_())
+            own = pa.array(fingerprints(*shingle_sets(texts, hashes, k)) == b["fp"].to_numpy())
             yield pa.RecordBatch.from_arrays([b["fp"], pa.array([zstd.compress(t) for t in texts], pa.binary())], ["fp", "packed"]).filter(own)
 
-    return docs.join(chosen, "doc_id").select("fp", "text", "k").mapInArrow(squeeze, "fp long, packed binary")
+    return docs.join(chosen, "doc_id").select("fp", "text").mapInArrow(squeeze, "fp long, packed binary")
 
 
-def _made_sets(packed: pa.ChunkedArray, counts: np.ndarray, k: int) -> list[np.ndarray]:
+def _made_sets(packed: pa.ChunkedArray, heavy: Heavy, k: int) -> list[np.ndarray]:
     """The sets, in the global order, of compressed texts."""
-    hashes, zstd = WordHashes(), zstandard.ZstdDecompressor()
-    return [in_order(shingle_set(zstd.decompress(x.as_py()), hashes, k), counts) for x in packed]
+    zstd = zstandard.ZstdDecompressor()
+    flat, at = shingle_sets([zstd.decompress(x.as_py()) for x in packed], WordHashes(), k)
+    weights = heavy.weights(flat)
+    return [in_order(flat[i:j], weights[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _star_links(pairs: DataFrame, texts: DataFrame, made_sets, percent: int) -> DataFrame:
@@ -332,26 +470,32 @@ def similarity_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    counts = shingle_counts(docs, k)
-    scanned = materialize(_scan(docs, counts, n_buckets(spark), k, percent), "shingles")
-    found = materialize(scanned.where("bucket is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(lambda t: _lists(t, percent), "kind int, a long, b long"), "lists")
+    buckets = n_buckets(spark, docs)
+    heavy = heavy_shingles(docs, buckets, k)
+    found = materialize(_scan(docs, heavy, buckets, k, percent).groupBy("bucket").applyInArrow(lambda t: _lists(t, percent), _FOUND), "lists")
+    classes = found.where("kind = 3").select(F.col("a").alias("fp"), F.col("b").alias("n_shingles"), "ids")
+    # One row for each class before any join: its copies, however many, are not sent.
+    least = classes.where("fp is not null").groupBy("fp").agg(F.min(F.array_min("ids")).alias("doc_id"))
     pairs, members = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("fp")).distinct()
     heads = found.where("kind = 2").select("a", "b")
     first = heads.groupBy("a").agg(F.min("b").alias("first"))
     pairs = pairs.union(heads.join(first, "a").where("b != first").select("first", "b")).distinct()
     wanted = found.where("kind < 2").select(F.explode(F.array(F.when(F.col("kind") == 0, F.col("a")), F.col("b"))).alias("fp")).where("fp is not null").distinct()
-    texts = materialize(_class_texts(docs.withColumn("k", F.lit(k)), scanned, wanted), "texts")
-    sent = spark.sparkContext.broadcast(counts)
+    texts = materialize(_class_texts(docs, least, wanted, k), "texts")
+    sent = spark.sparkContext.broadcast(heavy)
     made_sets = lambda packed: _made_sets(packed, sent.value, k)
     stars = materialize(_star_links(pairs, texts, made_sets, percent), "links")
     labels = components(stars)
     more = materialize(_group_links(members, labels, texts, made_sets, percent), "links")
+    discard(texts)
     if more.limit(1).count():
+        discard(labels)
         labels = components(stars.union(more))
-    rows = scanned.where("bucket is null").select("doc_id", "fp", F.col("n").alias("n_shingles"))
-    classed = rows.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "fp").alias("component"))
-    least = classed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return classed.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    named = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
+    of_component = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = classes.join(named.join(of_component, "component").select("fp", "component_id"), "fp", "left")
+    rows = placed.select(F.explode("ids").alias("doc_id"), "n_shingles", "component_id")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
