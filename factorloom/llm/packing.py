@@ -36,6 +36,8 @@ BLOCK_CHARS, SHARD_IDS = 8 << 20, 1 << 20
 #: Ids of a partition.
 PARTITION_IDS = 16 << 20
 K1, B = 1.2, 0.75
+#: A term in one of so many documents of a shard, or more, has a row of postings.
+DENSE = 8
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,14 +47,22 @@ def _signature(ids: np.ndarray) -> int:
     return int(mix(pairs).min() >> np.uint64(1))
 
 
+def id_type(path: str) -> str:
+    """How ids are kept: two bytes where the vocabulary allows it."""
+    return "<u2" if len(tokens.pieces(path)) <= 1 << 16 else "<u4"
+
+
 def token_table(docs: DataFrame, path: str) -> DataFrame:
-    """docs(doc_id, text) as doc_id, n_tokens, signature, ids (little-endian unsigned 32-bit
-    integers, with the end id)."""
+    """docs(doc_id, text) as doc_id, n_tokens, signature, ids (little-endian unsigned integers of
+    ``id_type``, with the end id)."""
+    kept = id_type(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens.Encoder(path)
+
         def block(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
-            ids = [np.append(x, END_ID).astype("<u4") for x in tokens.encode_texts(texts, path)]
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([_signature(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "signature", "ids"])
+            ids = [np.append(x, END_ID).astype("<u4") for x in encoder.encode(texts)]
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([_signature(x) for x in ids], pa.int64()), pa.array([x.astype(kept).tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "signature", "ids"])
 
         doc_ids, texts, size = [], [], 0
         for b in batches:
@@ -69,17 +79,17 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, signature long, ids binary")
 
 
-def document_frequencies(table: DataFrame) -> DataFrame:
+def document_frequencies(table: DataFrame, kept: str = "<u4") -> DataFrame:
     """term, documents: in how many rows each id occurs; counted in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b["ids"]:
-                terms = np.unique(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(terms) and terms[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(terms[-1]) + 1 - len(total), np.int64)])
-                total[terms] += 1
+                ids = np.frombuffer(x.as_buffer(), kept)
+                if len(ids) and (top := int(ids.max())) >= len(total):
+                    total = np.concatenate([total, np.zeros(top + 1 - len(total), np.int64)])
+                total[ids] += 1  # once for each distinct id, as repeated places of one assignment do not add up
         terms = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(total[terms], pa.int64())], ["term", "documents"])
 
@@ -87,23 +97,39 @@ def document_frequencies(table: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """BM25 over the open ends of documents: doc_ids, ids and how far each is used."""
+    """BM25 over the open ends of documents: doc_ids, ids and how far each is used. Postings of
+    a term that is in many documents are a row with a place for each document, all others a list."""
 
     def __init__(self, docs: list[list], idf: np.ndarray, mean: float):
         self.docs = docs  # [doc_id, ids, start]
         self.ends = [d[1][d[2] :] for d in docs]
-        lengths = np.fromiter(map(len, self.ends), np.int64, len(docs))
+        lengths, n = np.fromiter(map(len, self.ends), np.int64, len(docs)), max(1, len(docs))
         terms = np.concatenate(self.ends).astype(np.int64) if docs else np.empty(0, np.int64)
-        keys, tf = np.unique(terms * max(1, len(docs)) + np.repeat(np.arange(len(docs)), lengths), return_counts=True)
-        self.term, self.doc = keys // max(1, len(docs)), keys % max(1, len(docs))
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
-        self.start = np.searchsorted(self.term, np.arange(len(idf) + 1))
+        keys, tf = np.unique(terms * n + np.repeat(np.arange(len(docs)), lengths), return_counts=True)
+        term, doc = keys // n, keys % n
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+        many = np.bincount(term, minlength=len(idf)) >= n / DENSE
+        self.asked = np.zeros(len(idf), bool)
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        rows = np.zeros((int(many.sum()), n))
+        own = many[term]
+        rows[self.row[term[own]], doc[own]] = weight[own]
+        self.rows = list(rows)
+        self.doc, self.weight = doc[~own], weight[~own]
+        self.start = np.searchsorted(term[~own], np.arange(len(idf) + 1)).tolist()
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents by falling score; each of the seed's terms is a query term."""
-        query = np.unique(self.ends[seed])
-        spans = [slice(self.start[t], self.start[t + 1]) for t in query]
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.docs))
+        self.asked[self.ends[seed]] = True
+        query = np.flatnonzero(self.asked)
+        self.asked[query] = False
+        row = self.row[query]
+        scores = np.zeros(len(self.docs))
+        for r in row[row >= 0].tolist():
+            scores += self.rows[r]
+        spans = [slice(self.start[t], self.start[t + 1]) for t in query[row < 0].tolist()]
+        if spans:
+            scores += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), scores.size)
         return np.argsort(-scores, kind="stable")  # those without a shared term come last
 
 
@@ -154,16 +180,19 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None
     """Pieces of docs(doc_id, text) in sequences of at most ``window`` ids: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset. A sequence is its pieces by offset."""
     small_batches(spark)
-    table = materialize(token_table(docs, path or tokens.vocabulary_path()), "tokens")
+    path = path or tokens.vocabulary_path()
+    kept = id_type(path)
+    table = materialize(token_table(docs, path), "tokens")
     n, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    counts = document_frequencies(table).collect()  # a row for each id of the vocabulary at most
+    counts = document_frequencies(table, kept).collect()  # a row for each id of the vocabulary at most
     found = np.zeros(max((r.term for r in counts), default=0) + 1)
     for r in counts:
         found[r.term] = r.documents
     idf = spark.sparkContext.broadcast(np.log1p((n - found + 0.5) / (found + 0.5)))
     mean = min(window, max(1.0, total / max(1, n)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_IDS))
-    dealt = table.repartitionByRange(parts, "signature", "doc_id")
+    # Sorted, so that shards do not depend on the order in which rows arrive.
+    dealt = table.repartitionByRange(parts, "signature", "doc_id").sortWithinPartitions("signature", "doc_id", F.xxhash64("ids"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, open_docs, size = Packer(TaskContext.get().partitionId() << 40, window), [], 0
@@ -177,7 +206,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str | None = None
 
         for b in batches:
             for i, x in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                open_docs.append([i, np.frombuffer(x, "<u4"), 0])
+                open_docs.append([i, np.frombuffer(x, kept).astype("<u4"), 0])
                 size += len(open_docs[-1][1])
                 if size >= SHARD_IDS:
                     yield flush(False)

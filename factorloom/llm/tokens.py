@@ -12,6 +12,7 @@ import base64
 import json
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -144,12 +145,33 @@ def spread(lengths: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.nda
     return np.repeat(starts[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+class Encoder:
+    """Encodes blocks of texts; a word known from an earlier block is not encoded again. Known
+    words are forgotten when there are more than ``most``."""
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.path, self.most = path, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen, self.lengths, self.ids = _Codes(), np.empty(0, np.int32), np.empty(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.seen) > self.most:
+            self._forget()
+        coded = [np.fromiter(map(self.seen.__getitem__, words), np.int32, len(words)) for words in map(split_words, texts)]
+        fresh = islice(self.seen, len(self.lengths), None)
+        lengths, ids = encode_words([" " + k if type(k) is str else k[0] for k in fresh], self.path)
+        self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        codes = np.concatenate([*coded, np.empty(0, np.int32)])
+        flat = self.ids[spread(self.lengths, starts, codes)]
+        per_code = np.concatenate([[0], np.cumsum(self.lengths[codes], dtype=np.int64)])
+        at = per_code[np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)])]
+        return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text, encoding each distinct word of the texts once."""
-    words, codes, counts = code_texts(texts)
-    lengths, ids = encode_words(words, path)
-    starts = np.cumsum(lengths) - lengths
-    flat = ids[spread(lengths, starts, codes)]
-    per_code = np.concatenate([[0], np.cumsum(lengths[codes])])
-    at = per_code[np.concatenate([[0], np.cumsum(counts)])]
-    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return Encoder(path).encode(texts)
