@@ -1,4 +1,7 @@
-"""The operators' inputs over the test tables, built lazily and once for each session and folder."""
+"""The operators' inputs over the test tables, built lazily and once for each session and folder.
+
+Each step that others start from is written to the shared folder once and read back, so a query
+plans its own step only."""
 
 from __future__ import annotations
 
@@ -10,30 +13,32 @@ from pyspark.sql import functions as F
 from factorloom.operators import diagnostics, factors, panel, portfolio
 from factorloom.operators.factors import FactorRules
 from factorloom.sources.bindings import bound
+from factorloom.sources.tables import hand_over
 
 
 class Panels:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._by_rules: dict[FactorRules, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return bound(self.spark, self.sf_dir, name)
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return panel.trading_calendar(self["b_trade_cal"])
+        return hand_over(panel.trading_calendar(self["b_trade_cal"]), "calendar")
 
     @cached_property
     def identity(self) -> DataFrame:
-        return panel.code_identity(self["b_code_history"])
+        return hand_over(panel.code_identity(self["b_code_history"]), "identity")
 
     @cached_property
     def meta(self) -> DataFrame:
-        return panel.stock_meta(self["b_stock_basic"], self.identity, self.calendar, F.lit("1995-01-01").cast("date"))
+        return hand_over(panel.stock_meta(self["b_stock_basic"], self.identity, self.calendar, F.lit("1995-01-01").cast("date")), "meta")
 
     @cached_property
     def daily(self) -> DataFrame:
-        return panel.daily_panel(self["b_daily"], self["b_adj"], self.meta, self.calendar)
+        return hand_over(panel.daily_panel(self["b_daily"], self["b_adj"], self.meta, self.calendar), "daily")
 
     @cached_property
     def suspended(self) -> DataFrame:
@@ -41,43 +46,45 @@ class Panels:
 
     @cached_property
     def status(self) -> DataFrame:
-        return panel.execution_status(self.daily, self["b_limit"], self.suspended, self.identity)
+        return hand_over(panel.execution_status(self.daily, self["b_limit"], self.suspended, self.identity), "status")
 
     @cached_property
     def industry(self) -> DataFrame:
-        return panel.scd2_history(self["b_industry_history"], "industry_code", self.identity)
+        return hand_over(panel.scd2_history(self["b_industry_history"], "industry_code", self.identity), "industry")
 
     @cached_property
     def names(self) -> DataFrame:
-        return panel.scd2_history(self["b_name_history"], "stock_name", self.identity)
+        return hand_over(panel.scd2_history(self["b_name_history"], "stock_name", self.identity), "names")
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return panel.month_end_panel(self["b_month_end"], self.daily, self.industry, self.names)
+        return hand_over(panel.month_end_panel(self["b_month_end"], self.daily, self.industry, self.names), "monthly")
 
     def factors(self, rules: FactorRules = FactorRules()) -> DataFrame:
-        return factors.factor_panel(self.monthly, self.daily, rules)
+        """The factor panel under the rules: a row for each entity and month."""
+        if rules not in self._by_rules:
+            self._by_rules[rules] = hand_over(factors.factor_panel(self.monthly, self.daily, rules), "factor_panel")
+        return self._by_rules[rules]
 
     @cached_property
     def raw(self) -> DataFrame:
-        return factors.raw_factors(self.monthly, factors.daily_features(self.daily))
+        return hand_over(factors.raw_factors(self.monthly, factors.daily_features(self.daily)), "raw")
 
     @cached_property
     def factor_panel(self) -> DataFrame:
-        """Kept, as most queries start from it: a row for each entity and month only."""
-        return self.factors().persist()
+        return self.factors()
 
     @cached_property
     def ic(self) -> DataFrame:
-        return diagnostics.monthly_rank_ic(self.factor_panel)
+        return hand_over(diagnostics.monthly_rank_ic(self.factor_panel), "ic")
 
     @cached_property
     def quintiles(self) -> DataFrame:
-        return diagnostics.quintile_returns(self.factor_panel)
+        return hand_over(diagnostics.quintile_returns(self.factor_panel), "quintiles")
 
     @cached_property
     def targets(self) -> DataFrame:
-        return portfolio.composite_topn(self.factor_panel, 20)
+        return hand_over(portfolio.composite_topn(self.factor_panel, 20), "targets")
 
     @cached_property
     def schedule(self) -> DataFrame:
@@ -85,7 +92,7 @@ class Panels:
 
     @cached_property
     def nav(self) -> DataFrame:
-        return portfolio.nav_daily(self["b_returns"])
+        return hand_over(portfolio.nav_daily(self["b_returns"]), "nav")
 
 
 @lru_cache(8)

@@ -11,6 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factorloom.sources.tables import hand_over
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 BINDINGS = {
@@ -143,13 +145,18 @@ def used(sql: str) -> list[str]:
     return [n for n in (*TABLES, *BINDINGS) if n in words]
 
 
+#: Bindings that are written once, as most others start from them.
+WRITTEN = {"b_daily", "b_month_end"}
+
+
 @lru_cache(256)
 def _bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if not used(BINDINGS[name]):
         return spark.sql(BINDINGS[name])
-    return spark.sql(re.sub(rf"\b({'|'.join(used(BINDINGS[name]))})\b", r"{\1}", BINDINGS[name]), **{n: _bound(spark, sf_dir, n) for n in used(BINDINGS[name])})
+    made = spark.sql(re.sub(rf"\b({'|'.join(used(BINDINGS[name]))})\b", r"{\1}", BINDINGS[name]), **{n: _bound(spark, sf_dir, n) for n in used(BINDINGS[name])})
+    return hand_over(made, name) if name in WRITTEN else made
 
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

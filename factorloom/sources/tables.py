@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,27 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share. Only in local
+    mode a temporary folder takes its place where the setting is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def hand_over(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's result to the shared folder and read it back: later steps start from the
+    table, and the loss of an executor costs no earlier step."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write_parquet(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A small result table as CSV with header, or as JSON lines."""
     df.write.mode("overwrite").format(kind).option("header", True).save(path)
