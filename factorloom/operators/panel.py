@@ -32,22 +32,34 @@ def interval_valid(day: Column) -> Column:
     return F.coalesce(F.when(role == "OLD_CODE", day < change).when(role == "NEW_CODE", day >= change).otherwise(True), F.lit(False))
 
 
+def next_of_calendar(days: DataFrame, calendar: DataFrame, strict: bool = False) -> DataFrame:
+    """Each of days(day) with the least value of calendar(day, value) on it or later, or only
+    later if ``strict``; null where none follows. Columns are taken by position. A backward fill
+    over the union of both; it has a row for each day of history, so one task orders it."""
+    (day,), (at, value) = days.columns, calendar.columns
+    both = days.select(day, F.lit(True).alias("asked"), F.lit(None).cast(calendar.schema[value].dataType).alias(value))
+    both = both.union(calendar.select(at, F.lit(False), value)).groupBy(day).agg(F.max("asked").alias("asked"), F.min(value).alias(value))
+    later = Window.orderBy(day).rowsBetween(int(strict), Window.unboundedFollowing)
+    return both.select(day, "asked", F.min(value).over(later).alias(value)).where("asked").drop("asked")
+
+
 def stock_meta(basic: DataFrame, identity: DataFrame, calendar: DataFrame, start: Column) -> DataFrame:
     """Listing reference of every known code. ``start`` is the calendar's first day; the listing
-    counts from the first open day on or after the later of both."""
+    counts from the first open day on or after the later of both; it ends with the delist date,
+    if there is one."""
     codes = basic.select("ts_code").union(identity.select("ts_code")).distinct()
-    rows = codes.join(basic.select("ts_code", F.col("list_date").alias("source_list_date")), "ts_code", "left").join(identity, "ts_code", "left")
+    rows = codes.join(basic.select("ts_code", F.col("list_date").alias("source_list_date"), "delist_date"), "ts_code", "left").join(identity, "ts_code", "left")
     rows = rows.select(
         "ts_code",
         F.coalesce("canonical_ts_code", "ts_code").alias("canonical_ts_code"),
         F.coalesce("original_list_date", "source_list_date").alias("list_date"),
+        "delist_date",
         "security_code_role",
         "effective_date",
     )
     first = F.greatest(F.col("list_date"), start)
     # As-of forward: the least open day not before; the next later one of a day that is closed.
-    starts = rows.where("list_date is not null").select(first.alias("first")).distinct()
-    open_days = starts.join(calendar, F.col("cal_date") >= F.col("first")).groupBy("first").agg(F.min("open_day_number").alias("listing_start_open_day"))
+    open_days = next_of_calendar(rows.where("list_date is not null").select(first.alias("first")), calendar.select(F.col("cal_date").alias("first"), F.col("open_day_number").alias("listing_start_open_day")))
     return (
         rows.withColumn("first", first)
         .join(open_days, "first", "left")
@@ -90,6 +102,7 @@ def daily_panel(daily: DataFrame, adj: DataFrame, meta: DataFrame, calendar: Dat
         "adj_factor",
         F.coalesce("canonical_ts_code", "ts_code").alias("canonical_ts_code"),
         "list_date",
+        "delist_date",
         "security_code_role",
         "effective_date",
         (F.col("close") * F.col("adj_factor")).alias("close_hfq"),
@@ -98,7 +111,7 @@ def daily_panel(daily: DataFrame, adj: DataFrame, meta: DataFrame, calendar: Dat
         (F.col("amount") * 1000).alias("amount_cny"),
         F.split_part("ts_code", F.lit("."), F.lit(2)).isin("SH", "SZ").alias("is_sh_sz"),
         has_reference.alias("has_listing_reference"),
-        F.when(has_reference, F.col("trade_date") >= F.col("list_date")).otherwise(False).alias("is_within_listing_window"),
+        F.when(has_reference, F.col("trade_date").between(F.col("list_date"), F.coalesce("delist_date", "trade_date"))).otherwise(False).alias("is_within_listing_window"),
         interval_valid(F.col("trade_date")).alias("security_code_interval_valid"),
         F.coalesce("has_manual_code_history", F.lit(False)).alias("has_manual_code_history"),
         F.coalesce("listing_age_is_lower_bound", F.lit(False)).alias("listing_age_is_lower_bound"),

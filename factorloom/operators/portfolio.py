@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.operators.factors import FACTORS
+from factorloom.operators.panel import next_of_calendar
 
 EPSILON, MIN_ORDER = 1e-12, 0.01
 
@@ -26,9 +27,9 @@ def composite_topn(panel: DataFrame, k: int, gross: float = 1.0, cap: float = 0.
 def rebalance_schedule(signals: DataFrame, market: DataFrame) -> DataFrame:
     """Each signal date with the next market day after it."""
     days = signals.select("signal_date").distinct()
-    following = days.join(market.select("trade_date").distinct(), F.col("trade_date") > F.col("signal_date")).groupBy("signal_date").agg(F.min("trade_date").alias("scheduled_trade_date"))
+    following = next_of_calendar(days, market.select("trade_date", F.col("trade_date").alias("scheduled_trade_date")), strict=True)
     status = F.when(F.col("scheduled_trade_date").isNull(), "OUT_OF_SCOPE_NOT_EXECUTED").otherwise("SCHEDULED_WITHIN_RESEARCH")
-    return days.join(following, "signal_date", "left").withColumn("schedule_status", status)
+    return following.withColumn("schedule_status", status)
 
 
 def market_inputs(panel: DataFrame, targets: DataFrame, schedule: DataFrame) -> DataFrame:

@@ -17,17 +17,17 @@ PANELS = {
     "t_identity": """SELECT old_ts_code AS ts_code, canonical_ts_code, effective_date, original_list_date, 'OLD_CODE' AS security_code_role FROM b_code_history
         UNION ALL SELECT new_ts_code, canonical_ts_code, effective_date, original_list_date, 'NEW_CODE' FROM b_code_history""",
     "t_meta": """SELECT u.ts_code, coalesce(m.canonical_ts_code, u.ts_code) AS canonical_ts_code, coalesce(m.original_list_date, s.list_date) AS list_date,
-          m.security_code_role, m.effective_date, m.ts_code IS NOT NULL AS has_manual_code_history,
+          s.delist_date, m.security_code_role, m.effective_date, m.ts_code IS NOT NULL AS has_manual_code_history,
           coalesce(m.original_list_date, s.list_date) IS NOT NULL AS has_listing_reference,
           coalesce(coalesce(m.original_list_date, s.list_date) < DATE '1995-01-01', false) AS listing_age_is_lower_bound,
           (SELECT min(open_day_number) FROM t_calendar c WHERE c.cal_date >= greatest(coalesce(m.original_list_date, s.list_date), DATE '1995-01-01')
              AND coalesce(m.original_list_date, s.list_date) IS NOT NULL) AS listing_start_open_day
         FROM (SELECT ts_code FROM b_stock_basic UNION SELECT ts_code FROM t_identity) u
         LEFT JOIN b_stock_basic s ON s.ts_code = u.ts_code LEFT JOIN t_identity m ON m.ts_code = u.ts_code""",
-    "t_daily0": """SELECT d.*, a.adj_factor, coalesce(s.canonical_ts_code, d.ts_code) AS canonical_ts_code, s.list_date, s.security_code_role, s.effective_date,
+    "t_daily0": """SELECT d.*, a.adj_factor, coalesce(s.canonical_ts_code, d.ts_code) AS canonical_ts_code, s.list_date, s.delist_date, s.security_code_role, s.effective_date,
           d.close * a.adj_factor AS close_hfq, d.open * a.adj_factor AS open_hfq, d.vol * 100 AS volume_share, d.amount * 1000 AS amount_cny,
           split_part(d.ts_code, '.', 2) IN ('SH', 'SZ') AS is_sh_sz, coalesce(s.has_listing_reference, false) AS has_listing_reference,
-          CASE WHEN coalesce(s.has_listing_reference, false) THEN d.trade_date >= s.list_date ELSE false END AS is_within_listing_window,
+          CASE WHEN coalesce(s.has_listing_reference, false) THEN d.trade_date >= s.list_date AND (s.delist_date IS NULL OR d.trade_date <= s.delist_date) ELSE false END AS is_within_listing_window,
           CASE WHEN s.security_code_role = 'OLD_CODE' THEN d.trade_date < s.effective_date WHEN s.security_code_role = 'NEW_CODE' THEN d.trade_date >= s.effective_date ELSE true END AS security_code_interval_valid,
           coalesce(s.has_manual_code_history, false) AS has_manual_code_history, coalesce(s.listing_age_is_lower_bound, false) AS listing_age_is_lower_bound,
           c.open_day_number, s.listing_start_open_day

@@ -49,10 +49,11 @@ FROM (SELECT DISTINCT ts_code, suppkey FROM b_daily) o
 JOIN (SELECT DISTINCT ts_code, suppkey FROM b_daily) n ON n.suppkey = o.suppkey + 1
 WHERE o.suppkey IN (1, 3)
 """,
-    # listing dates; supplier 1 has no record, every 4th is older than the calendar
+    # listing dates; supplier 1 has no record, every 4th is older than the calendar, every 11th is delisted
     "b_stock_basic": """
 SELECT DISTINCT ts_code,
-       CASE WHEN suppkey % 4 = 0 THEN DATE '1994-06-01' ELSE DATE '1996-01-01' END AS list_date
+       CASE WHEN suppkey % 4 = 0 THEN DATE '1994-06-01' ELSE DATE '1996-01-01' END AS list_date,
+       CASE WHEN suppkey % 11 = 0 THEN DATE '2000-06-30' END AS delist_date
 FROM b_daily WHERE suppkey <> 1
 """,
     # closed/closed yearly intervals, last one open
