@@ -60,7 +60,8 @@ def _ic_aggregates(x: str) -> list[Column]:
         F.avg(x).alias("mean_rank_ic"),
         F.stddev_samp(x).alias("rank_ic_std"),
         F.when(F.stddev_samp(x) > 0, F.avg(x) / F.stddev_samp(x) * ANNUAL).alias("rank_icir_annualized"),
-        F.avg(F.when(sure, (F.col(x) > 0).cast("double"))).alias("positive_rank_ic_rate"),
+        # Rounded: the last bit of a correlation of zero does not make it positive.
+        F.avg(F.when(sure, (F.round(x, 12) > 0).cast("double"))).alias("positive_rank_ic_rate"),
     ]
 
 

@@ -209,10 +209,12 @@ def drift_nav(targets: DataFrame, schedule: DataFrame, panel: DataFrame, cost: f
     held = targets.select("canonical_ts_code", "signal_date", "target_weight").join(legs, "signal_date")
     bars = panel.where("security_code_interval_valid").select("canonical_ts_code", "trade_date", F.col("close_hfq").alias("p"))
     marks = held.select("canonical_ts_code", F.col("start").alias("at")).union(held.select("canonical_ts_code", F.col("end").alias("at"))).where("at is not null").distinct()
-    asof = marks.join(bars, "canonical_ts_code").where("trade_date <= at").groupBy("canonical_ts_code", "at").agg(F.max_by("p", "trade_date").alias("p"))
+    # The last price on or before each mark: one ordered pass over bars and marks of a code.
+    line = bars.select("canonical_ts_code", F.col("trade_date").alias("at"), "p", F.lit(False).alias("mark")).union(marks.select("canonical_ts_code", "at", F.lit(None).cast("double"), F.lit(True)))
+    past = Window.partitionBy("canonical_ts_code").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    asof = line.select("canonical_ts_code", "at", "mark", F.last("p", ignorenulls=True).over(past).alias("p")).where("mark").drop("mark")
     rows = held.join(asof.select("canonical_ts_code", F.col("at").alias("start"), F.col("p").alias("p0")), ["canonical_ts_code", "start"], "left").join(asof.select("canonical_ts_code", F.col("at").alias("end"), F.col("p").alias("p1")), ["canonical_ts_code", "end"], "left")
-    # A row for each holding and month, used several times below.
-    rows = rows.withColumn("grown", F.col("target_weight") * F.coalesce(F.col("p1") / F.col("p0"), F.lit(1.0))).persist()
+    rows = rows.withColumn("grown", F.col("target_weight") * F.coalesce(F.col("p1") / F.col("p0"), F.lit(1.0)))
     growth = rows.groupBy("leg").agg(F.first("signal_date").alias("signal_date"), F.first("start").alias("start"), F.first("end").alias("end"), (F.sum("grown") + 1 - F.sum("target_weight")).alias("growth"))
     drifted = rows.join(growth.select("leg", "growth"), "leg").select((F.col("leg") + 1).alias("leg"), "canonical_ts_code", (F.col("grown") / F.col("growth")).alias("old_weight"))
     change = rows.select("leg", "canonical_ts_code", "target_weight").join(drifted, ["leg", "canonical_ts_code"], "full")

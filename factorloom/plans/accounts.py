@@ -170,6 +170,7 @@ plan(
     5,
 )
 plan("nav_daily", lambda p: p.nav, "SELECT * FROM t_nav", "strategy_daily_return benchmark_daily_return strategy_nav benchmark_nav strategy_drawdown benchmark_drawdown relative_nav")
+plan("drift_nav", lambda p: po.drift_nav(p.targets, p.schedule, p.daily, 0.001), None, "turnover growth nav_at_end")
 plan(
     "rebalance_summary",
     lambda p: po.rebalance_summary(p["b_orders"]),

@@ -160,7 +160,7 @@ plan(
     "raw_factor_coverage_rate universe_eligible_rate evaluation_rate_of_eligible",
 )
 plan("monthly_rank_ic", lambda p: p.ic, "SELECT signal_date, factor, rank_ic, observations FROM t_ic", "rank_ic")
-_ic = "avg(rank_ic) AS mean_rank_ic, stddev_samp(rank_ic) AS rank_ic_std, CASE WHEN stddev_samp(rank_ic) > 0 THEN avg(rank_ic) / stddev_samp(rank_ic) * sqrt(12) END AS rank_icir_annualized, avg(CASE WHEN rank_ic IS NOT NULL THEN (rank_ic > 0)::INT END) AS positive_rank_ic_rate"
+_ic = "avg(rank_ic) AS mean_rank_ic, stddev_samp(rank_ic) AS rank_ic_std, CASE WHEN stddev_samp(rank_ic) > 0 THEN avg(rank_ic) / stddev_samp(rank_ic) * sqrt(12) END AS rank_icir_annualized, avg(CASE WHEN rank_ic IS NOT NULL THEN (round(rank_ic, 12) > 0)::INT END) AS positive_rank_ic_rate"
 plan("ic_summary", lambda p: dg.ic_summary(p.ic), f"SELECT factor, count(rank_ic) AS months, {_ic}, min(rank_ic) AS minimum_rank_ic, max(rank_ic) AS maximum_rank_ic FROM t_ic GROUP BY factor", "mean_rank_ic rank_ic_std rank_icir_annualized positive_rank_ic_rate minimum_rank_ic maximum_rank_ic", 7)
 plan("quintile_returns", lambda p: p.quintiles, "SELECT * FROM t_qr", "mean_next_month_return")
 plan(
