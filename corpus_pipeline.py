@@ -1,4 +1,11 @@
-"""Corpus preparation: quality rules, toxicity, near duplicates, repeated passages, packing."""
+"""Corpus preparation: quality rules, toxicity, near duplicates, repeated passages, packing.
+
+Defined results of the stages: a null or empty text fails the quality rules; documents of any
+length go through whole; repeated rows share each verdict, and as they have one doc_id they stay
+together in the near-duplicate stage and are packed each; rows without doc_id are not compared
+with others; an empty table gives an empty result, and models without usable labels keep what
+the base rules keep; further columns, whatever their names, stay up to the last stage; without a
+column n_chars none is made. Ties: of linked documents the least doc_id stays."""
 
 from __future__ import annotations
 
@@ -27,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that also start earlier go; n_chars follows the text."""
-    return substring.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Passages that also start earlier go; n_chars, where there is one, follows the text."""
+    out = substring.remove_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
