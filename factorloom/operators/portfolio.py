@@ -70,25 +70,38 @@ def position_ledger(orders: DataFrame, key: list[str]) -> DataFrame:
     return daily.withColumn("units_after", F.sum("units_traded").over(so_far))
 
 
-def positions_at(ledger: DataFrame, key: list[str], before: Column) -> DataFrame:
-    """Open positions before a day."""
-    last = ledger.where(F.col("trade_date") < before).groupBy(*key).agg(F.max_by("units_after", "trade_date").alias("units"))
-    return last.where(F.col("units") > EPSILON)
+def _last_before(rows: DataFrame, marks: DataFrame, key: list[str], value: str) -> DataFrame:
+    """marks(*key, trade_date) with the last value of rows before the day: one ordered pass over
+    both for each key."""
+    line = rows.select(*key, "trade_date", F.lit(True).alias("__row"), value).union(marks.select(*key, "trade_date", F.lit(False), F.lit(None).cast(rows.schema[value].dataType)))
+    past = Window.partitionBy(*key).orderBy("trade_date", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn(value, F.last(value, ignorenulls=True).over(past)).where("not __row").drop("__row")
 
 
-def open_valuation(holdings: DataFrame, bars: DataFrame, code: str, day: Column, cash: float) -> DataFrame:
-    """Holdings at the day's open price, or else at the last close before; with the
+def positions_at(ledger: DataFrame, key: list[str], days: DataFrame) -> DataFrame:
+    """Open positions before each of days(trade_date), a row for each rebalance."""
+    begun = ledger.groupBy(*key).agg(F.min("trade_date").alias("__first"))
+    each = scenario_expand(begun, days.agg(F.collect_set("trade_date").alias("__days")))  # one row
+    marks = each.select(*key, F.explode(F.filter("__days", lambda d: d > F.col("__first"))).alias("trade_date"))
+    return _last_before(ledger, marks, key, "units_after").withColumnRenamed("units_after", "units").where(F.col("units") > EPSILON)
+
+
+def open_valuation(holdings: DataFrame, bars: DataFrame, code: str, cash: float) -> DataFrame:
+    """Holdings of each day at its open price, or else at the last close before; with the
     portfolio's value before trading."""
-    price = bars.where(F.col("trade_date") <= day).groupBy(code).agg(F.max(F.when((F.col("trade_date") == day) & (F.col("open") > 0), F.col("open"))).alias("__open"), F.max_by("close", F.when(F.col("trade_date") < day, F.col("trade_date"))).alias("__last"))
-    valued = holdings.join(price, code, "left").withColumn("price", F.coalesce("__open", "__last")).drop("__open", "__last").withColumn("current_value", F.col("units") * F.col("price"))
-    return valued.withColumn("pretrade_nav", F.sum("current_value").over(Window.partitionBy("portfolio_id")) + cash)
+    marks = holdings.select(code, "trade_date").distinct()
+    last = _last_before(bars, marks, [code], "close")
+    opened = bars.where("open > 0").select(code, "trade_date", "open")
+    valued = holdings.join(last, [code, "trade_date"], "left").join(opened, [code, "trade_date"], "left").withColumn("price", F.coalesce("open", "close")).drop("open", "close").withColumn("current_value", F.col("units") * F.col("price"))
+    return valued.withColumn("pretrade_nav", F.sum("current_value").over(Window.partitionBy("portfolio_id", "trade_date")) + cash)
 
 
 def rebalance_orders(valued: DataFrame, targets: DataFrame, code: str) -> DataFrame:
-    """Orders from current to target values; differences of a cent or less are left."""
-    nav = valued.groupBy("portfolio_id").agg(F.max("pretrade_nav").alias("nav"))
-    wanted = scenario_expand(targets.select(code, "target_weight"), nav).select("portfolio_id", code, (F.col("target_weight") * F.col("nav")).alias("target_value"))
-    both = valued.select("portfolio_id", code, "current_value").join(wanted, ["portfolio_id", code], "full").na.fill(0.0, ["current_value", "target_value"])
+    """Orders of each day from current to target values, by targets(trade_date, code,
+    target_weight); differences of a cent or less are left."""
+    nav = valued.groupBy("portfolio_id", "trade_date").agg(F.max("pretrade_nav").alias("nav"))
+    wanted = targets.select("trade_date", code, "target_weight").join(nav, "trade_date").select("portfolio_id", "trade_date", code, (F.col("target_weight") * F.col("nav")).alias("target_value"))
+    both = valued.select("portfolio_id", "trade_date", code, "current_value").join(wanted, ["portfolio_id", "trade_date", code], "full").na.fill(0.0, ["current_value", "target_value"])
     change = F.col("target_value") - F.col("current_value")
     side = F.when(change < -MIN_ORDER, "SELL").when(change > MIN_ORDER, "BUY")
     return both.withColumn("side", side).where("side is not null").withColumn("desired_notional", F.abs(change))
@@ -96,7 +109,8 @@ def rebalance_orders(valued: DataFrame, targets: DataFrame, code: str) -> DataFr
 
 def execution_gate(orders: DataFrame, status: DataFrame, code: str) -> DataFrame:
     """Why an order fails, in order of precedence, or that it is planned."""
-    rows = orders.join(status.select(code, F.lit(True).alias("known"), "has_daily_price", "suspended_at_open", "open_at_up_limit", "open_at_down_limit", "cannot_buy_at_open", "cannot_sell_at_open"), code, "left")
+    on = [code, "trade_date"]
+    rows = orders.join(status.select(*on, F.lit(True).alias("known"), "has_daily_price", "suspended_at_open", "open_at_up_limit", "open_at_down_limit", "cannot_buy_at_open", "cannot_sell_at_open"), on, "left")
     buy = F.col("side") == "BUY"
     reason = (
         F.when(F.col("known").isNull(), "NO_EXECUTION_STATUS")
@@ -111,13 +125,16 @@ def execution_gate(orders: DataFrame, status: DataFrame, code: str) -> DataFrame
     return rows.withColumn("order_status", F.when(F.col("failure_reason").isNotNull(), "FAILED").otherwise("PLANNED"))
 
 
-def cash_scaling(orders: DataFrame, scenarios: DataFrame, cash: float) -> DataFrame:
-    """How far buys are scaled under each scenario so that demand, blocked buys included, and its
-    costs fit the cash."""
-    demand = orders.groupBy("portfolio_id").agg(F.sum(F.when(F.col("side") == "BUY", F.col("desired_notional")).otherwise(0.0)).alias("total_buy_demand"), F.count_if(F.col("side") == "BUY").alias("buy_orders"))
-    rows = scenario_expand(demand, scenarios)
+def cash_scaling(orders: DataFrame, scenarios: DataFrame, fees: DataFrame, cash: float) -> DataFrame:
+    """How far a day's buys are scaled under each scenario so that demand, blocked buys included,
+    and its costs fit the cash after the day's sells: those that were not blocked, less costs."""
+    buy, sold = F.col("side") == "BUY", (F.col("side") == "SELL") & (F.col("order_status") != "FAILED")
+    total = lambda c: F.sum(F.when(c, F.col("desired_notional")).otherwise(0.0))
+    demand = orders.groupBy("portfolio_id", "trade_date").agg(total(buy).alias("total_buy_demand"), F.count_if(buy).alias("buy_orders"), total(sold).alias("sell_proceeds"))
+    rows = scenario_expand(fee_schedule(demand, fees), scenarios)
+    rows = rows.withColumn("available_cash", F.lit(cash) + F.col("sell_proceeds") * (1 - F.col("commission_rate") - F.coalesce("sell_rate", F.lit(0.0)))).drop("sell_rate")
     need = F.col("total_buy_demand") * (1 + F.col("commission_rate"))
-    scale = F.when(F.col("total_buy_demand") > 0, F.least(F.lit(1.0), F.lit(max(cash, 0.0)) / need)).otherwise(1.0)
+    scale = F.when(F.col("total_buy_demand") > 0, F.least(F.lit(1.0), F.greatest("available_cash", F.lit(0.0)) / need)).otherwise(1.0)
     return rows.withColumn("cash_scaling_factor", scale).withColumn("buy_status", F.when(F.col("cash_scaling_factor") <= 0, "INSUFFICIENT_CASH").when(F.col("cash_scaling_factor") < 1 - 1e-12, "PARTIAL_CASH_CONSTRAINT").otherwise("FILLED"))
 
 

@@ -13,7 +13,7 @@ from factorloom.plans.panels import Panels
 from factorloom.plans.registry import KEY, PERIOD_SQL, PERIODS, plan
 from factorloom.plans.twins import FACTORS, PANELS
 
-DAY, CASH, RATIO = "1999-06-01", 1_000_000.0, 1.25
+CASH, RATIO = 1_000_000.0, 1.25
 _ALL = "strategy", "benchmark"
 
 
@@ -30,17 +30,30 @@ PANELS |= {
     "t_schedule": "SELECT s.signal_date, min(b.trade_date) AS scheduled_trade_date, CASE WHEN min(b.trade_date) IS NULL THEN 'OUT_OF_SCOPE_NOT_EXECUTED' ELSE 'SCHEDULED_WITHIN_RESEARCH' END AS schedule_status FROM (SELECT DISTINCT signal_date FROM t_month) s LEFT JOIN b_benchmark b ON b.trade_date > s.signal_date GROUP BY s.signal_date",
     "t_costs": "SELECT o.*, s.*, f.sell_rate, executed_notional * commission_rate AS commission_cost, CASE WHEN side = 'SELL' THEN executed_notional * sell_rate ELSE 0.0::DOUBLE END AS stamp_duty_cost FROM b_orders o CROSS JOIN b_scenarios s LEFT JOIN b_fees f ON o.trade_date BETWEEN f.effective_from AND f.effective_to",
     "t_ledger": "SELECT portfolio_id, suppkey, trade_date, u AS units_traded, sum(u) OVER (PARTITION BY portfolio_id, suppkey ORDER BY trade_date) AS units_after FROM (SELECT portfolio_id, suppkey, trade_date, sum(CASE WHEN side = 'BUY' THEN executed_units ELSE -executed_units END) AS u FROM b_orders GROUP BY ALL)",
-    "t_held": f"SELECT portfolio_id, suppkey, max_by(units_after, trade_date) AS units FROM t_ledger WHERE trade_date < DATE '{DAY}' GROUP BY ALL HAVING max_by(units_after, trade_date) > 1e-12",
-    "t_valued": f"""SELECT h.*, p.price, h.units * p.price AS current_value, sum(h.units * p.price) OVER (PARTITION BY portfolio_id) + {CASH} AS pretrade_nav FROM t_held h LEFT JOIN (SELECT suppkey, coalesce(max(CASE WHEN trade_date = DATE '{DAY}' AND open > 0 THEN open END), max_by(close, trade_date) FILTER (WHERE trade_date < DATE '{DAY}')) AS price
-        FROM b_daily WHERE trade_date <= DATE '{DAY}' GROUP BY suppkey) p USING (suppkey)""",
-    "t_wanted": "SELECT DISTINCT suppkey, 0.01::DOUBLE AS target_weight FROM b_daily WHERE suppkey % 5 = 0",
-    "t_orders": """SELECT portfolio_id, suppkey, current_value, target_value, CASE WHEN target_value - current_value < -0.01 THEN 'SELL' ELSE 'BUY' END AS side, abs(target_value - current_value) AS desired_notional FROM (
-        SELECT portfolio_id, suppkey, coalesce(v.current_value, 0.0::DOUBLE) AS current_value, coalesce(w.target_value, 0.0::DOUBLE) AS target_value FROM (SELECT portfolio_id, suppkey, current_value FROM t_valued) v FULL JOIN
-        (SELECT n.portfolio_id, t.suppkey, t.target_weight * n.nav AS target_value FROM t_wanted t CROSS JOIN (SELECT portfolio_id, max(pretrade_nav) AS nav FROM t_valued GROUP BY 1) n) w USING (portfolio_id, suppkey)) WHERE abs(target_value - current_value) > 0.01""",
+    "t_days": "SELECT DISTINCT s.scheduled_trade_date AS trade_date FROM t_schedule s JOIN t_targets t USING (signal_date) WHERE s.scheduled_trade_date IS NOT NULL",
+    "t_wanted": """SELECT s.scheduled_trade_date AS trade_date, c.suppkey, t.target_weight FROM t_targets t JOIN t_schedule s USING (signal_date)
+        JOIN (SELECT DISTINCT ts_code, suppkey FROM b_daily) c ON c.ts_code = t.canonical_ts_code WHERE s.scheduled_trade_date IS NOT NULL""",
+    "t_held": """SELECT l.portfolio_id, l.suppkey, d.trade_date, max_by(l.units_after, l.trade_date) AS units FROM t_ledger l JOIN t_days d ON l.trade_date < d.trade_date
+        GROUP BY ALL HAVING max_by(l.units_after, l.trade_date) > 1e-12""",
+    "t_priced": """SELECT h.*, coalesce(o.open, c.close) AS price FROM t_held h LEFT JOIN (SELECT suppkey, trade_date, open FROM b_daily WHERE open > 0) o USING (suppkey, trade_date)
+        LEFT JOIN (SELECT d.trade_date, b.suppkey, max_by(b.close, b.trade_date) AS close FROM t_days d JOIN b_daily b ON b.trade_date < d.trade_date GROUP BY ALL) c USING (suppkey, trade_date)""",
+    "t_valued": f"SELECT *, units * price AS current_value, sum(units * price) OVER (PARTITION BY portfolio_id, trade_date) + {CASH} AS pretrade_nav FROM t_priced",
+    "t_orders": """SELECT portfolio_id, trade_date, suppkey, current_value, target_value, CASE WHEN target_value - current_value < -0.01 THEN 'SELL' ELSE 'BUY' END AS side, abs(target_value - current_value) AS desired_notional FROM (
+        SELECT portfolio_id, trade_date, suppkey, coalesce(v.current_value, 0.0::DOUBLE) AS current_value, coalesce(w.target_value, 0.0::DOUBLE) AS target_value FROM (SELECT portfolio_id, trade_date, suppkey, current_value FROM t_valued) v FULL JOIN
+        (SELECT n.portfolio_id, n.trade_date, t.suppkey, t.target_weight * n.nav AS target_value FROM t_wanted t JOIN (SELECT portfolio_id, trade_date, max(pretrade_nav) AS nav FROM t_valued GROUP BY ALL) n USING (trade_date)) w
+        USING (portfolio_id, trade_date, suppkey)) WHERE abs(target_value - current_value) > 0.01""",
+    "t_gated": """SELECT *, CASE WHEN failure_reason IS NOT NULL THEN 'FAILED' ELSE 'PLANNED' END AS order_status FROM (SELECT o.*, CASE WHEN e.suppkey IS NULL THEN 'NO_EXECUTION_STATUS'
+        WHEN NOT has_daily_price THEN concat('NO_OPEN_PRICE', CASE WHEN suspended_at_open THEN '_SUSPENDED' ELSE '' END) WHEN suspended_at_open THEN 'SUSPENDED_AT_OPEN' WHEN side = 'BUY' AND open_at_up_limit THEN 'OPEN_AT_UP_LIMIT' WHEN side = 'SELL' AND open_at_down_limit THEN 'OPEN_AT_DOWN_LIMIT'
+        WHEN CASE WHEN side = 'BUY' THEN cannot_buy_at_open ELSE cannot_sell_at_open END THEN 'OTHER_BLOCK' END AS failure_reason
+        FROM t_orders o LEFT JOIN (SELECT x.*, c.suppkey FROM t_exec x JOIN (SELECT DISTINCT ts_code, suppkey FROM b_daily) c USING (ts_code)) e USING (suppkey, trade_date))""",
+    "t_cash": f"""SELECT d.*, s.*, {CASH} + sell_proceeds * (1 - commission_rate - coalesce(f.sell_rate, 0)) AS available_cash FROM (
+        SELECT portfolio_id, trade_date, sum(CASE WHEN side = 'BUY' THEN desired_notional ELSE 0 END) AS total_buy_demand, count(*) FILTER (WHERE side = 'BUY') AS buy_orders,
+          sum(CASE WHEN side = 'SELL' AND order_status = 'PLANNED' THEN desired_notional ELSE 0 END) AS sell_proceeds FROM t_gated GROUP BY ALL) d
+        CROSS JOIN b_scenarios s LEFT JOIN b_fees f ON d.trade_date BETWEEN f.effective_from AND f.effective_to""",
+    "t_marks": "SELECT l.portfolio_id, l.suppkey, b.trade_date FROM (SELECT portfolio_id, suppkey, min(trade_date) AS first FROM t_ledger GROUP BY ALL) l JOIN b_benchmark b ON b.trade_date >= l.first",
     "t_stale": """SELECT portfolio_id, suppkey, trade_date, units, price, CASE WHEN pd = trade_date THEN 'CLOSE' WHEN pd IS NOT NULL THEN 'STALE_CLOSE' END AS price_source, (trade_date - pd)::INT AS stale_calendar_days, units * price AS market_value FROM (
-        SELECT g.portfolio_id, g.suppkey, g.trade_date, (SELECT max_by(units_after, l.trade_date) FROM t_ledger l WHERE l.portfolio_id = g.portfolio_id AND l.suppkey = g.suppkey AND l.trade_date <= g.trade_date) AS units,
-          (SELECT max_by(close, d.trade_date) FROM b_daily d WHERE d.suppkey = g.suppkey AND d.trade_date <= g.trade_date) AS price, (SELECT max(d.trade_date) FROM b_daily d WHERE d.suppkey = g.suppkey AND d.trade_date <= g.trade_date) AS pd
-        FROM (SELECT DISTINCT portfolio_id, suppkey, b.trade_date FROM t_ledger CROSS JOIN b_benchmark b WHERE b.trade_date BETWEEN DATE '1999-05-01' AND DATE '1999-07-31') g) WHERE units > 1e-12""",
+        SELECT m.*, l.units_after AS units, d.close AS price, d.trade_date AS pd FROM t_marks m ASOF LEFT JOIN t_ledger l ON l.portfolio_id = m.portfolio_id AND l.suppkey = m.suppkey AND l.trade_date <= m.trade_date
+        ASOF LEFT JOIN b_daily d ON d.suppkey = m.suppkey AND d.trade_date <= m.trade_date) WHERE units > 1e-12""",
     "t_refs": f"""SELECT h.old_ts_code, h.new_ts_code, h.effective_date, o.trade_date AS old_last_date, o.close AS old_close, o.adj_factor AS old_factor, n.trade_date AS successor_first_date, n.open AS successor_open, n.adj_factor AS successor_factor, {RATIO}::DOUBLE AS conversion_ratio,
         abs(o.close * o.adj_factor - o.close_hfq) <= 1e-8 AND abs(n.open * n.adj_factor - n.open_hfq) <= 1e-8 AS is_consistent FROM b_code_history h
         JOIN t_daily o ON o.ts_code = h.old_ts_code AND o.trade_date = (SELECT max(trade_date) FROM t_daily d WHERE d.ts_code = h.old_ts_code AND d.trade_date < h.effective_date)
@@ -74,35 +87,33 @@ PANELS |= {
 }
 
 
-def _day():
-    return F.lit(DAY).cast("date")
-
-
 def _ledger(p: Panels):
     return po.position_ledger(p["b_orders"], ["portfolio_id", "suppkey"])
 
 
+def _wanted(p: Panels):
+    """Targets on their scheduled days, by supplier."""
+    codes = p["b_daily"].select(F.col("ts_code").alias("canonical_ts_code"), "suppkey").distinct()
+    days = p.schedule.where("scheduled_trade_date is not null").select("signal_date", F.col("scheduled_trade_date").alias("trade_date"))
+    return p.targets.join(days, "signal_date"), codes
+
+
 def _valued(p: Panels):
-    return po.open_valuation(po.positions_at(_ledger(p), ["portfolio_id", "suppkey"], _day()), p["b_daily"], "suppkey", _day(), CASH)
+    days = _wanted(p)[0].select("trade_date").distinct()
+    return po.open_valuation(po.positions_at(_ledger(p), ["portfolio_id", "suppkey"], days), p["b_daily"], "suppkey", CASH)
 
 
 def _orders(p: Panels):
-    wanted = p["b_daily"].where("suppkey % 5 = 0").select("suppkey", F.lit(0.01).alias("target_weight")).distinct()
-    return po.rebalance_orders(_valued(p), wanted, "suppkey")
+    targets, codes = _wanted(p)
+    return po.rebalance_orders(_valued(p), targets.join(codes, "canonical_ts_code"), "suppkey")
 
 
 def _gated(p: Panels):
     codes = p["b_daily"].select("ts_code", "suppkey").distinct()
-    return po.execution_gate(_orders(p), p.status.where(F.col("trade_date") == _day()).join(codes, "ts_code"), "suppkey")
+    return po.execution_gate(_orders(p), p.status.join(codes, "ts_code"), "suppkey")
 
 
 def _stale(p: Panels):
-    days = p["b_benchmark"].where("trade_date between date'1999-05-01' and date'1999-07-31'")
-    key = ["portfolio_id", "suppkey"]
-    return po.stale_valuation(_ledger(p), p["b_daily"], days, key, "suppkey")
-
-
-def _stale_all(p: Panels):
     return po.stale_valuation(_ledger(p), p["b_daily"], p["b_benchmark"], ["portfolio_id", "suppkey"], "suppkey")
 
 
@@ -126,27 +137,21 @@ plan("fee_schedule", lambda p: po.fee_schedule(p["b_orders"].select("trade_date"
 _cost = [*_ord, "cost_scenario", "side", "sell_rate", "commission_cost", "stamp_duty_cost", "total_trading_cost"]
 plan("trade_costs", lambda p: po.trade_costs(p["b_orders"], p["b_scenarios"], p["b_fees"]).select(*_cost), f"SELECT {', '.join(_cost[:-1])}, commission_cost + stamp_duty_cost AS total_trading_cost FROM t_costs", "sell_rate commission_cost stamp_duty_cost total_trading_cost", 4)
 plan("position_ledger", _ledger, "SELECT * FROM t_ledger", "units_traded units_after", 4)
-plan("open_valuation", lambda p: _valued(p).select("portfolio_id", "suppkey", "units", "price", "current_value", "pretrade_nav"), "SELECT portfolio_id, suppkey, units, price, current_value, pretrade_nav FROM t_valued", "units price current_value pretrade_nav", 4)
+plan("open_valuation", lambda p: _valued(p).select("portfolio_id", "suppkey", "trade_date", "units", "price", "current_value", "pretrade_nav"), "SELECT portfolio_id, suppkey, trade_date, units, price, current_value, pretrade_nav FROM t_valued", "units price current_value pretrade_nav", 4)
 plan("rebalance_orders", _orders, "SELECT * FROM t_orders", "current_value target_value desired_notional", 4)
-_gate = ["portfolio_id", "suppkey", "side", "failure_reason", "order_status"]
-plan(
-    "execution_gate",
-    lambda p: _gated(p).select(*_gate),
-    f"""SELECT portfolio_id, suppkey, side, failure_reason, CASE WHEN failure_reason IS NOT NULL THEN 'FAILED' ELSE 'PLANNED' END AS order_status FROM (SELECT o.*, CASE WHEN e.ts_code IS NULL THEN 'NO_EXECUTION_STATUS' WHEN NOT has_daily_price AND suspended_at_open THEN 'NO_OPEN_PRICE_SUSPENDED'
-      WHEN NOT has_daily_price THEN 'NO_OPEN_PRICE' WHEN suspended_at_open THEN 'SUSPENDED_AT_OPEN' WHEN side = 'BUY' AND open_at_up_limit THEN 'OPEN_AT_UP_LIMIT' WHEN side = 'SELL' AND open_at_down_limit THEN 'OPEN_AT_DOWN_LIMIT'
-      WHEN CASE WHEN side = 'BUY' THEN cannot_buy_at_open ELSE cannot_sell_at_open END THEN 'OTHER_BLOCK' END AS failure_reason FROM t_orders o LEFT JOIN (SELECT x.*, c.suppkey FROM t_exec x JOIN (SELECT DISTINCT ts_code, suppkey FROM b_daily) c USING (ts_code) WHERE trade_date = DATE '{DAY}') e USING (suppkey))""",
-)
+_gate = ["portfolio_id", "suppkey", "trade_date", "side", "failure_reason", "order_status"]
+plan("execution_gate", lambda p: _gated(p).select(*_gate), f"SELECT {', '.join(_gate)} FROM t_gated")
 plan(
     "cash_scaling",
-    lambda p: po.cash_scaling(_orders(p), p["b_scenarios"], CASH),
-    f"""SELECT *, CASE WHEN cash_scaling_factor <= 0 THEN 'INSUFFICIENT_CASH' WHEN cash_scaling_factor < 1 - 1e-12 THEN 'PARTIAL_CASH_CONSTRAINT' ELSE 'FILLED' END AS buy_status FROM (SELECT portfolio_id, total_buy_demand, buy_orders, cost_scenario, commission_rate, is_baseline,
-      CASE WHEN total_buy_demand > 0 THEN least(1.0::DOUBLE, {CASH}::DOUBLE / (total_buy_demand * (1 + commission_rate))) ELSE 1.0::DOUBLE END AS cash_scaling_factor FROM (SELECT portfolio_id, sum(CASE WHEN side = 'BUY' THEN desired_notional ELSE 0 END) AS total_buy_demand, count(*) FILTER (WHERE side = 'BUY') AS buy_orders FROM t_orders GROUP BY 1) CROSS JOIN b_scenarios)""",
-    "total_buy_demand commission_rate cash_scaling_factor",
+    lambda p: po.cash_scaling(_gated(p), p["b_scenarios"], p["b_fees"], CASH),
+    """SELECT *, CASE WHEN cash_scaling_factor <= 0 THEN 'INSUFFICIENT_CASH' WHEN cash_scaling_factor < 1 - 1e-12 THEN 'PARTIAL_CASH_CONSTRAINT' ELSE 'FILLED' END AS buy_status FROM (
+      SELECT *, CASE WHEN total_buy_demand > 0 THEN least(1.0::DOUBLE, greatest(available_cash, 0) / (total_buy_demand * (1 + commission_rate))) ELSE 1.0::DOUBLE END AS cash_scaling_factor FROM t_cash)""",
+    "total_buy_demand sell_proceeds available_cash commission_rate cash_scaling_factor",
     4,
 )
 plan("stale_valuation", _stale, "SELECT * FROM t_stale", "units price market_value", 4)
-plan("stale_valuation_all_days", _stale_all, None, "units price market_value", 4)
-plan("stale_summary_all_days", lambda p: po.stale_summary(_stale_all(p), ["portfolio_id", "suppkey"]))
+plan("stale_valuation_all_days", _stale, None, "units price market_value", 4)
+plan("stale_summary_all_days", lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"]))
 plan(
     "stale_summary",
     lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"]),
