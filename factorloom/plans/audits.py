@@ -11,7 +11,7 @@ from factorloom.operators.quality import apart
 from factorloom.plans.accounts import _gated, _ledger, _refs, _valued
 from factorloom.plans.panels import Panels
 from factorloom.plans.registry import plan
-from factorloom.plans.twins import FACTORS
+from factorloom.plans.twins import CUT, FACTORS
 
 BAR = ["ts_code", "trade_date"]
 
@@ -70,12 +70,22 @@ plan(
 
 
 def _reconcile(p: Panels):
-    cut = "1999-12-31"
+    cut = CUT
     old = fc.factor_panel(p.monthly.where(F.col("signal_date") <= cut), p.daily.where(F.col("trade_date") <= cut)).select(*fc.KEY, "universe_eligible", *FACTORS)
     return qa.prefix_reconcile(old, p.factor_panel.where(F.col("signal_date") <= cut), fc.KEY, ["universe_eligible"], list(FACTORS), 1e-9).select("*").withColumn("maximum_numeric_error", F.round("maximum_numeric_error", 6))
 
 
-plan("prefix_reconcile", _reconcile, "SELECT count(*) AS old_rows, count(*) AS new_rows, 0::BIGINT AS missing_or_extra_rows, 0::BIGINT AS categorical_mismatches, 0.0::DOUBLE AS maximum_numeric_error, 'PASS' AS status FROM t_panel WHERE signal_date <= DATE '1999-12-31'", "maximum_numeric_error")
+_gap = "greatest(" + ", ".join(f"coalesce(max(abs(o.{f} - n.{f})), 0)" for f in FACTORS) + ")"
+plan(
+    "prefix_reconcile",
+    _reconcile,
+    f"""SELECT *, CASE WHEN missing_or_extra_rows = 0 AND categorical_mismatches = 0 AND maximum_numeric_error <= 1e-9 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+      SELECT count(o.signal_date) AS old_rows, count(n.signal_date) AS new_rows, count(*) FILTER (WHERE o.signal_date IS NULL OR n.signal_date IS NULL) AS missing_or_extra_rows,
+        count(*) FILTER (WHERE o.signal_date IS NOT NULL AND n.signal_date IS NOT NULL AND o.universe_eligible IS DISTINCT FROM n.universe_eligible) AS categorical_mismatches, {_gap} AS maximum_numeric_error
+      FROM t_panel_c o FULL JOIN (SELECT * FROM t_panel WHERE signal_date <= DATE '{CUT}') n ON o.canonical_ts_code = n.canonical_ts_code AND o.signal_date = n.signal_date)""",
+    "maximum_numeric_error",
+    6,
+)
 _formula = {
     "close_hfq_is_close_times_factor": ("t_daily", "abs(close_hfq - close * adj_factor) > 1e-8"),
     "volume_is_in_shares": ("t_daily", "abs(volume_share - vol * 100) > 1e-6"),

@@ -70,7 +70,41 @@ plan(
         for t, d in (("lineitem", "CAST(l_shipdate AS DATE)"), ("orders", "CAST(o_orderdate AS DATE)"), ("events", "CAST(ts AS DATE)"), ("supplier", "CAST(NULL AS DATE)"), ("documents", "CAST(NULL AS DATE)"))
     ),
 )
-plan("table_fingerprint", lambda p: src.table_fingerprint({t: p[t] for t in ("lineitem", "orders", "supplier", "part")}))
+# Columns of the tables: whole numbers and texts plainly, #fraction, @time, *list of fractions.
+COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey #c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey #s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size #p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus #o_totalprice @o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber #l_quantity #l_extendedprice #l_discount #l_tax l_returnflag l_linestatus @l_shipdate",
+    "events": "event_id @ts user_id event_type #value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id *embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
+
+def _text_sql(column: str) -> str:
+    c = column.lstrip("#@*")
+    text = {
+        "#": f"floor({c} * 1000000)::BIGINT::VARCHAR",
+        "@": f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
+        "*": f"array_to_string([floor(x::DOUBLE * 1000000)::BIGINT::VARCHAR for x in {c}], ',')",
+    }.get(column[0], f"{c}::VARCHAR")
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE md5({text}) END"
+
+
+def _fingerprint_sql(table: str) -> str:
+    parts = " || '-' || ".join(f"coalesce(sum(('0x' || substr(h, {at}, 8))::BIGINT), 0)::VARCHAR" for at in (1, 9))
+    return f"SELECT '{table}' AS \"table\", count(*) AS row_count, {parts} AS content_hash FROM (SELECT md5(concat_ws('|', {', '.join(map(_text_sql, COLUMNS[table].split()))})) AS h FROM {table})"
+
+
+plan("table_fingerprint", lambda p: src.table_fingerprint({t: p[t] for t in COLUMNS}), " UNION ALL ".join(map(_fingerprint_sql, COLUMNS)))
 plan("file_fingerprint", lambda p: src.file_fingerprint(p.spark, f"{p.sf_dir}/*.parquet"))
 
 # Panels

@@ -74,9 +74,12 @@ PANELS = {
 }
 
 
-def feature_panels(skip: int = 21, lookback: int = 252, window: int = 60, suffix: str = "") -> dict[str, str]:
-    """The panels from daily features to standard scores for given windows."""
+def feature_panels(skip: int = 21, lookback: int = 252, window: int = 60, suffix: str = "", until: str | None = None) -> dict[str, str]:
+    """The panels from daily features to standard scores for given windows; with ``until`` from
+    bars and month-ends up to that day only."""
     s = suffix
+    bars = f"(SELECT * FROM t_returns WHERE trade_date <= DATE '{until}')" if until else "t_returns"
+    months = f"(SELECT * FROM t_month WHERE signal_date <= DATE '{until}')" if until else "t_month"
     limits = ", ".join(f"quantile_cont({f}, {q}) FILTER (WHERE universe_eligible) OVER (PARTITION BY signal_date) AS {f}_{n}" for f in FACTORS for q, n in ((0.01, "p01"), (0.99, "p99")))
     clamped = ", ".join(f"CASE WHEN universe_eligible THEN greatest({f}_p01, least({f}_p99, {f})) END AS {f}_winsorized" for f in FACTORS)
     moments = ", ".join(f"avg({f}_winsorized) OVER (PARTITION BY signal_date) AS {f}_z_mean, stddev_samp({f}_winsorized) OVER (PARTITION BY signal_date) AS {f}_z_std" for f in FACTORS)
@@ -87,13 +90,13 @@ def feature_panels(skip: int = 21, lookback: int = 252, window: int = 60, suffix
             stddev_samp(r) OVER (PARTITION BY canonical_ts_code ORDER BY trade_date ROWS {window - 1} PRECEDING) AS volatility,
             count(amount_cny) OVER (PARTITION BY canonical_ts_code ORDER BY trade_date ROWS 19 PRECEDING) AS liquidity_observations,
             avg(amount_cny) OVER (PARTITION BY canonical_ts_code ORDER BY trade_date ROWS 19 PRECEDING) AS canonical_liquidity_20d
-            FROM t_returns WINDOW w AS (PARTITION BY canonical_ts_code ORDER BY trade_date)""",
+            FROM {bars} WINDOW w AS (PARTITION BY canonical_ts_code ORDER BY trade_date)""",
         f"t_raw{s}": f"""SELECT *, CASE WHEN (year(nd) * 12 + month(nd)) - (year(signal_date) * 12 + month(signal_date)) = 1 AND np > 0 THEN np / adjusted_price - 1 END AS next_month_return,
             CASE WHEN pb > 0 THEN 1 / pb END AS bm_proxy, CASE WHEN price_recent > 0 AND price_past > 0 THEN price_recent / price_past - 1 END AS momentum_12_1,
             CASE WHEN volatility_observations = {window} THEN -volatility END AS lowvol_60
             FROM (SELECT m.*, d.adjusted_price, d.price_recent, d.price_past, d.volatility_observations, d.volatility, d.liquidity_observations, d.canonical_liquidity_20d,
               lead(m.signal_date) OVER (PARTITION BY m.canonical_ts_code ORDER BY m.signal_date) AS nd, lead(d.adjusted_price) OVER (PARTITION BY m.canonical_ts_code ORDER BY m.signal_date) AS np
-              FROM t_month m JOIN t_features{s} d ON d.ts_code = m.ts_code AND d.canonical_ts_code = m.canonical_ts_code AND d.trade_date = m.asof_trade_date WHERE m.is_sh_sz AND m.is_within_listing_window AND m.security_code_interval_valid)""",
+              FROM {months} m JOIN t_features{s} d ON d.ts_code = m.ts_code AND d.canonical_ts_code = m.canonical_ts_code AND d.trade_date = m.asof_trade_date WHERE m.is_sh_sz AND m.is_within_listing_window AND m.security_code_interval_valid)""",
         f"t_universe{s}": f"""SELECT *, coalesce(universe_pre_liquidity AND round(canonical_liquidity_20d, 2) >= round(liquidity_20pct_cutoff, 2), false) AS universe_eligible
             FROM (SELECT *, quantile_cont(canonical_liquidity_20d, 0.2) FILTER (WHERE universe_pre_liquidity) OVER (PARTITION BY signal_date) AS liquidity_20pct_cutoff
               FROM (SELECT *, coalesce(has_listing_reference AND listing_age_trading_days >= 120 AND adjusted_price > 0 AND pb > 0 AND bm_proxy IS NOT NULL AND momentum_12_1 IS NOT NULL AND lowvol_60 IS NOT NULL
@@ -106,6 +109,9 @@ def feature_panels(skip: int = 21, lookback: int = 252, window: int = 60, suffix
 PANELS |= feature_panels()
 PANELS |= feature_panels(lookback=189, suffix="_m")
 PANELS |= feature_panels(window=120, suffix="_v")
+#: Day up to which the older run of a reconciliation knows its inputs.
+CUT = "1999-12-31"
+PANELS |= feature_panels(suffix="_c", until=CUT)
 PANELS |= {
     "t_long": " UNION ALL ".join(f"SELECT *, '{f}' AS factor, {f} AS raw, round({f}_z, 9) AS z FROM t_panel" for f in FACTORS),
     "t_eval": "SELECT *, round(next_month_return, 9) AS label FROM t_long WHERE universe_eligible AND next_month_return IS NOT NULL",

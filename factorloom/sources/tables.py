@@ -6,9 +6,9 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FractionalType, StructField, StructType, TimestampNTZType, TimestampType
 
 
 def scan_union_by_name(parts: list[DataFrame]) -> DataFrame:
@@ -73,10 +73,26 @@ def input_inventory(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFram
     return scan_union_by_name(rows).withColumn("status", F.when(F.col("row_count") > 0, "PASS").otherwise("FAIL"))
 
 
+def _field_text(field: StructField) -> Column:
+    """One text for each value of a column, the same in other engines: numbers with a fraction
+    as whole millionths, times to the microsecond."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    millionths = lambda x: F.floor(x.cast("double") * 1_000_000).cast("string")
+    if isinstance(kind, ArrayType):
+        return F.concat_ws(",", F.transform(c, millionths))
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return millionths(c) if isinstance(kind, FractionalType) else c.cast("string")
+
+
 def table_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows and a content hash that does not depend on their order. Hashes are summed as
-    decimals, so the sum neither overflows nor wraps."""
-    rows = [df.select(F.xxhash64(*df.columns).cast("decimal(20,0)").alias("h")).agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("content_hash")).select(F.lit(name).alias("table"), "*") for name, df in tables.items()]
+    """Rows and a content hash that does not depend on their order: the sums of the first two
+    32-bit parts of each row's MD5, as decimals, which neither overflow nor wrap."""
+    rows = []
+    for name, df in tables.items():
+        row = F.md5(F.concat_ws("|", *(F.when(F.col(f"`{f.name}`").isNull(), "-").otherwise(F.md5(_field_text(f))) for f in df.schema.fields)).cast("binary"))
+        parts = [F.coalesce(F.sum(F.conv(F.substr("h", F.lit(at), F.lit(8)), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 9)]
+        rows.append(df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *parts).alias("content_hash")).select(F.lit(name).alias("table"), "*"))
     return scan_union_by_name(rows)
 
 
