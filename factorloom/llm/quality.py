@@ -8,7 +8,9 @@ repeats, duplicate lines or capitals.
 Defined results: a null or empty text has no words and fails the base rules; repeated rows
 get the same verdict; without usable labels every document that passes the base rules is
 kept; an empty table gives an empty result; other columns of the input are ignored by the
-statistics and kept by the filter.
+statistics and kept by the filter, whatever their names. Texts of any length are measured whole;
+there are no ties, as each document is judged by itself; of labels with one doc_id the greatest
+counts.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is its own component; fewer than k words are one shingle; copies and repeated rows
 share a component; a row without doc_id gets no component and takes no part in links; an empty
-table gives an empty result; other columns of the input are ignored.
+table gives an empty result; other columns of the input are ignored. Texts of any length have
+whole sets; ties in the order of prefixes go by the shingle, those of representatives by doc_id.
 """
 
 from __future__ import annotations

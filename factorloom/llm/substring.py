@@ -19,7 +19,8 @@ A passage in very many documents thus reaches its shard once for each block.
 Defined results: a null or empty text, or one of fewer words than a window, stays as it is;
 of rows that share doc_id and text none is earlier than another, so they lose the same words;
 rows without doc_id are kept whole and not compared; an empty table gives an empty result;
-other columns of the input stay as they are in ``remove_repeats``.
+other columns of the input stay as they are in ``remove_repeats``, whatever their names. Texts of
+any length are worked through whole.
 """
 
 from __future__ import annotations

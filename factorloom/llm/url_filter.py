@@ -8,7 +8,8 @@ confirmed against the stored strings, so that a collision of digests never decid
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule
 and is allowed; repeated rows are judged alike; an empty table gives an empty result; other
-columns of the input are ignored. Of several fitting rules the longest key wins.
+columns of the input are ignored. Of several fitting rules the longest key wins. Urls of any length
+are judged whole.
 """
 
 from __future__ import annotations

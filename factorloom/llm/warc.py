@@ -12,7 +12,8 @@ largest page_id is the response; the others are revisit records without payload
 Defined results: a null html is the empty payload; a null url gives a record without target
 URI; smaller payloads are always responses; repeated rows of one page_id are the same record
 and both responses if they hold the largest page_id; an empty table gives no bundle; rows
-without page_id are responses with an identifier of their own; other columns are ignored.
+without page_id are responses with an identifier of their own; other columns are ignored,
+whatever their names. Payloads of any length are one record each.
 """
 
 from __future__ import annotations
