@@ -23,12 +23,13 @@ def _ratio(mean: Column, std: Column) -> Column:
     return F.when(std > 0, mean / std * math.sqrt(DAYS))
 
 
-def performance_summary(nav: DataFrame) -> DataFrame:
-    """Of a whole run, from ``nav_daily``."""
-    first = F.row_number().over(Window.partitionBy("cost_scenario").orderBy("trade_date")) == 1
+def performance_summary(nav: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of a whole run, from ``nav_daily``; a run for each value of the columns ``by``."""
+    by = by or ["cost_scenario"]
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("trade_date")) == 1
     rows = nav.withColumns({"r": F.when(~first, F.col("strategy_daily_return")), "b": F.when(~first, F.col("benchmark_daily_return"))}).withColumn("x", F.col("r") - F.col("b"))
     last = lambda c: F.max_by(c, "trade_date")
-    a = rows.groupBy("cost_scenario").agg(
+    a = rows.groupBy(*by).agg(
         F.min("trade_date").alias("start_date"),
         F.max("trade_date").alias("end_date"),
         F.count(F.lit(1)).alias("trading_days"),
@@ -48,6 +49,48 @@ def performance_summary(nav: DataFrame) -> DataFrame:
     return a.withColumn("annualized_return_difference", F.col("strategy_annualized_return") - F.col("benchmark_annualized_return"))
 
 
+ACCOUNT = ["portfolio_id", "cost_scenario"]
+
+
+def account_performance(accounts: DataFrame) -> DataFrame:
+    """``performance_summary`` of each account of ``account_daily``, with its cash and stale
+    weights, turnover, cost sums and counts of failed and partial orders. An account's first trade
+    is on its first day, so its highest cash weight is over all days."""
+    last = lambda c: F.max_by(c, "trade_date")
+    extra = accounts.groupBy(*ACCOUNT).agg(
+        F.avg("cash_weight").alias("average_cash_weight"),
+        F.max("cash_weight").alias("maximum_cash_weight"),
+        F.max("stale_weight").alias("maximum_stale_weight"),
+        last("stale_weight").alias("terminal_stale_weight"),
+        (last("stale_market_value") / last("initial_capital")).alias("terminal_stale_share_of_capital"),
+        F.max("maximum_stale_calendar_days").alias("maximum_stale_calendar_days"),
+        F.sum("turnover_ratio").alias("cumulative_two_way_turnover"),
+        *((F.sum(c) / last("initial_capital")).alias(f"total_{c.removeprefix('total_')}_share") for c in ("commission_cost", "stamp_duty_cost", "total_trading_cost")),
+        *(F.sum(c).alias(c) for c in ("failed_buy_orders", "failed_sell_orders", "partial_order_count")),
+    )
+    years = F.greatest((F.col("trading_days") - 1) / DAYS, F.lit(1 / DAYS))
+    rows = performance_summary(accounts, ACCOUNT).join(extra, ACCOUNT)
+    return rows.withColumn("annualized_two_way_turnover", F.col("cumulative_two_way_turnover") / years)
+
+
+def account_monthly(accounts: DataFrame) -> DataFrame:
+    """Each account's months: compounded returns, turnover, cost, worst stale and mean cash weight."""
+    compounded = lambda c: F.product(1 + F.col(c)) - 1
+    months = accounts.groupBy(*ACCOUNT, F.date_format("trade_date", "yyyy-MM").alias("month")).agg(
+        F.min("trade_date").alias("start_date"),
+        F.max("trade_date").alias("end_date"),
+        F.count(F.lit(1)).alias("trading_days"),
+        compounded("strategy_daily_return").alias("strategy_return"),
+        compounded("benchmark_daily_return").alias("benchmark_return"),
+        F.sum("turnover_ratio").alias("turnover"),
+        (F.sum("total_trading_cost") / F.first("initial_capital")).alias("trading_cost_share"),
+        F.max("stale_weight").alias("maximum_stale_weight"),
+        F.avg("cash_weight").alias("average_cash_weight"),
+        F.sum(F.col("failed_buy_orders") + F.col("failed_sell_orders")).alias("failed_orders"),
+    )
+    return months.withColumn("excess_return", F.col("strategy_return") - F.col("benchmark_return"))
+
+
 def grouped_performance(returns: DataFrame, by: list[str]) -> DataFrame:
     """Of groups of whole days: totals, annualised figures, and drawdown within the group."""
     so_far = Window.partitionBy(*by).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)

@@ -217,28 +217,79 @@ def nav_daily(returns: DataFrame) -> DataFrame:
     return rows.select("cost_scenario", "trade_date", F.col("strategy").alias("strategy_daily_return"), F.col("benchmark").alias("benchmark_daily_return"), "strategy_nav", "benchmark_nav", "strategy_drawdown", "benchmark_drawdown", (F.col("strategy_nav") / F.col("benchmark_nav")).alias("relative_nav"))
 
 
-def drift_nav(targets: DataFrame, schedule: DataFrame, panel: DataFrame, cost: float) -> DataFrame:
+def drift_nav(targets: DataFrame, schedule: DataFrame, panel: DataFrame, cost: float | Column, by: list[str] | None = None) -> DataFrame:
     """NAV at each rebalance of portfolios that drift in between: growth is the weighted price
-    relative plus uninvested cash; trading costs the turnover from drifted to new weights."""
+    relative plus uninvested cash; trading costs the turnover from drifted to new weights. Targets
+    of several portfolios, named by the columns ``by``, go through together; cost may depend on
+    these. A position without a price at both ends keeps its weight."""
+    by = by or []
     legs = schedule.where("scheduled_trade_date is not null").select("signal_date", F.col("scheduled_trade_date").alias("start"))
     order = Window.orderBy("start")  # one row for each month
     legs = legs.withColumn("end", F.lead("start").over(order)).withColumn("leg", F.row_number().over(order))
-    held = targets.select("canonical_ts_code", "signal_date", "target_weight").join(legs, "signal_date")
+    held = targets.select(*by, "canonical_ts_code", "signal_date", "target_weight").join(legs, "signal_date")
     bars = panel.where("security_code_interval_valid").select("canonical_ts_code", "trade_date", F.col("close_hfq").alias("p"))
-    marks = held.select("canonical_ts_code", F.col("start").alias("at")).union(held.select("canonical_ts_code", F.col("end").alias("at"))).where("at is not null").distinct()
+    marks = held.select("canonical_ts_code", F.explode(F.array("start", "end")).alias("at")).where("at is not null").distinct()
     # The last price on or before each mark: one ordered pass over bars and marks of a code.
     line = bars.select("canonical_ts_code", F.col("trade_date").alias("at"), "p", F.lit(False).alias("mark")).union(marks.select("canonical_ts_code", "at", F.lit(None).cast("double"), F.lit(True)))
     past = Window.partitionBy("canonical_ts_code").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0)
     asof = line.select("canonical_ts_code", "at", "mark", F.last("p", ignorenulls=True).over(past).alias("p")).where("mark").drop("mark")
     rows = held.join(asof.select("canonical_ts_code", F.col("at").alias("start"), F.col("p").alias("p0")), ["canonical_ts_code", "start"], "left").join(asof.select("canonical_ts_code", F.col("at").alias("end"), F.col("p").alias("p1")), ["canonical_ts_code", "end"], "left")
     rows = rows.withColumn("grown", F.col("target_weight") * F.coalesce(F.col("p1") / F.col("p0"), F.lit(1.0)))
-    growth = rows.groupBy("leg").agg(F.first("signal_date").alias("signal_date"), F.first("start").alias("start"), F.first("end").alias("end"), (F.sum("grown") + 1 - F.sum("target_weight")).alias("growth"))
-    drifted = rows.join(growth.select("leg", "growth"), "leg").select((F.col("leg") + 1).alias("leg"), "canonical_ts_code", (F.col("grown") / F.col("growth")).alias("old_weight"))
-    change = rows.select("leg", "canonical_ts_code", "target_weight").join(drifted, ["leg", "canonical_ts_code"], "full")
-    turnover = change.groupBy("leg").agg(F.sum(F.abs(F.coalesce("target_weight", F.lit(0.0)) - F.coalesce("old_weight", F.lit(0.0)))).alias("turnover"))
-    done = growth.join(turnover, "leg").withColumn("step", (1 - F.lit(cost) * F.col("turnover")) * F.when(F.col("end").isNull(), 1.0).otherwise(F.col("growth")))
-    so_far = Window.orderBy("leg").rowsBetween(Window.unboundedPreceding, 0)
-    return done.select("signal_date", F.col("start").alias("trade_date"), "turnover", F.when(F.col("end").isNotNull(), F.col("growth")).alias("growth"), F.product("step").over(so_far).alias("nav_at_end"))
+    growth = rows.groupBy(*by, "leg").agg(F.first("signal_date").alias("signal_date"), F.first("start").alias("start"), F.first("end").alias("end"), (F.sum("grown") + 1 - F.sum("target_weight")).alias("growth"))
+    drifted = rows.join(growth.select(*by, "leg", "growth"), [*by, "leg"]).select(*by, (F.col("leg") + 1).alias("leg"), "canonical_ts_code", (F.col("grown") / F.col("growth")).alias("old_weight"))
+    change = rows.select(*by, "leg", "canonical_ts_code", "target_weight").join(drifted, [*by, "leg", "canonical_ts_code"], "full")
+    turnover = change.groupBy(*by, "leg").agg(F.sum(F.abs(F.coalesce("target_weight", F.lit(0.0)) - F.coalesce("old_weight", F.lit(0.0)))).alias("turnover"))
+    price = cost if isinstance(cost, Column) else F.lit(cost)
+    done = growth.join(turnover, [*by, "leg"]).withColumn("step", (1 - price * F.col("turnover")) * F.when(F.col("end").isNull(), 1.0).otherwise(F.col("growth")))
+    so_far = Window.partitionBy(*by).orderBy("leg").rowsBetween(Window.unboundedPreceding, 0)
+    return done.select(*by, "signal_date", F.col("start").alias("trade_date"), "turnover", F.when(F.col("end").isNotNull(), F.col("growth")).alias("growth"), F.product("step").over(so_far).alias("nav_at_end"))
+
+
+def account_daily(orders: DataFrame, valued: DataFrame, benchmark: DataFrame, scenarios: DataFrame, fees: DataFrame, capital: DataFrame) -> DataFrame:
+    """Cash, market value and NAV of each portfolio and cost scenario on every market day from its
+    first order on. ``valued`` is ``stale_valuation``, ``capital`` (portfolio_id, initial_capital)
+    the cash before the first order; orders lie on market days. Fills are summed before the
+    scenarios multiply them. Turnover is two-way, by the NAV of the day before; the first day's
+    returns are 0. Days outside every fee regime have no stamp duty."""
+    buy, status = F.col("side") == "BUY", F.col("order_status")
+    flows = orders.groupBy("portfolio_id", "trade_date").agg(
+        F.sum(F.when(buy, F.col("executed_notional")).otherwise(0.0)).alias("executed_buy_notional"),
+        F.sum(F.when(~buy, F.col("executed_notional")).otherwise(0.0)).alias("executed_sell_notional"),
+        F.count_if(buy & (status == "FAILED")).alias("failed_buy_orders"),
+        F.count_if(~buy & (status == "FAILED")).alias("failed_sell_orders"),
+        F.count_if(status == "PARTIAL_CASH_CONSTRAINT").alias("partial_order_count"),
+    )
+    stale = F.col("stale_calendar_days") > 0
+    marks = valued.groupBy("portfolio_id", "trade_date").agg(
+        F.sum("market_value").alias("market_value"),
+        F.count(F.lit(1)).alias("holding_count"),
+        F.count_if(stale).alias("stale_position_count"),
+        F.sum(F.when(stale, F.col("market_value")).otherwise(0.0)).alias("stale_market_value"),
+        F.max("stale_calendar_days").alias("maximum_stale_calendar_days"),
+    )
+    market = benchmark.select("trade_date", F.col("close").alias("benchmark_close"))
+    end = market.agg(F.max("trade_date").alias("end"))  # one row
+    span = flows.groupBy("portfolio_id").agg(F.min("trade_date").alias("first")).join(end).where("first <= end")
+    grid = span.select("portfolio_id", F.explode(F.sequence("first", "end")).alias("trade_date")).join(market, "trade_date")
+    day = ["portfolio_id", "trade_date"]
+    rows = grid.join(flows, day, "left").join(marks, day, "left").join(capital, "portfolio_id")
+    rows = rows.na.fill(0, [c for c in (*flows.columns, *marks.columns) if c not in day])
+    rows = scenario_expand(fee_schedule(rows, fees), scenarios)
+    rows = rows.withColumn("turnover_notional", F.col("executed_buy_notional") + F.col("executed_sell_notional"))
+    rows = rows.withColumns({"commission_cost": F.col("turnover_notional") * F.col("commission_rate"), "stamp_duty_cost": F.col("executed_sell_notional") * F.coalesce("sell_rate", F.lit(0.0))})
+    rows = rows.withColumn("total_trading_cost", F.col("commission_cost") + F.col("stamp_duty_cost"))
+    by = Window.partitionBy("portfolio_id", "cost_scenario").orderBy("trade_date")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    change = F.col("executed_sell_notional") - F.col("executed_buy_notional") - F.col("total_trading_cost")
+    rows = rows.withColumn("cash", F.col("initial_capital") + F.sum(change).over(so_far))
+    rows = rows.withColumn("total_nav", F.col("cash") + F.col("market_value"))
+    before = F.coalesce(F.lag("total_nav").over(by), "initial_capital")
+    rows = rows.withColumns({"strategy_nav": F.col("total_nav") / F.col("initial_capital"), "benchmark_nav": F.col("benchmark_close") / F.first("benchmark_close").over(so_far), "turnover_ratio": F.when(before > 0, F.col("turnover_notional") / before).otherwise(0.0)})
+    rows = rows.withColumns({f"{n}_daily_return": F.coalesce(F.try_divide(f"{n}_nav", F.lag(f"{n}_nav").over(by)) - 1, F.lit(0.0)) for n in ("strategy", "benchmark")})
+    rows = rows.withColumns({f"{n}_drawdown": F.col(f"{n}_nav") / F.max(f"{n}_nav").over(so_far) - 1 for n in ("strategy", "benchmark")})
+    share = lambda c: F.when(F.col("total_nav") > 0, F.col(c) / F.col("total_nav"))
+    rows = rows.withColumns({"cash_weight": share("cash"), "market_value_weight": share("market_value"), "stale_weight": share("stale_market_value"), "relative_nav": F.col("strategy_nav") / F.col("benchmark_nav")})
+    return rows.drop("sell_rate", "commission_rate", "benchmark_close")
 
 
 def rebalance_summary(orders: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.stats import per_group
@@ -53,10 +53,32 @@ def variant_signals(variants: dict[str, DataFrame], k: int) -> DataFrame:
     return out
 
 
-def experiment_registry(selected: DataFrame) -> DataFrame:
-    """One row for each experiment: rows, months and how many are selected in a month."""
+def at_other_costs(selected: DataFrame, of: str, names: list[str]) -> DataFrame:
+    """Selections with those of one experiment once more under each of the names."""
+    again = F.explode(F.array(*map(F.lit, names))).alias("experiment_id")
+    same = [c for c in selected.columns if c != "experiment_id"]
+    return selected.unionByName(selected.where(F.col("experiment_id") == of).select(*same, again))
+
+
+def experiment_registry(selected: DataFrame, nav: DataFrame, cost: Column) -> DataFrame:
+    """One row for each experiment: rows, months, how many are selected in a month, and what its
+    path in ``nav`` (``drift_nav`` by experiment_id) returned, fell, traded and paid. Drawdowns are
+    between rebalances, from a NAV of 1 on; the total return is a logarithm."""
     months = selected.groupBy("experiment_id", "signal_date").agg(F.count(F.lit(1)).alias("n"))
-    return months.groupBy("experiment_id").agg(F.sum("n").alias("selected_rows"), F.count(F.lit(1)).alias("signal_months"), F.min("n").alias("minimum_selected"), F.max("n").alias("maximum_selected"), F.avg("n").alias("average_selected"))
+    counts = months.groupBy("experiment_id").agg(F.sum("n").alias("selected_rows"), F.count(F.lit(1)).alias("signal_months"), F.min("n").alias("minimum_selected"), F.max("n").alias("maximum_selected"), F.avg("n").alias("average_selected"))
+    so_far = Window.partitionBy("experiment_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    path = nav.withColumn("fall", F.col("nav_at_end") / F.greatest(F.lit(1.0), F.max("nav_at_end").over(so_far)) - 1)
+    results = path.groupBy("experiment_id").agg(
+        F.min("trade_date").alias("start_date"),
+        F.max("trade_date").alias("end_date"),
+        F.ln(F.max_by("nav_at_end", "trade_date")).alias("log_total_return"),
+        F.least(F.min("fall"), F.lit(0.0)).alias("maximum_drawdown"),
+        F.sum("turnover").alias("two_way_turnover"),
+        F.sum(cost * F.col("turnover")).alias("trading_cost_share"),
+    )
+    years = F.date_diff("end_date", "start_date") / 365.25
+    results = results.withColumn("annualized_log_return", F.when(F.col("end_date") > F.col("start_date"), F.col("log_total_return") / years))
+    return counts.join(results, "experiment_id", "left")
 
 
 def recovery_sensitivity(performance: DataFrame, stale: DataFrame, rates: list[float]) -> DataFrame:

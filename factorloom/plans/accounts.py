@@ -14,6 +14,7 @@ from factorloom.plans.registry import KEY, PERIOD_SQL, PERIODS, plan
 from factorloom.plans.twins import FACTORS, PANELS
 
 CASH, RATIO = 1_000_000.0, 1.25
+BASE_COST, COSTS = 0.001, {"COST_5BPS": 0.0005, "COST_20BPS": 0.002}
 _ALL = "strategy", "benchmark"
 
 
@@ -73,15 +74,64 @@ def _grouped(source: str, by: str) -> str:
         stddev_samp(x) * sqrt(252) AS tracking_error_annualized, CASE WHEN stddev_samp(x) > 0 THEN avg(x) / stddev_samp(x) * sqrt(252) END AS information_ratio FROM ({falls}) GROUP BY {by})"""
 
 
+def _drifting(targets: str, cost: str, by: str = "") -> str:
+    """drift_nav in SQL; by: key columns, each followed by a comma."""
+    keys = [k.strip() for k in by.split(",") if k.strip()]
+    over = f"PARTITION BY {', '.join(keys)} ORDER BY leg" if keys else "ORDER BY leg"
+    bars = "(SELECT canonical_ts_code AS c, trade_date AS d, close_hfq AS p FROM t_daily WHERE security_code_interval_valid AND close_hfq IS NOT NULL)"
+    legs = "(SELECT signal_date, scheduled_trade_date AS b, lead(scheduled_trade_date) OVER (ORDER BY scheduled_trade_date) AS e, row_number() OVER (ORDER BY scheduled_trade_date) AS leg FROM t_schedule WHERE scheduled_trade_date IS NOT NULL)"
+    held = f"SELECT {by} t.canonical_ts_code AS code, signal_date, b, e, leg, target_weight AS w FROM {targets} t JOIN {legs} USING (signal_date)"
+    priced = f"SELECT h.*, w * coalesce(y.p / x.p, 1) AS grown FROM ({held}) h ASOF LEFT JOIN {bars} x ON x.c = h.code AND x.d <= h.b ASOF LEFT JOIN {bars} y ON y.c = h.code AND y.d <= coalesce(h.e, DATE '0001-01-01')"
+    sums = f"SELECT *, sum(grown) OVER g + 1 - sum(w) OVER g AS growth FROM ({priced}) WINDOW g AS (PARTITION BY {by} leg)"
+    moves = f"SELECT {by} leg, code, sum(w) - sum(old) AS change FROM (SELECT {by} leg, code, w, 0 AS old FROM r UNION ALL SELECT {by} leg + 1, code, 0, grown / growth FROM r) GROUP BY {by} leg, code"
+    return f"""SELECT *, product((1 - {cost} * turnover) * coalesce(growth, 1)) OVER (w ROWS UNBOUNDED PRECEDING) AS nav_at_end FROM (
+      WITH r AS ({sums}) SELECT {by} signal_date, b AS trade_date, leg, turnover, CASE WHEN e IS NOT NULL THEN growth END AS growth
+      FROM (SELECT DISTINCT {by} signal_date, b, e, leg, first_value(growth) OVER (PARTITION BY {by} leg ORDER BY code) AS growth FROM r) JOIN (SELECT {by} leg, sum(abs(change)) AS turnover FROM ({moves}) GROUP BY {by} leg) USING ({by} leg)) WINDOW w AS ({over})"""
+
+
+def _flow(side: str) -> str:
+    return f"sum(CASE WHEN side {side} 'BUY' THEN executed_notional ELSE 0 END)"
+
+
+def _count(where: str) -> str:
+    return f"count(*) FILTER (WHERE {where})"
+
+
+_w = "(PARTITION BY portfolio_id, cost_scenario ORDER BY trade_date)"
+PANELS |= {
+    "t_flow": f"""SELECT portfolio_id, trade_date, {_flow('=')} AS executed_buy_notional, {_flow('<>')} AS executed_sell_notional, {_count("order_status = 'FAILED' AND side = 'BUY'")} AS failed_buy_orders,
+      {_count("order_status = 'FAILED' AND side <> 'BUY'")} AS failed_sell_orders, {_count("order_status = 'PARTIAL_CASH_CONSTRAINT'")} AS partial_order_count FROM b_orders GROUP BY ALL""",
+    "t_capital": f"SELECT portfolio_id, {_flow('=')} * 1.1::DOUBLE + 1 AS initial_capital, min(trade_date) AS first_day FROM b_orders GROUP BY portfolio_id",
+    "t_mark": f"""SELECT portfolio_id, trade_date, sum(market_value) AS market_value, count(*) AS holding_count, {_count("stale_calendar_days > 0")} AS stale_position_count,
+      sum(CASE WHEN stale_calendar_days > 0 THEN market_value ELSE 0 END) AS stale_market_value, max(stale_calendar_days) AS maximum_stale_calendar_days FROM t_stale GROUP BY ALL""",
+    "t_acc0": """SELECT c.portfolio_id, s.cost_scenario, s.is_baseline, m.trade_date, m.close AS benchmark_close, c.initial_capital, coalesce(executed_buy_notional, 0) AS executed_buy_notional, coalesce(executed_sell_notional, 0) AS executed_sell_notional,
+      coalesce(failed_buy_orders, 0) AS failed_buy_orders, coalesce(failed_sell_orders, 0) AS failed_sell_orders, coalesce(partial_order_count, 0) AS partial_order_count, coalesce(market_value, 0) AS market_value, coalesce(holding_count, 0) AS holding_count,
+      coalesce(stale_position_count, 0) AS stale_position_count, coalesce(stale_market_value, 0) AS stale_market_value, coalesce(maximum_stale_calendar_days, 0) AS maximum_stale_calendar_days,
+      (coalesce(executed_buy_notional, 0) + coalesce(executed_sell_notional, 0)) * s.commission_rate AS commission_cost, coalesce(executed_sell_notional, 0) * coalesce(f.sell_rate, 0) AS stamp_duty_cost
+      FROM t_capital c JOIN b_benchmark m ON m.trade_date >= c.first_day CROSS JOIN b_scenarios s LEFT JOIN b_fees f ON m.trade_date BETWEEN f.effective_from AND f.effective_to
+      LEFT JOIN t_flow x ON x.portfolio_id = c.portfolio_id AND x.trade_date = m.trade_date LEFT JOIN t_mark k ON k.portfolio_id = c.portfolio_id AND k.trade_date = m.trade_date""",
+    "t_acc1": f"SELECT *, commission_cost + stamp_duty_cost AS total_trading_cost, initial_capital + sum(executed_sell_notional - executed_buy_notional - commission_cost - stamp_duty_cost) OVER {_w} AS cash FROM t_acc0",
+    "t_acc2": f"SELECT *, cash + market_value AS total_nav, (cash + market_value) / initial_capital AS strategy_nav, benchmark_close / first_value(benchmark_close) OVER {_w} AS benchmark_nav, coalesce(lag(cash + market_value) OVER {_w}, initial_capital) AS nav_before FROM t_acc1",
+    "t_acc": f"""SELECT *, coalesce(strategy_nav / lag(strategy_nav) OVER w - 1, 0) AS strategy_daily_return, coalesce(benchmark_nav / lag(benchmark_nav) OVER w - 1, 0) AS benchmark_daily_return, strategy_nav / max(strategy_nav) OVER w - 1 AS strategy_drawdown,
+      benchmark_nav / max(benchmark_nav) OVER w - 1 AS benchmark_drawdown, strategy_nav / benchmark_nav AS relative_nav, CASE WHEN nav_before > 0 THEN (executed_buy_notional + executed_sell_notional) / nav_before ELSE 0 END AS turnover_ratio,
+      CASE WHEN total_nav > 0 THEN cash / total_nav END AS cash_weight, CASE WHEN total_nav > 0 THEN market_value / total_nav END AS market_value_weight, CASE WHEN total_nav > 0 THEN stale_market_value / total_nav END AS stale_weight FROM t_acc2 WINDOW w AS {_w}""",
+}
+def _run_sql(source: str, by: str) -> str:
+    """performance_summary in SQL."""
+    return f"""SELECT *, pow(1 + strategy_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) - 1 AS strategy_annualized_return, pow(1 + benchmark_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) - 1 AS benchmark_annualized_return,
+      pow(1 + strategy_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) - pow(1 + benchmark_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) AS annualized_return_difference FROM (
+      SELECT {by}, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS trading_days, max_by(strategy_nav, trade_date) - 1 AS strategy_total_return, max_by(benchmark_nav, trade_date) - 1 AS benchmark_total_return, stddev_samp(r) * sqrt(252) AS strategy_annualized_volatility, stddev_samp(b) * sqrt(252) AS benchmark_annualized_volatility,
+        CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(252) END AS strategy_sharpe_zero_rf, min(strategy_drawdown) AS strategy_max_drawdown, min(benchmark_drawdown) AS benchmark_max_drawdown, max_by(relative_nav, trade_date) AS terminal_relative_nav, stddev_samp(r - b) * sqrt(252) AS tracking_error_annualized,
+        CASE WHEN stddev_samp(r - b) > 0 THEN avg(r - b) / stddev_samp(r - b) * sqrt(252) END AS information_ratio FROM (SELECT *, CASE WHEN rn > 1 THEN strategy_daily_return END AS r, CASE WHEN rn > 1 THEN benchmark_daily_return END AS b FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY trade_date) AS rn FROM {source})) GROUP BY {by})"""
+
+
 _METRICS = "strategy_total_return benchmark_total_return strategy_annualized_volatility benchmark_annualized_volatility strategy_max_drawdown benchmark_max_drawdown strategy_sharpe_zero_rf tracking_error_annualized information_ratio strategy_annualized_return benchmark_annualized_return terminal_relative_nav"
 PANELS |= {
     "t_period": _grouped(f"(SELECT r.*, p.period FROM b_returns r JOIN {PERIOD_SQL} ON r.trade_date BETWEEN p.a AND p.b)", "cost_scenario, period"),
+    "t_period_acc": _grouped(f"(SELECT r.*, p.period FROM t_acc r JOIN {PERIOD_SQL} ON r.trade_date BETWEEN p.a AND p.b)", "portfolio_id, cost_scenario, period"),
     "t_annual": _grouped("(SELECT *, year(trade_date)::INT AS year FROM b_returns)", "cost_scenario, year"),
-    "t_perf": """SELECT *, pow(1 + strategy_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) - 1 AS strategy_annualized_return, pow(1 + benchmark_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) - 1 AS benchmark_annualized_return,
-      pow(1 + strategy_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) - pow(1 + benchmark_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) AS annualized_return_difference FROM (
-      SELECT cost_scenario, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS trading_days, max_by(strategy_nav, trade_date) - 1 AS strategy_total_return, max_by(benchmark_nav, trade_date) - 1 AS benchmark_total_return, stddev_samp(r) * sqrt(252) AS strategy_annualized_volatility, stddev_samp(b) * sqrt(252) AS benchmark_annualized_volatility,
-        CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(252) END AS strategy_sharpe_zero_rf, min(strategy_drawdown) AS strategy_max_drawdown, min(benchmark_drawdown) AS benchmark_max_drawdown, max_by(relative_nav, trade_date) AS terminal_relative_nav, stddev_samp(r - b) * sqrt(252) AS tracking_error_annualized,
-        CASE WHEN stddev_samp(r - b) > 0 THEN avg(r - b) / stddev_samp(r - b) * sqrt(252) END AS information_ratio FROM (SELECT *, CASE WHEN rn > 1 THEN strategy_daily_return END AS r, CASE WHEN rn > 1 THEN benchmark_daily_return END AS b FROM (SELECT *, row_number() OVER (PARTITION BY cost_scenario ORDER BY trade_date) AS rn FROM t_nav)) GROUP BY cost_scenario)""",
+    "t_perf": _run_sql("t_nav", "cost_scenario"),
+    "t_perf_acc": _run_sql("t_acc", "portfolio_id, cost_scenario"),
     "t_monthly": """SELECT cost_scenario, month, start_date, end_date, trading_days, strategy_return, benchmark_return, coalesce(failed_orders, 0) AS failed_orders, strategy_return - benchmark_return AS excess_return FROM (SELECT cost_scenario, strftime(trade_date, '%Y-%m') AS month, min(trade_date) AS start_date, max(trade_date) AS end_date,
       count(*) AS trading_days, product(1 + strategy_daily_return) - 1 AS strategy_return, product(1 + benchmark_daily_return) - 1 AS benchmark_return FROM b_returns GROUP BY ALL) LEFT JOIN (SELECT strftime(trade_date, '%Y-%m') AS month, count(*) AS failed_orders FROM b_orders WHERE order_status = 'FAILED' GROUP BY 1) USING (month)""",
 }
@@ -114,7 +164,7 @@ def _gated(p: Panels):
 
 
 def _stale(p: Panels):
-    return po.stale_valuation(_ledger(p), p["b_daily"], p["b_benchmark"], ["portfolio_id", "suppkey"], "suppkey")
+    return p.stale
 
 
 def _refs(p: Panels):
@@ -175,7 +225,26 @@ plan(
     5,
 )
 plan("nav_daily", lambda p: p.nav, "SELECT * FROM t_nav", "strategy_daily_return benchmark_daily_return strategy_nav benchmark_nav strategy_drawdown benchmark_drawdown relative_nav")
-plan("drift_nav", lambda p: po.drift_nav(p.targets, p.schedule, p.daily, 0.001), None, "turnover growth nav_at_end")
+# NAVs of the test data span many powers of ten, so the query gives their logarithms.
+_drift = "signal_date, trade_date, turnover, growth"
+plan(
+    "drift_nav",
+    lambda p: po.drift_nav(p.targets, p.schedule, p.daily, BASE_COST).withColumn("log_nav_at_end", F.ln("nav_at_end")).drop("nav_at_end"),
+    f"SELECT {_drift}, ln(nav_at_end) AS log_nav_at_end FROM ({_drifting('t_targets', str(BASE_COST))})",
+    "turnover growth log_nav_at_end",
+    7,
+)
+_money = ["executed_buy_notional", "executed_sell_notional", "commission_cost", "stamp_duty_cost", "total_trading_cost", "cash", "market_value", "stale_market_value", "total_nav"]
+_counts = ["holding_count", "stale_position_count", "maximum_stale_calendar_days", "failed_buy_orders", "failed_sell_orders", "partial_order_count"]
+_ratios = ["strategy_nav", "benchmark_nav", "strategy_daily_return", "benchmark_daily_return", "strategy_drawdown", "benchmark_drawdown", "relative_nav", "turnover_ratio", "cash_weight", "market_value_weight", "stale_weight"]
+_account = ["portfolio_id", "cost_scenario", "is_baseline", "trade_date", *_counts]
+plan(
+    "account_daily",
+    lambda p: p.accounts.select(*_account, *_ratios, *((F.col(c) / 1e6).alias(f"{c}_millions") for c in _money)),
+    f"SELECT {', '.join([*_account, *_ratios])}, {', '.join(f'{c} / 1e6::DOUBLE AS {c}_millions' for c in _money)} FROM t_acc",
+    " ".join([*_ratios, *(f"{c}_millions" for c in _money)]),
+    6,
+)
 plan(
     "rebalance_summary",
     lambda p: po.rebalance_summary(p["b_orders"]),
@@ -188,6 +257,26 @@ plan("failure_summary", lambda p: po.failure_summary(p["b_orders"]), "SELECT por
 
 # Performance
 plan("performance_summary", lambda p: pf.performance_summary(p.nav), "SELECT * FROM t_perf", _METRICS + " annualized_return_difference", 7)
+_extra = ["average_cash_weight", "maximum_cash_weight", "maximum_stale_weight", "terminal_stale_weight", "terminal_stale_share_of_capital", "cumulative_two_way_turnover", "total_commission_cost_share", "total_stamp_duty_cost_share", "total_trading_cost_share", "annualized_two_way_turnover"]
+plan(
+    "account_performance",
+    lambda p: pf.account_performance(p.accounts),
+    """SELECT *, cumulative_two_way_turnover / greatest((trading_days - 1) / 252, 1 / 252) AS annualized_two_way_turnover FROM t_perf_acc JOIN (
+      SELECT portfolio_id, cost_scenario, avg(cash_weight) AS average_cash_weight, max(cash_weight) AS maximum_cash_weight, max(stale_weight) AS maximum_stale_weight, max_by(stale_weight, trade_date) AS terminal_stale_weight, max_by(stale_market_value, trade_date) / max(initial_capital) AS terminal_stale_share_of_capital,
+        max(maximum_stale_calendar_days) AS maximum_stale_calendar_days, sum(turnover_ratio) AS cumulative_two_way_turnover, sum(commission_cost) / max(initial_capital) AS total_commission_cost_share, sum(stamp_duty_cost) / max(initial_capital) AS total_stamp_duty_cost_share, sum(total_trading_cost) / max(initial_capital) AS total_trading_cost_share,
+        sum(failed_buy_orders)::BIGINT AS failed_buy_orders, sum(failed_sell_orders)::BIGINT AS failed_sell_orders, sum(partial_order_count)::BIGINT AS partial_order_count FROM t_acc GROUP BY ALL) USING (portfolio_id, cost_scenario)""",
+    f"{_METRICS} annualized_return_difference {' '.join(_extra)}",
+    6,
+)
+plan("account_periods", lambda p: pf.grouped_performance(pf.with_periods(p.accounts, PERIODS), [*pf.ACCOUNT, "period"]), "SELECT * FROM t_period_acc", _METRICS, 6)
+plan(
+    "account_monthly",
+    lambda p: pf.account_monthly(p.accounts),
+    """SELECT *, strategy_return - benchmark_return AS excess_return FROM (SELECT portfolio_id, cost_scenario, strftime(trade_date, '%Y-%m') AS month, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS trading_days, product(1 + strategy_daily_return) - 1 AS strategy_return, product(1 + benchmark_daily_return) - 1 AS benchmark_return,
+      sum(turnover_ratio) AS turnover, sum(total_trading_cost) / max(initial_capital) AS trading_cost_share, max(stale_weight) AS maximum_stale_weight, avg(cash_weight) AS average_cash_weight, sum(failed_buy_orders + failed_sell_orders)::BIGINT AS failed_orders FROM t_acc GROUP BY ALL)""",
+    "strategy_return benchmark_return turnover trading_cost_share maximum_stale_weight average_cash_weight excess_return",
+    6,
+)
 plan("period_performance", lambda p: pf.period_performance(p["b_returns"], PERIODS), "SELECT * FROM t_period", _METRICS, 7)
 plan("annual_performance", lambda p: pf.annual_performance(p["b_returns"]), "SELECT * FROM t_annual", _METRICS, 7)
 _cm = ["strategy_annualized_return", "strategy_annualized_volatility", "strategy_sharpe_zero_rf", "strategy_max_drawdown"]
@@ -263,12 +352,28 @@ plan(
     f"SELECT {KEY}, 'MOMENTUM_9_1' AS experiment_id, universe_eligible, momentum_12_1, lowvol_60 FROM t_panel_m UNION ALL SELECT {KEY}, 'LOWVOL_120', universe_eligible, momentum_12_1, lowvol_60 FROM t_panel_v",
     " ".join(_vw),
 )
-plan("variant_signals", lambda p: rb.variant_signals(_variants(p), 20), "SELECT * FROM t_variants", "composite_score target_weight", 6)
+plan("variant_signals", lambda p: p.variant_signals(_variants, 20), "SELECT * FROM t_variants", "composite_score target_weight", 6)
+
+
+def _registry(p: Panels):
+    selected = rb.at_other_costs(p.variant_signals(_variants, 20), "BASELINE", list(COSTS))
+    cost = F.lit(BASE_COST)
+    for name, rate in COSTS.items():
+        cost = F.when(F.col("experiment_id") == name, rate).otherwise(cost)
+    return rb.experiment_registry(selected, po.drift_nav(selected, p.schedule, p.daily, cost, ["experiment_id"]), cost)
+
+
+_cost_sql = f"(CASE experiment_id {' '.join(f"WHEN '{n}' THEN {r}::DOUBLE" for n, r in COSTS.items())} ELSE {BASE_COST}::DOUBLE END)"
+PANELS["t_exp"] = "SELECT * FROM t_variants" + "".join(f" UNION ALL SELECT * REPLACE ('{n}' AS experiment_id) FROM t_variants WHERE experiment_id = 'BASELINE'" for n in COSTS)
 plan(
     "experiment_registry",
-    lambda p: rb.experiment_registry(rb.variant_signals(_variants(p), 20)),
-    "SELECT experiment_id, sum(n)::BIGINT AS selected_rows, count(*) AS signal_months, min(n) AS minimum_selected, max(n) AS maximum_selected, avg(n) AS average_selected FROM (SELECT experiment_id, signal_date, count(*) AS n FROM t_variants GROUP BY ALL) GROUP BY experiment_id",
-    "average_selected",
+    _registry,
+    f"""SELECT *, CASE WHEN end_date > start_date THEN log_total_return / ((end_date - start_date) / 365.25) END AS annualized_log_return FROM (
+      SELECT experiment_id, sum(n)::BIGINT AS selected_rows, count(*) AS signal_months, min(n) AS minimum_selected, max(n) AS maximum_selected, avg(n) AS average_selected FROM (SELECT experiment_id, signal_date, count(*) AS n FROM t_exp GROUP BY ALL) GROUP BY experiment_id) LEFT JOIN (
+      SELECT experiment_id, min(trade_date) AS start_date, max(trade_date) AS end_date, ln(max_by(nav_at_end, trade_date)) AS log_total_return, least(min(fall), 0) AS maximum_drawdown, sum(turnover) AS two_way_turnover, sum({_cost_sql} * turnover) AS trading_cost_share
+      FROM (SELECT *, nav_at_end / greatest(1, max(nav_at_end) OVER (PARTITION BY experiment_id ORDER BY trade_date)) - 1 AS fall FROM ({_drifting('t_exp', _cost_sql, 'experiment_id,')})) GROUP BY experiment_id) USING (experiment_id)""",
+    "average_selected log_total_return maximum_drawdown two_way_turnover trading_cost_share annualized_log_return",
+    6,
 )
 plan(
     "recovery_sensitivity",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorloom.operators import factors as fc
 from factorloom.operators import performance as pf
 from factorloom.operators import quality as qa
+from factorloom.operators.portfolio import trade_costs
 from factorloom.operators.quality import apart
 from factorloom.plans.accounts import _gated, _ledger, _refs, _valued
 from factorloom.plans.panels import Panels
@@ -158,13 +160,19 @@ def _target_checks(p: Panels):
 
 plan("dq_targets", _target_checks, _check_sql("TARGETS", _target))
 _acc_l = "(SELECT l.*, o.u FROM t_ledger l JOIN (SELECT portfolio_id, suppkey, sum(CASE WHEN side = 'BUY' THEN executed_units ELSE -executed_units END) AS u, max(trade_date) AS d FROM b_orders GROUP BY ALL) o ON o.portfolio_id = l.portfolio_id AND o.suppkey = l.suppkey AND o.d = l.trade_date)"
-_account = {"last_units_are_sum_of_fills": (_acc_l, "abs(units_after - u) > 1e-6"), "value_is_units_times_price": ("t_valued", "abs(current_value - units * price) > 1e-6"), "nav_starts_at_one": ("(SELECT cost_scenario, min_by(strategy_nav, trade_date) AS f FROM t_nav GROUP BY 1)", "abs(f - 1) > 1e-12")}
+_acc_c = """(SELECT a.cash, a.initial_capital, a.initial_capital + w.flow AS want FROM (SELECT portfolio_id, cost_scenario, initial_capital, max_by(cash, trade_date) AS cash FROM t_acc GROUP BY ALL) a JOIN
+  (SELECT portfolio_id, cost_scenario, sum(CASE WHEN side = 'BUY' THEN -executed_notional ELSE executed_notional END - commission_cost - coalesce(stamp_duty_cost, 0)) AS flow FROM t_costs GROUP BY ALL) w USING (portfolio_id, cost_scenario))"""
+_account = {"last_units_are_sum_of_fills": (_acc_l, "abs(units_after - u) > 1e-6"), "value_is_units_times_price": ("t_valued", "abs(current_value - units * price) > 1e-6"), "account_cash_is_sum_of_flows": (_acc_c, "abs(cash - want) > 1e-9 * initial_capital"), "account_nav_is_cash_and_value": ("t_acc", "abs(total_nav - cash - market_value) > 1e-9 * initial_capital OR abs(strategy_nav * initial_capital - total_nav) > 1e-9 * initial_capital"), "nav_starts_at_one": ("(SELECT cost_scenario, min_by(strategy_nav, trade_date) AS f FROM t_nav GROUP BY 1)", "abs(f - 1) > 1e-12")}
 
 
 def _accounting(p: Panels):
     totals = p["b_orders"].groupBy("portfolio_id", "suppkey").agg(F.sum(F.when(F.col("side") == "BUY", F.col("executed_units")).otherwise(-F.col("executed_units"))).alias("u"), F.max("trade_date").alias("trade_date"))
     first = p.nav.groupBy("cost_scenario").agg(F.min_by("strategy_nav", "trade_date").alias("f"))
-    frames = (_ledger(p).join(totals, ["portfolio_id", "suppkey", "trade_date"]), _valued(p), first)
+    # Cash once more, from single orders and not from sums by day.
+    paid = F.when(F.col("side") == "BUY", -F.col("executed_notional")).otherwise(F.col("executed_notional")) - F.col("commission_cost") - F.coalesce("stamp_duty_cost", F.lit(0.0))
+    flow = trade_costs(p["b_orders"], p["b_scenarios"], p["b_fees"]).groupBy(*pf.ACCOUNT).agg(F.sum(paid).alias("flow"))
+    cash = p.accounts.groupBy(*pf.ACCOUNT, "initial_capital").agg(F.max_by("cash", "trade_date").alias("cash")).join(flow, pf.ACCOUNT).withColumn("want", F.col("initial_capital") + F.col("flow"))
+    frames = (_ledger(p).join(totals, ["portfolio_id", "suppkey", "trade_date"]), _valued(p), cash, p.accounts, first)
     return qa.all_checks([qa.checks(f, "ACCOUNTING", {k: _c(w)}) for f, (k, (_, w)) in zip(frames, _account.items(), strict=True)])
 
 
@@ -175,25 +183,44 @@ _exe = {
     "reason_without_failure": ("b_orders", "order_status <> 'FAILED' AND failure_reason <> ''"),
     "executed_above_desired": ("b_orders", "executed_notional > desired_notional + 1e-6"),
 }
-plan("dq_execution", lambda p: _run(p, "EXECUTION", _exe), _check_sql("EXECUTION", _exe))
+_legal = "(SELECT o.*, e.* EXCLUDE (suppkey, trade_date) FROM t_gated o LEFT JOIN (SELECT x.trade_date, x.has_daily_price, x.cannot_buy_at_open, x.cannot_sell_at_open, c.suppkey FROM t_exec x JOIN (SELECT DISTINCT ts_code, suppkey FROM b_daily) c USING (ts_code)) e ON e.suppkey = o.suppkey AND e.trade_date = o.trade_date)"
+_gates = {
+    "planned_without_price": (_legal, "order_status = 'PLANNED' AND NOT coalesce(has_daily_price, false)"),
+    "planned_buy_blocked": (_legal, "order_status = 'PLANNED' AND side = 'BUY' AND coalesce(cannot_buy_at_open, true)"),
+    "planned_sell_blocked": (_legal, "order_status = 'PLANNED' AND side = 'SELL' AND coalesce(cannot_sell_at_open, true)"),
+    "failed_without_block": (_legal, "order_status = 'FAILED' AND has_daily_price AND NOT CASE WHEN side = 'BUY' THEN cannot_buy_at_open ELSE cannot_sell_at_open END"),
+}
+
+
+def _execution(p: Panels):
+    codes = p["b_daily"].select("ts_code", "suppkey").distinct()
+    status = p.status.select("ts_code", "trade_date", "has_daily_price", "cannot_buy_at_open", "cannot_sell_at_open").join(codes, "ts_code").drop("ts_code")
+    legal = qa.checks(_gated(p).join(status, ["suppkey", "trade_date"], "left"), "EXECUTION", {k: _c(w) for k, (_, w) in _gates.items()})
+    return _run(p, "EXECUTION", _exe).unionByName(legal)
+
+
+plan("dq_execution", _execution, _check_sql("EXECUTION", _exe | _gates))
 _nav2 = "(SELECT cost_scenario, trade_date, strategy_nav, benchmark_nav, strategy_drawdown, relative_nav, strategy_nav / lag(strategy_nav) OVER (PARTITION BY cost_scenario ORDER BY trade_date) - 1 AS r, strategy_daily_return FROM t_nav)"
+_derived = "(SELECT portfolio_id, cost_scenario, min_by(strategy_nav, trade_date) * product(1 + strategy_daily_return) AS grown, max_by(strategy_nav, trade_date) AS strategy_nav_end FROM t_acc GROUP BY ALL)"
+_by_rate = "(SELECT cash, lag(cash) OVER (PARTITION BY portfolio_id ORDER BY commission_rate) AS before FROM (SELECT portfolio_id, commission_rate, max_by(cash, trade_date) AS cash FROM t_acc JOIN b_scenarios USING (cost_scenario) GROUP BY ALL))"
 _perf = {
     "returns_follow_nav": (_nav2, "abs(r - strategy_daily_return) > 1e-10"),
     "drawdown_not_positive": (_nav2, "strategy_drawdown > 1e-12"),
     "relative_nav_is_ratio": (_nav2, "abs(relative_nav - strategy_nav / benchmark_nav) > 1e-10"),
+    "total_return_not_of_daily_returns": (_derived, "abs(grown - strategy_nav_end) > 1e-8 * strategy_nav_end"),
+    "higher_rate_with_higher_cash": (_by_rate, "cash > before * (1 + 1e-12)"),
     "costs_not_monotone": ("(SELECT c, lag(c) OVER (ORDER BY rate) AS before FROM (SELECT commission_rate AS rate, sum(commission_cost) AS c FROM t_costs GROUP BY 1))", "c < before"),
 }
 
 
 def _performance(p: Panels):
-    from pyspark.sql import Window
-
-    from factorloom.operators.portfolio import trade_costs
-
     nav = p.nav.withColumn("r", F.col("strategy_nav") / F.lag("strategy_nav").over(Window.partitionBy("cost_scenario").orderBy("trade_date")) - 1)
     costs = trade_costs(p["b_orders"], p["b_scenarios"], p["b_fees"]).groupBy("commission_rate").agg(F.sum("commission_cost").alias("c"))
     costs = costs.withColumn("before", F.lag("c").over(Window.orderBy("commission_rate")))  # a row for each scenario
+    ends = p.accounts.groupBy(*pf.ACCOUNT).agg((F.min_by("strategy_nav", "trade_date") * F.product(1 + F.col("strategy_daily_return"))).alias("grown"), F.max_by("strategy_nav", "trade_date").alias("strategy_nav_end"), F.max_by("cash", "trade_date").alias("cash"))
+    rates = ends.join(p["b_scenarios"], "cost_scenario").withColumn("before", F.lag("cash").over(Window.partitionBy("portfolio_id").orderBy("commission_rate")))
     a = qa.checks(nav, "PERFORMANCE", {k: _c(w) for k, (_, w) in list(_perf.items())[:3]})
+    a = a.unionByName(qa.checks(rates, "PERFORMANCE", {k: _c(_perf[k][1]) for k in ("total_return_not_of_daily_returns", "higher_rate_with_higher_cash")}))
     return a.unionByName(qa.checks(costs, "PERFORMANCE", {"costs_not_monotone": _c("c < before")}))
 
 

@@ -5,12 +5,13 @@ plans its own step only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.operators import diagnostics, factors, panel, portfolio
+from factorloom.operators import diagnostics, factors, panel, portfolio, robustness
 from factorloom.operators.factors import FactorRules
 from factorloom.sources.bindings import bound
 from factorloom.sources.tables import hand_over
@@ -20,6 +21,7 @@ class Panels:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._by_rules: dict[FactorRules, DataFrame] = {}
+        self._signals: dict[int, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return bound(self.spark, self.sf_dir, name)
@@ -86,6 +88,11 @@ class Panels:
     def targets(self) -> DataFrame:
         return hand_over(portfolio.composite_topn(self.factor_panel, 20), "targets")
 
+    def variant_signals(self, variants: Callable[[Panels], dict[str, DataFrame]], k: int) -> DataFrame:
+        if k not in self._signals:
+            self._signals[k] = hand_over(robustness.variant_signals(variants(self), k), "variant_signals")
+        return self._signals[k]
+
     @cached_property
     def schedule(self) -> DataFrame:
         return portfolio.rebalance_schedule(self["b_month_end"], self["b_benchmark"])
@@ -94,6 +101,19 @@ class Panels:
     def nav(self) -> DataFrame:
         return hand_over(portfolio.nav_daily(self["b_returns"]), "nav")
 
+    @cached_property
+    def stale(self) -> DataFrame:
+        """Positions on every market day; a position is known by portfolio and supplier."""
+        key = ["portfolio_id", "suppkey"]
+        return hand_over(portfolio.stale_valuation(portfolio.position_ledger(self["b_orders"], key), self["b_daily"], self["b_benchmark"], key, "suppkey"), "stale")
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        """Accounts that begin with the cash for all their buys and a tenth more."""
+        bought = F.sum(F.when(F.col("side") == "BUY", F.col("executed_notional")).otherwise(0.0))
+        capital = self["b_orders"].groupBy("portfolio_id").agg((bought * 1.1 + 1).alias("initial_capital"))
+        return hand_over(portfolio.account_daily(self["b_orders"], self.stale, self["b_benchmark"], self["b_scenarios"], self["b_fees"], capital), "accounts")
+
 
 @lru_cache(8)
 def panels(spark: SparkSession, sf_dir: str) -> Panels:
