@@ -163,16 +163,22 @@ def stale_valuation(ledger: DataFrame, bars: DataFrame, days: DataFrame, key: li
 
 
 def stale_summary(valued: DataFrame, key: list[str]) -> DataFrame:
-    """For each position that was ever stale: span, worst age, and whether it is stale at the end."""
-    stale = valued.where("stale_calendar_days > 0")
+    """For each position that was ever stale: span, worst age, whether it is stale at the end, and
+    if so its value then and that value's share of the portfolio's positions."""
     end = valued.agg(F.max("trade_date").alias("end"))
+    # Only the last day's rows meet their portfolio's total.
+    total = valued.join(end, F.col("trade_date") == F.col("end"), "left_semi").groupBy("portfolio_id", "trade_date").agg(F.sum("market_value").alias("portfolio_value"))
+    stale = valued.where("stale_calendar_days > 0").join(total, ["portfolio_id", "trade_date"], "left")
+    last = F.col("trade_date") == F.col("end")
     rows = stale.join(end).groupBy(*key).agg(
         F.min("trade_date").alias("first_stale_date"),
         F.max("trade_date").alias("last_stale_date"),
         F.count(F.lit(1)).alias("stale_days"),
         F.max("stale_calendar_days").alias("maximum_stale_days"),
         F.min_by("trade_date", F.struct(-F.col("stale_calendar_days"), F.col("trade_date"))).alias("date_of_maximum"),
-        F.bool_or(F.col("trade_date") == F.col("end")).alias("stale_at_end"),
+        F.bool_or(last).alias("stale_at_end"),
+        F.max(F.when(last, F.col("market_value"))).alias("terminal_value"),
+        F.max(F.when(last, F.try_divide("market_value", "portfolio_value"))).alias("terminal_weight"),
     )
     return rows
 

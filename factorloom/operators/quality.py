@@ -87,3 +87,39 @@ def prefix_reconcile(old: DataFrame, new: DataFrame, key: list[str], categories:
 def apart(a: Column, b: Column, tolerance: float) -> Column:
     """Whether two values differ by more than the tolerance, or only one is known."""
     return F.coalesce(F.abs(a - b) > tolerance, a.isNull() != b.isNull())
+
+
+def differs(a: str, b: str, tolerance: float) -> str:
+    """``apart`` as an expression for both engines."""
+    return f"coalesce(abs({a} - {b}) > {tolerance!r}, ({a} IS NULL) <> ({b} IS NULL))"
+
+
+def rederived_factors(factors: DataFrame, panel: DataFrame, skip: int = 21, lookback: int = 252, window: int = 60) -> DataFrame:
+    """Factor rows with momentum, volatility and label once more, by numbered bars instead of
+    windows over neighbours: prices by their numbers, the deviation of returns from running sums,
+    the label from the row of the following month."""
+    by, code = Window.partitionBy("canonical_ts_code").orderBy("trade_date"), "canonical_ts_code"
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    bars = panel.where("is_sh_sz and is_within_listing_window and security_code_interval_valid and close_hfq > 0")
+    bars = bars.select(code, "trade_date", F.col("close_hfq").alias("p"), F.row_number().over(by).alias("k"), (F.col("close_hfq") / F.lag("close_hfq").over(by) - 1).alias("r"))
+    bars = bars.withColumns({"s1": F.coalesce(F.sum("r").over(so_far), F.lit(0.0)), "s2": F.coalesce(F.sum(F.col("r") * F.col("r")).over(so_far), F.lit(0.0))})
+    at = lambda name, back, *columns: bars.select(code, (F.col("k") + back).alias("k"), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+    rows = factors.join(bars.select(code, F.col("trade_date").alias("asof_trade_date"), "k", "s1", "s2"), [code, "asof_trade_date"])
+    rows = rows.join(at("recent", skip, "p"), [code, "k"], "left").join(at("past", lookback, "p"), [code, "k"], "left").join(at("before", window, "s1", "s2"), [code, "k"], "left")
+    month = F.year("signal_date") * 12 + F.month("signal_date")
+    later = factors.select(code, (month - 1).alias("month"), F.col("adjusted_price").alias("later_price"))
+    rows = rows.withColumn("month", month).join(later, [code, "month"], "left")
+    s1, s2 = F.col("s1") - F.col("before_s1"), F.col("s2") - F.col("before_s2")
+    return rows.withColumns(
+        {
+            "want_momentum": F.col("recent_p") / F.col("past_p") - 1,
+            "want_variance": F.greatest(s2 - s1 * s1 / window, F.lit(0.0)) / (window - 1),
+            "want_label": F.col("later_price") / F.col("adjusted_price") - 1,
+        }
+    )
+
+
+def mean_rank(value: str, by: list[str]) -> Column:
+    """The mean rank once more, from the shares of rows below and up to a value."""
+    order, n = Window.partitionBy(*by).orderBy(value), F.count(F.lit(1)).over(Window.partitionBy(*by))
+    return F.round((F.percent_rank().over(order) * (n - 1) + 1 + F.cume_dist().over(order) * n), 0) / 2

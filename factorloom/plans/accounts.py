@@ -201,11 +201,13 @@ plan(
 )
 plan("stale_valuation", _stale, "SELECT * FROM t_stale", "units price market_value", 4)
 plan("stale_valuation_all_days", _stale, None, "units price market_value", 4)
-plan("stale_summary_all_days", lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"]))
+plan("stale_summary_all_days", lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"]), None, "terminal_value terminal_weight", 6)
 plan(
     "stale_summary",
     lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"]),
-    "SELECT portfolio_id, suppkey, min(trade_date) AS first_stale_date, max(trade_date) AS last_stale_date, count(*) AS stale_days, max(stale_calendar_days) AS maximum_stale_days, min(trade_date) FILTER (WHERE stale_calendar_days = m) AS date_of_maximum, bool_or(trade_date = (SELECT max(trade_date) FROM t_stale)) AS stale_at_end FROM (SELECT *, max(stale_calendar_days) OVER (PARTITION BY portfolio_id, suppkey) AS m FROM t_stale WHERE stale_calendar_days > 0) GROUP BY ALL",
+    "SELECT portfolio_id, suppkey, min(trade_date) AS first_stale_date, max(trade_date) AS last_stale_date, count(*) AS stale_days, max(stale_calendar_days) AS maximum_stale_days, min(trade_date) FILTER (WHERE stale_calendar_days = m) AS date_of_maximum, bool_or(trade_date = d) AS stale_at_end, max(CASE WHEN trade_date = d THEN market_value END) AS terminal_value, max(CASE WHEN trade_date = d AND pv > 0 THEN market_value / pv END) AS terminal_weight FROM (SELECT *, max(stale_calendar_days) OVER (PARTITION BY portfolio_id, suppkey) AS m FROM (SELECT *, max(trade_date) OVER () AS d, sum(market_value) OVER (PARTITION BY portfolio_id, trade_date) AS pv FROM t_stale) WHERE stale_calendar_days > 0) GROUP BY ALL",
+    "terminal_value terminal_weight",
+    6,
 )
 plan("corporate_action_refs", _refs, "SELECT * FROM t_refs", "old_close old_factor successor_open successor_factor conversion_ratio")
 _held_old = "SELECT h.portfolio_id, r.*, max_by(h.units_after, h.trade_date) AS units FROM t_ledger h JOIN (SELECT DISTINCT ts_code, suppkey FROM b_daily) c USING (suppkey) JOIN t_refs r ON r.old_ts_code = c.ts_code WHERE h.trade_date < r.effective_date GROUP BY ALL"

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factorloom.operators import diagnostics as dg
 from factorloom.operators import factors as fc
 from factorloom.operators import performance as pf
+from factorloom.operators import portfolio as po
 from factorloom.operators import quality as qa
 from factorloom.operators.portfolio import trade_costs
-from factorloom.operators.quality import apart
+from factorloom.operators.quality import apart, differs
 from factorloom.plans.accounts import _gated, _ledger, _refs, _valued
 from factorloom.plans.panels import Panels
 from factorloom.plans.registry import plan
-from factorloom.plans.twins import CUT, FACTORS
+from factorloom.plans.twins import CUT, FACTORS, PANELS
 
 BAR = ["ts_code", "trade_date"]
 
@@ -88,6 +92,34 @@ plan(
     "maximum_numeric_error",
     6,
 )
+
+
+def _account_prefix(p: Panels):
+    early = lambda df: df.where(F.col("trade_date") <= CUT)
+    orders, market, key = early(p["b_orders"]), early(p["b_benchmark"]), ["portfolio_id", "suppkey"]
+    valued = po.stale_valuation(po.position_ledger(orders, key), early(p["b_daily"]), market, key, "suppkey")
+    old = po.account_daily(orders, valued, market, p["b_scenarios"], p["b_fees"], p.capital)
+    out = qa.prefix_reconcile(old, early(p.accounts), ["portfolio_id", "cost_scenario", "trade_date"], _whole, _shares, 1e-9)
+    return out.withColumn("maximum_numeric_error", F.round("maximum_numeric_error", 6))
+
+
+_whole, _shares = ["holding_count", "stale_position_count", "failed_buy_orders", "failed_sell_orders"], ["strategy_nav", "cash_weight", "stale_weight", "turnover_ratio"]
+_early = {"b_orders": "t_orders_c", "b_daily": "t_bars_c", "b_benchmark": "t_market_c"}
+PANELS |= {made: f"SELECT * FROM {b} WHERE trade_date <= DATE '{CUT}'" for b, made in _early.items()}
+_path = ["t_ledger", "t_marks", "t_stale", "t_flow", "t_mark", "t_acc0", "t_acc1", "t_acc2", "t_acc"]
+for _n in _path:  # the same steps from the earlier run's inputs
+    PANELS[f"{_n}_c"] = re.sub(r"\b(" + "|".join([*_path, *_early]) + r")\b", lambda m: _early.get(m[0], f"{m[0]}_c"), PANELS[_n])
+plan(
+    "prefix_reconcile_accounts",
+    _account_prefix,
+    f"""SELECT *, CASE WHEN missing_or_extra_rows = 0 AND categorical_mismatches = 0 AND maximum_numeric_error <= 1e-9 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+      SELECT count(o.trade_date) AS old_rows, count(n.trade_date) AS new_rows, count(*) FILTER (WHERE o.trade_date IS NULL OR n.trade_date IS NULL) AS missing_or_extra_rows,
+        count(*) FILTER (WHERE o.trade_date IS NOT NULL AND n.trade_date IS NOT NULL AND ({" OR ".join(f"o.{c} IS DISTINCT FROM n.{c}" for c in _whole)})) AS categorical_mismatches,
+        round(greatest({", ".join(f"coalesce(max(abs(o.{c} - n.{c})), 0)" for c in _shares)}), 6) AS maximum_numeric_error
+      FROM t_acc_c o FULL JOIN (SELECT * FROM t_acc WHERE trade_date <= DATE '{CUT}') n ON o.portfolio_id = n.portfolio_id AND o.cost_scenario = n.cost_scenario AND o.trade_date = n.trade_date)""",
+    "maximum_numeric_error",
+    6,
+)
 _formula = {
     "close_hfq_is_close_times_factor": ("t_daily", "abs(close_hfq - close * adj_factor) > 1e-8"),
     "volume_is_in_shares": ("t_daily", "abs(volume_share - vol * 100) > 1e-6"),
@@ -106,7 +138,31 @@ def _run(p: Panels, category: str, checks: dict[str, tuple[str, str]]):
     return qa.all_checks(frames)
 
 
-plan("dq_formula", lambda p: _run(p, "FORMULA", _formula), _check_sql("FORMULA", _formula))
+# Once more, by numbers of bars (the deviation of returns as a variance).
+PANELS |= {
+    "t_numbered": """SELECT *, coalesce(sum(r) OVER w, 0) AS s1, coalesce(sum(r * r) OVER w, 0) AS s2 FROM (SELECT canonical_ts_code, trade_date, close_hfq AS p, row_number() OVER v AS k, close_hfq / lag(close_hfq) OVER v - 1 AS r FROM t_daily
+      WHERE is_sh_sz AND is_within_listing_window AND security_code_interval_valid AND close_hfq > 0 WINDOW v AS (PARTITION BY canonical_ts_code ORDER BY trade_date)) WINDOW w AS (PARTITION BY canonical_ts_code ORDER BY trade_date)""",
+    "t_again": """SELECT f.*, x.p / y.p - 1 AS want_momentum, greatest((n.s2 - b.s2) - (n.s1 - b.s1) * (n.s1 - b.s1) / 60, 0) / 59 AS want_variance, z.adjusted_price / f.adjusted_price - 1 AS want_label FROM t_panel f
+      JOIN t_numbered n ON n.canonical_ts_code = f.canonical_ts_code AND n.trade_date = f.asof_trade_date
+      LEFT JOIN t_numbered x ON x.canonical_ts_code = n.canonical_ts_code AND x.k = n.k - 21 LEFT JOIN t_numbered y ON y.canonical_ts_code = n.canonical_ts_code AND y.k = n.k - 252
+      LEFT JOIN t_numbered b ON b.canonical_ts_code = n.canonical_ts_code AND b.k = n.k - 60
+      LEFT JOIN t_panel z ON z.canonical_ts_code = f.canonical_ts_code AND year(z.signal_date) * 12 + month(z.signal_date) = year(f.signal_date) * 12 + month(f.signal_date) + 1""",
+    "t_ranked": """SELECT signal_date, factor, next_month_return, n, round((percent_rank() OVER (PARTITION BY signal_date, factor ORDER BY z) * (n - 1) + 1 + cume_dist() OVER (PARTITION BY signal_date, factor ORDER BY z) * n)) / 2 AS a,
+      round((percent_rank() OVER (PARTITION BY signal_date, factor ORDER BY label) * (n - 1) + 1 + cume_dist() OVER (PARTITION BY signal_date, factor ORDER BY label) * n)) / 2 AS b FROM (SELECT *, count(*) OVER (PARTITION BY signal_date, factor) AS n FROM t_eval WHERE z IS NOT NULL)""",
+}
+_again = {
+    "momentum_from_bar_numbers": ("t_again", differs("momentum_12_1", "want_momentum", 1e-9)),
+    "volatility_from_running_sums": ("t_again", differs("lowvol_60 * lowvol_60", "CASE WHEN volatility_observations = 60 THEN want_variance END", 1e-9)),
+    "label_from_next_month": ("t_again", differs("next_month_return", "want_label", 1e-9)),
+}
+
+
+def _formulas(p: Panels):
+    again = qa.rederived_factors(p.factor_panel, p.daily)
+    return _run(p, "FORMULA", _formula).unionByName(qa.checks(again, "FORMULA", {k: _c(w) for k, (_, w) in _again.items()}))
+
+
+plan("dq_formula", _formulas, _check_sql("FORMULA", _formula | _again))
 _flags = {
     "listing_flag_without_reference": ("t_daily", "is_within_listing_window AND NOT has_listing_reference"),
     "age_outside_listing_window": ("t_daily", "listing_age_trading_days IS NOT NULL AND NOT is_within_listing_window"),
@@ -141,11 +197,27 @@ _spread = "(SELECT signal_date, factor, max(mean_next_month_return) FILTER (WHER
 _stats = {"spread_is_top_less_bottom": (_spread, "abs(d - t) > 1e-12 OR (d IS NULL) <> (t IS NULL)"), "ic_within_bounds": ("t_ic", "abs(rank_ic) > 1 + 1e-9"), "ic_of_few_rows": ("t_ic", "rank_ic IS NOT NULL AND observations < 5")}
 
 
+_quintile = "least(greatest(ceil(a * 5 / n), 1), 5)"
+_stats |= {
+    "ic_from_sums": ("(SELECT r.want, i.rank_ic FROM (SELECT signal_date, factor, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS want FROM t_ranked WHERE n >= 5 GROUP BY ALL) r LEFT JOIN t_ic i ON i.signal_date = r.signal_date AND i.factor = r.factor)", differs("want", "rank_ic", 1e-9)),
+    "quintile_means": (f"(SELECT r.want, q.mean_next_month_return FROM (SELECT signal_date, factor, 'Q' || {_quintile}::INT AS quintile, avg(next_month_return) AS want FROM t_ranked WHERE n >= 5 GROUP BY ALL) r LEFT JOIN t_qr q ON q.signal_date = r.signal_date AND q.factor = r.factor AND q.quintile = r.quintile)", differs("want", "mean_next_month_return", 1e-9)),
+}
+
+
 def _statistics(p: Panels):
     pick = lambda q: F.max(F.when(F.col("quintile") == q, F.col("mean_next_month_return")))
     spread = p.quintiles.groupBy("signal_date", "factor").agg((pick("Q5") - pick("Q1")).alias("d"), pick("TOP_MINUS_BOTTOM").alias("t"))
     a = qa.checks(spread, "STATISTICS", {"spread_is_top_less_bottom": apart(F.col("d"), F.col("t"), 1e-12)})
-    return a.unionByName(qa.checks(p.ic, "STATISTICS", {k: _c(_stats[k][1]) for k in ("ic_within_bounds", "ic_of_few_rows")}))
+    a = a.unionByName(qa.checks(p.ic, "STATISTICS", {k: _c(_stats[k][1]) for k in ("ic_within_bounds", "ic_of_few_rows")}))
+    # Correlations and quintile means once more, from other ranks and another formula.
+    by = ["signal_date", "factor"]
+    rows = dg.evaluated(p.factor_panel).where("z is not null").withColumn("label", F.round("next_month_return", 9))
+    ranked = rows.select(*by, "next_month_return", F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("n"), qa.mean_rank("z", by).alias("a"), qa.mean_rank("label", by).alias("b")).where("n >= 5")
+    c = F.corr("a", "b")
+    ic = ranked.groupBy(*by).agg(F.when(~F.isnan(c), c).alias("want")).join(p.ic, by, "left")
+    means = ranked.groupBy(*by, F.expr(f"concat('Q', cast({_quintile} as int))").alias("quintile")).agg(F.avg("next_month_return").alias("want"))
+    means = means.join(p.quintiles, [*by, "quintile"], "left")
+    return a.unionByName(qa.checks(ic, "STATISTICS", {"ic_from_sums": _c(_stats["ic_from_sums"][1])})).unionByName(qa.checks(means, "STATISTICS", {"quintile_means": _c(_stats["quintile_means"][1])}))
 
 
 plan("dq_statistics", _statistics, _check_sql("STATISTICS", _stats))

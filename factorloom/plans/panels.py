@@ -108,11 +108,14 @@ class Panels:
         return hand_over(portfolio.stale_valuation(portfolio.position_ledger(self["b_orders"], key), self["b_daily"], self["b_benchmark"], key, "suppkey"), "stale")
 
     @cached_property
-    def accounts(self) -> DataFrame:
-        """Accounts that begin with the cash for all their buys and a tenth more."""
+    def capital(self) -> DataFrame:
+        """Each portfolio's cash at the beginning: that for all its buys and a tenth more."""
         bought = F.sum(F.when(F.col("side") == "BUY", F.col("executed_notional")).otherwise(0.0))
-        capital = self["b_orders"].groupBy("portfolio_id").agg((bought * 1.1 + 1).alias("initial_capital"))
-        return hand_over(portfolio.account_daily(self["b_orders"], self.stale, self["b_benchmark"], self["b_scenarios"], self["b_fees"], capital), "accounts")
+        return self["b_orders"].groupBy("portfolio_id").agg((bought * 1.1 + 1).alias("initial_capital"))
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return hand_over(portfolio.account_daily(self["b_orders"], self.stale, self["b_benchmark"], self["b_scenarios"], self["b_fees"], self.capital), "accounts")
 
 
 @lru_cache(8)
