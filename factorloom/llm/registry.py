@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, media, packing, quality, sharding, similarity, substring, toxicity, url_filter, warc
+from factorloom.llm import bpe, hard_negatives, media, packing, quality, sharding, similarity, substring, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring.op8_substring_dedup,
         "op9_ngram_jaccard_join": similarity.op9_ngram_jaccard_join,
         "op10_url_filters": url_filter.op10_url_filters,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_seekable_bundles": warc.ORACLE, "op10_url_filters": url_filter.ORACLE}
+    return {
+        "op5_warc_seekable_bundles": warc.ORACLE,
+        "op10_url_filters": url_filter.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
+    }
