@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, hard_negatives, media, packing, quality, sharding, similarity, substring, toxicity, url_filter, warc
+from factorloom.llm import bpe, hard_negatives, license_scan, media, packing, quality, sharding, similarity, spelling, substring, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard_join": similarity.op9_ngram_jaccard_join,
         "op10_url_filters": url_filter.op10_url_filters,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_license_scan": license_scan.op12_license_scan,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_seekable_bundles": warc.ORACLE,
         "op10_url_filters": url_filter.ORACLE,
         "op11_hard_negatives": hard_negatives.ORACLE,
+        "op12_license_scan": license_scan.ORACLE,
     }
