@@ -1,7 +1,7 @@
 """Monthly factors of a universe: value, momentum, low volatility; label, universe, winsor, z.
 
-Two shuffles: by canonical code for windows over time, by month for cross-sections. A month's
-moments are aggregated and joined back instead of sorting each month once for every quantile.
+Windows over time go by canonical code. Cross-sections are aggregates of a month joined back:
+moments directly, quantiles by counts of values in buckets, so no task holds or sorts a month.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.ordering import with_quantiles
 from factorloom.functions.stats import per_group
 
 FACTORS = ["bm_proxy", "momentum_12_1", "lowvol_60"]
@@ -93,8 +94,8 @@ def universe_filter(raw: DataFrame, rules: FactorRules = FactorRules()) -> DataF
     if rules.exclude_st:
         fits = fits & ~F.coalesce("is_st_name_flag", F.lit(False))
     rows = raw.withColumn("universe_pre_liquidity", F.coalesce(fits, F.lit(False)))
-    cutoff = F.percentile(F.when(F.col("universe_pre_liquidity"), F.col("canonical_liquidity_20d")), F.lit(rules.liquidity_quantile))
-    rows = per_group(rows, ["signal_date"], [cutoff.alias("liquidity_20pct_cutoff")])
+    liquidity = F.when(F.col("universe_pre_liquidity"), F.col("canonical_liquidity_20d"))
+    rows = with_quantiles(rows, ["signal_date"], {"liquidity": liquidity}, {"20pct_cutoff": rules.liquidity_quantile})
     # Both sides rounded: a computed quantile never decides by its last bit.
     liquid = F.round("canonical_liquidity_20d", 2) >= F.round("liquidity_20pct_cutoff", 2)
     return rows.withColumn("universe_eligible", F.coalesce(F.col("universe_pre_liquidity") & liquid, F.lit(False)))
@@ -103,8 +104,7 @@ def universe_filter(raw: DataFrame, rules: FactorRules = FactorRules()) -> DataF
 def winsorize(rows: DataFrame, factors: list[str] = FACTORS, limits: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """Eligible rows' factors clamped to their month's quantiles."""
     eligible = F.col("universe_eligible")
-    aggregates = [F.percentile(F.when(eligible, F.col(f)), F.lit(q)).alias(f"{f}_{n}") for f in factors for q, n in zip(limits, ("p01", "p99"), strict=True)]
-    rows = per_group(rows, ["signal_date"], aggregates)
+    rows = with_quantiles(rows, ["signal_date"], {f: F.when(eligible, F.col(f)) for f in factors}, dict(zip(("p01", "p99"), limits, strict=True)))
     return rows.withColumns({f"{f}_winsorized": F.when(eligible, F.greatest(F.col(f"{f}_p01"), F.least(F.col(f"{f}_p99"), F.col(f)))) for f in factors})
 
 

@@ -54,12 +54,14 @@ ACCOUNT = ["portfolio_id", "cost_scenario"]
 
 def account_performance(accounts: DataFrame) -> DataFrame:
     """``performance_summary`` of each account of ``account_daily``, with its cash and stale
-    weights, turnover, cost sums and counts of failed and partial orders. An account's first trade
-    is on its first day, so its highest cash weight is over all days."""
+    weights, turnover, cost sums and counts of failed and partial orders. The highest cash weight
+    is over the days from the first fill on: before it all is cash."""
+    so_far = Window.partitionBy(*ACCOUNT).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    accounts = accounts.withColumn("__begun", F.sum("turnover_notional").over(so_far) > 0)
     last = lambda c: F.max_by(c, "trade_date")
     extra = accounts.groupBy(*ACCOUNT).agg(
         F.avg("cash_weight").alias("average_cash_weight"),
-        F.max("cash_weight").alias("maximum_cash_weight"),
+        F.max(F.when(F.col("__begun"), F.col("cash_weight"))).alias("maximum_cash_weight"),
         F.max("stale_weight").alias("maximum_stale_weight"),
         last("stale_weight").alias("terminal_stale_weight"),
         (last("stale_market_value") / last("initial_capital")).alias("terminal_stale_share_of_capital"),
@@ -69,7 +71,7 @@ def account_performance(accounts: DataFrame) -> DataFrame:
         *(F.sum(c).alias(c) for c in ("failed_buy_orders", "failed_sell_orders", "partial_order_count")),
     )
     years = F.greatest((F.col("trading_days") - 1) / DAYS, F.lit(1 / DAYS))
-    rows = performance_summary(accounts, ACCOUNT).join(extra, ACCOUNT)
+    rows = performance_summary(accounts.drop("__begun"), ACCOUNT).join(extra, ACCOUNT)
     return rows.withColumn("annualized_two_way_turnover", F.col("cumulative_two_way_turnover") / years)
 
 
@@ -119,6 +121,26 @@ def with_periods(rows: DataFrame, periods: list[tuple[str, str, str]]) -> DataFr
     return rows.select("*", table.alias("p")).where(F.col("trade_date").between(F.col("p.a"), F.col("p.b"))).select(*rows.columns, "p.period")
 
 
+def account_periods(accounts: DataFrame, periods: list[tuple[str, str, str]]) -> DataFrame:
+    """``grouped_performance`` of each account and period, with its cash and stale weights, ages,
+    turnover, costs and failed orders within the period."""
+    rows, key = with_periods(accounts, periods), [*ACCOUNT, "period"]
+    extra = rows.groupBy(*key).agg(
+        F.avg("cash_weight").alias("average_cash_weight"),
+        F.max("cash_weight").alias("maximum_cash_weight"),
+        F.min("cash_weight").alias("minimum_cash_weight"),
+        F.avg("stale_weight").alias("average_stale_weight"),
+        F.max("stale_weight").alias("maximum_stale_weight"),
+        F.max_by("stale_weight", "trade_date").alias("terminal_stale_weight"),
+        F.max("maximum_stale_calendar_days").alias("maximum_stale_calendar_days"),
+        F.count_if(F.col("stale_position_count") > 0).alias("stale_days"),
+        F.sum("turnover_ratio").alias("two_way_turnover"),
+        (F.sum("total_trading_cost") / F.max("initial_capital")).alias("trading_cost_share"),
+        *(F.sum(c).alias(c) for c in ("failed_buy_orders", "failed_sell_orders", "partial_order_count")),
+    )
+    return grouped_performance(rows, key).join(extra, key)
+
+
 def period_performance(returns: DataFrame, periods: list[tuple[str, str, str]]) -> DataFrame:
     return grouped_performance(with_periods(returns, periods), ["cost_scenario", "period"])
 

@@ -86,14 +86,23 @@ def positions_at(ledger: DataFrame, key: list[str], days: DataFrame) -> DataFram
     return _last_before(ledger, marks, key, "units_after").withColumnRenamed("units_after", "units").where(F.col("units") > EPSILON)
 
 
-def open_valuation(holdings: DataFrame, bars: DataFrame, code: str, cash: float) -> DataFrame:
+def cash_before(accounts: DataFrame, days: DataFrame, key: list[str]) -> DataFrame:
+    """days(*key, trade_date) with the cash of accounts(*key, trade_date, cash) after the last day
+    before."""
+    return _last_before(accounts, days.select(*key, "trade_date").distinct(), key, "cash")
+
+
+def open_valuation(holdings: DataFrame, bars: DataFrame, code: str, accounts: DataFrame) -> DataFrame:
     """Holdings of each day at its open price, or else at the last close before; with the
-    portfolio's value before trading."""
+    portfolio's value before trading: these and its cash after the last day before, by
+    accounts(portfolio_id, trade_date, cash)."""
     marks = holdings.select(code, "trade_date").distinct()
     last = _last_before(bars, marks, [code], "close")
     opened = bars.where("open > 0").select(code, "trade_date", "open")
     valued = holdings.join(last, [code, "trade_date"], "left").join(opened, [code, "trade_date"], "left").withColumn("price", F.coalesce("open", "close")).drop("open", "close").withColumn("current_value", F.col("units") * F.col("price"))
-    return valued.withColumn("pretrade_nav", F.sum("current_value").over(Window.partitionBy("portfolio_id", "trade_date")) + cash)
+    day = ["portfolio_id", "trade_date"]
+    nav = valued.groupBy(*day).agg(F.sum("current_value").alias("held")).join(cash_before(accounts, valued, ["portfolio_id"]), day)
+    return valued.join(nav.select(*day, "cash", (F.coalesce("held", F.lit(0.0)) + F.col("cash")).alias("pretrade_nav")), day)
 
 
 def rebalance_orders(valued: DataFrame, targets: DataFrame, code: str) -> DataFrame:
@@ -125,62 +134,79 @@ def execution_gate(orders: DataFrame, status: DataFrame, code: str) -> DataFrame
     return rows.withColumn("order_status", F.when(F.col("failure_reason").isNotNull(), "FAILED").otherwise("PLANNED"))
 
 
-def cash_scaling(orders: DataFrame, scenarios: DataFrame, fees: DataFrame, cash: float) -> DataFrame:
+def cash_scaling(orders: DataFrame, scenarios: DataFrame, fees: DataFrame, accounts: DataFrame) -> DataFrame:
     """How far a day's buys are scaled under each scenario so that demand, blocked buys included,
-    and its costs fit the cash after the day's sells: those that were not blocked, less costs."""
+    and its costs fit the cash: that after the last day before, by accounts(portfolio_id,
+    cost_scenario, trade_date, cash), and the day's sells that were not blocked, less costs."""
     buy, sold = F.col("side") == "BUY", (F.col("side") == "SELL") & (F.col("order_status") != "FAILED")
     total = lambda c: F.sum(F.when(c, F.col("desired_notional")).otherwise(0.0))
     demand = orders.groupBy("portfolio_id", "trade_date").agg(total(buy).alias("total_buy_demand"), F.count_if(buy).alias("buy_orders"), total(sold).alias("sell_proceeds"))
-    rows = scenario_expand(fee_schedule(demand, fees), scenarios)
-    rows = rows.withColumn("available_cash", F.lit(cash) + F.col("sell_proceeds") * (1 - F.col("commission_rate") - F.coalesce("sell_rate", F.lit(0.0)))).drop("sell_rate")
+    rows, key = scenario_expand(fee_schedule(demand, fees), scenarios), ["portfolio_id", "cost_scenario"]
+    rows = rows.join(cash_before(accounts, rows, key), [*key, "trade_date"])
+    rows = rows.withColumn("available_cash", F.col("cash") + F.col("sell_proceeds") * (1 - F.col("commission_rate") - F.coalesce("sell_rate", F.lit(0.0)))).drop("sell_rate", "cash")
     need = F.col("total_buy_demand") * (1 + F.col("commission_rate"))
     scale = F.when(F.col("total_buy_demand") > 0, F.least(F.lit(1.0), F.greatest("available_cash", F.lit(0.0)) / need)).otherwise(1.0)
     return rows.withColumn("cash_scaling_factor", scale).withColumn("buy_status", F.when(F.col("cash_scaling_factor") <= 0, "INSUFFICIENT_CASH").when(F.col("cash_scaling_factor") < 1 - 1e-12, "PARTIAL_CASH_CONSTRAINT").otherwise("FILLED"))
 
 
-def stale_valuation(ledger: DataFrame, bars: DataFrame, days: DataFrame, key: list[str], code: str) -> DataFrame:
-    """Positions on every market day at the day's close, or else at the last one, with its age.
-    A position's days begin with its first fill; ledger rows and bars before the first day count
-    for it."""
-    asof = Window.partitionBy(*key).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    held = ledger.select(*key).distinct()
+def held_days(ledger: DataFrame, days: DataFrame, key: list[str]) -> DataFrame:
+    """Open positions on every market day: each ledger row lasts until the next one of its key, so
+    a closed position has no further days."""
     market = days.select("trade_date").distinct()
-    span = market.agg(F.min("trade_date").alias("begin"), F.max("trade_date").alias("end"))  # one row
-    own = ledger.groupBy(*key).agg(F.min("trade_date").alias("first")).join(span).where("first <= end")
-    grid = own.select(*key, F.explode(F.sequence(F.greatest("first", "begin"), "end")).alias("trade_date")).join(market, "trade_date").withColumn("is_market_day", F.lit(True))
-    units = ledger.select(*key, "trade_date", "units_after")
-    prices = bars.select(code, "trade_date", "close").join(held, code)
-    rows = grid.join(units, [*key, "trade_date"], "full").join(prices, [*key, "trade_date"], "full")
-    rows = rows.withColumns(
-        {
-            "units": F.last("units_after", ignorenulls=True).over(asof),
-            "price": F.last("close", ignorenulls=True).over(asof),
-            "price_date": F.last(F.when(F.col("close").isNotNull(), F.col("trade_date")), ignorenulls=True).over(asof),
-        }
-    ).where(F.col("is_market_day") & (F.col("units") > EPSILON))
-    source = F.when(F.col("price_date") == F.col("trade_date"), "CLOSE").when(F.col("price_date").isNotNull(), "STALE_CLOSE")
+    span = market.agg(F.min("trade_date").alias("__begin"), F.max("trade_date").alias("__end"))  # one row
+    following = F.lead("trade_date").over(Window.partitionBy(*key).orderBy("trade_date"))
+    spells = ledger.select(*key, F.col("trade_date").alias("__from"), F.col("units_after").alias("units"), following.alias("__next")).where(F.col("units") > EPSILON).join(span)
+    first, last = F.greatest("__from", "__begin"), F.least(F.coalesce(F.date_sub("__next", 1), F.col("__end")), F.col("__end"))
+    return spells.where(first <= last).select(*key, "units", F.explode(F.sequence(first, last)).alias("trade_date")).join(market, "trade_date")
+
+
+def asof_prices(marks: DataFrame, prices: DataFrame, code: str) -> DataFrame:
+    """marks(code, trade_date) with price, price_date and price_kind of the last of prices(code,
+    trade_date, order, price, price_date, price_kind) on or before the day; of one day's prices that
+    of the greatest order. One ordered pass for each code."""
+    value = ["price", "price_date", "price_kind"]
+    line = prices.select(code, "trade_date", "order", F.struct(*value).alias("__p")).where("price is not null").unionByName(marks.select(code, "trade_date").distinct().withColumn("order", F.lit(99)), allowMissingColumns=True)
+    past = Window.partitionBy(code).orderBy("trade_date", "order").rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("__p", F.last("__p", ignorenulls=True).over(past)).where("order = 99").select(code, "trade_date", "__p.*")
+
+
+def closes(bars: DataFrame, code: str, close: str = "close") -> DataFrame:
+    return bars.select(code, "trade_date", F.lit(1).alias("order"), F.col(close).alias("price"), F.col("trade_date").alias("price_date"), F.lit("CLOSE").alias("price_kind"))
+
+
+def valued_days(held: DataFrame, prices: DataFrame, key: list[str], code: str) -> DataFrame:
+    """Held positions at their last price: its source, its age in days and the value."""
+    rows = held.join(asof_prices(held, prices, code), [code, "trade_date"], "left")
+    today = (F.col("price_kind") == "CLOSE") & (F.col("price_date") == F.col("trade_date"))
+    source = F.when(today, "CLOSE").when(F.col("price_kind") == "CLOSE", "STALE_CLOSE").otherwise(F.col("price_kind"))
     return rows.select(*key, "trade_date", "units", "price", source.alias("price_source"), F.date_diff("trade_date", "price_date").alias("stale_calendar_days"), (F.col("units") * F.col("price")).alias("market_value"))
 
 
-def stale_summary(valued: DataFrame, key: list[str]) -> DataFrame:
-    """For each position that was ever stale: span, worst age, whether it is stale at the end, and
-    if so its value then and that value's share of the portfolio's positions."""
+def stale_valuation(ledger: DataFrame, bars: DataFrame, days: DataFrame, key: list[str], code: str) -> DataFrame:
+    """Positions on every market day at the day's close, or else at the last one, with its age.
+    Ledger rows and bars before the first day count for it."""
+    return valued_days(held_days(ledger, days, key), closes(bars, code), key, code)
+
+
+def stale_summary(valued: DataFrame, key: list[str], nav: DataFrame) -> DataFrame:
+    """For each position that was ever stale: span, worst age, date of the last price known to its
+    last stale day, whether it is stale at the end, and if so its value then and that value's share
+    of the portfolio's value, by nav(portfolio_id, trade_date, total_nav)."""
     end = valued.agg(F.max("trade_date").alias("end"))
-    # Only the last day's rows meet their portfolio's total.
-    total = valued.join(end, F.col("trade_date") == F.col("end"), "left_semi").groupBy("portfolio_id", "trade_date").agg(F.sum("market_value").alias("portfolio_value"))
-    stale = valued.where("stale_calendar_days > 0").join(total, ["portfolio_id", "trade_date"], "left")
+    stale = valued.where("stale_calendar_days > 0").join(nav.select("portfolio_id", "trade_date", "total_nav"), ["portfolio_id", "trade_date"], "left")
     last = F.col("trade_date") == F.col("end")
-    rows = stale.join(end).groupBy(*key).agg(
+    weight = F.when(F.col("total_nav") > 0, F.col("market_value") / F.col("total_nav"))
+    return stale.join(end).groupBy(*key).agg(
         F.min("trade_date").alias("first_stale_date"),
         F.max("trade_date").alias("last_stale_date"),
         F.count(F.lit(1)).alias("stale_days"),
         F.max("stale_calendar_days").alias("maximum_stale_days"),
         F.min_by("trade_date", F.struct(-F.col("stale_calendar_days"), F.col("trade_date"))).alias("date_of_maximum"),
+        F.max_by(F.date_sub("trade_date", F.col("stale_calendar_days")), "trade_date").alias("last_price_date"),
         F.bool_or(last).alias("stale_at_end"),
         F.max(F.when(last, F.col("market_value"))).alias("terminal_value"),
-        F.max(F.when(last, F.try_divide("market_value", "portfolio_value"))).alias("terminal_weight"),
+        F.max(F.when(last, weight)).alias("terminal_weight"),
     )
-    return rows
 
 
 def corporate_action_refs(history: DataFrame, panel: DataFrame, ratio: float) -> DataFrame:
@@ -212,6 +238,73 @@ def corporate_action_convert(positions: DataFrame, refs: DataFrame) -> DataFrame
     return rows.select("portfolio_id", "old_ts_code", "new_ts_code", "effective_date", F.col("units").alias("old_units"), "new_units", "carry_price", (F.col("new_units") * F.col("carry_price") - value).alias("value_difference"), F.lit("CORPORATE_ACTION").alias("activity_type"))
 
 
+def action_rows(positions: DataFrame, refs: DataFrame) -> DataFrame:
+    """Ledger rows of code changes: the old units out and the successor's in on the effective day, at
+    the price that keeps the value. positions(portfolio_id, old_ts_code, units, successor_units)
+    are those before the day; a position in the successor then is flagged, as two bases of value
+    would mix. A change whose own old code came from a change needs this change's rows first."""
+    c = corporate_action_convert(positions.drop("successor_units"), refs).join(positions.select("portfolio_id", "old_ts_code", "successor_units"), ["portfolio_id", "old_ts_code"])
+    side = lambda code, units, kind, price: F.struct(F.col(code).alias("ts_code"), units.alias("units_traded"), F.lit(kind).alias("activity"), price.alias("carry_price"))
+    legs = F.array(side("old_ts_code", -F.col("old_units"), "ACTION_OUT", F.lit(None).cast("double")), side("new_ts_code", F.col("new_units"), "ACTION_IN", F.col("carry_price")))
+    conflict = F.coalesce(F.abs("successor_units") > EPSILON, F.lit(False))
+    return c.select("portfolio_id", F.col("effective_date").alias("trade_date"), conflict.alias("successor_was_held"), F.explode(legs).alias("l")).select("portfolio_id", "l.ts_code", "trade_date", "l.units_traded", "l.activity", "l.carry_price", "successor_was_held")
+
+
+def carry_prices(refs: DataFrame) -> DataFrame:
+    """The successor's price on the effective day by the old code's last close, for the time until
+    its own first price: the value of a position does not change, so units cancel out."""
+    price = F.col("old_close") * F.col("successor_factor") / F.col("conversion_ratio")
+    return refs.select(F.col("new_ts_code").alias("ts_code"), F.col("effective_date").alias("trade_date"), F.lit(0).alias("order"), price.alias("price"), F.col("old_last_date").alias("price_date"), F.lit("CORPORATE_ACTION_CARRY_VALUE").alias("price_kind"))
+
+
+def carried_valuation(ledger: DataFrame, panel: DataFrame, refs: DataFrame, days: DataFrame) -> DataFrame:
+    """Positions by code on every market day at adjusted prices. ledger(portfolio_id, ts_code,
+    trade_date, units_traded) has the rows of code changes. A successor has its carry value from
+    the effective day on; its own prices begin there too and replace it, so the carry value expires with
+    the first of them. Bars outside a code's time are no prices."""
+    key = ["portfolio_id", "ts_code"]
+    daily = ledger.groupBy(*key, "trade_date").agg(F.sum("units_traded").alias("units_traded"))
+    so_far = Window.partitionBy(*key).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    held = held_days(daily.withColumn("units_after", F.sum("units_traded").over(so_far)), days, key)
+    prices = closes(panel.where("security_code_interval_valid and close_hfq > 0"), "ts_code", "close_hfq").unionByName(carry_prices(refs))
+    return valued_days(held, prices, key, "ts_code")
+
+
+def failed_sell_runs(orders: DataFrame, key: list[str], sequence: list[str]) -> DataFrame:
+    """Runs of failed sells without another order of the position in between: how long, how much,
+    the units before and after, whether they were held unchanged, and what ended the run."""
+    line = Window.partitionBy(*key).orderBy(*sequence)
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    failed = (F.col("side") == "SELL") & (F.col("order_status") == "FAILED")
+    after = F.concat_ws("_", "side", "order_status")
+    rows = orders.withColumns({"__failed": failed, "__units": F.sum(signed_units()).over(so_far), "__moved": signed_units()})
+    # The number of other orders so far is one for all of a run, and another for the next run.
+    rows = rows.withColumns({"__run": F.sum(F.when(failed, 0).otherwise(1)).over(so_far), "__next": F.lead(after).over(line)})
+    ends = F.max_by("__next", F.struct(*sequence))
+    runs = rows.where("__failed").groupBy(*key, "__run").agg(
+        F.min("trade_date").alias("first_failed_date"),
+        F.max("trade_date").alias("last_failed_date"),
+        F.count(F.lit(1)).alias("failed_orders"),
+        F.sum("desired_notional").alias("desired_notional"),
+        F.min_by(F.col("__units") - F.col("__moved"), F.struct(*sequence)).alias("units_before"),
+        F.max_by("__units", F.struct(*sequence)).alias("units_after"),
+        F.sum("executed_notional").alias("executed_notional"),
+        F.coalesce(ends, F.lit("NONE")).alias("ended_by"),
+    )
+    kept = (F.abs(F.col("units_after") - F.col("units_before")) <= 1e-8) & (F.col("executed_notional") == 0)
+    return runs.withColumn("units_preserved", kept).drop("__run", "executed_notional")
+
+
+def reserved_cash(orders: DataFrame, accounts: DataFrame, scenarios: DataFrame, scale: str | None = None) -> DataFrame:
+    """Cash that failed buys would have taken, at their scale and with costs, against the cash that
+    the portfolio had at the end of the day: less is a violation, as that cash must stay."""
+    wanted = F.col("desired_notional") * (F.col(scale) if scale else F.lit(1.0))
+    blocked = orders.where("side = 'BUY' and order_status = 'FAILED'").groupBy("portfolio_id", "trade_date").agg(F.sum(wanted).alias("blocked_notional"), F.count(F.lit(1)).alias("blocked_buys"))
+    rows = scenario_expand(blocked, scenarios.select("cost_scenario", "commission_rate")).withColumn("reserved_cash", F.col("blocked_notional") * (1 + F.col("commission_rate")))
+    rows = rows.join(accounts.select("portfolio_id", "cost_scenario", "trade_date", "cash"), ["portfolio_id", "cost_scenario", "trade_date"], "left")
+    return rows.withColumn("is_violated", F.coalesce(F.col("cash") + 0.01 < F.col("reserved_cash"), F.lit(True))).drop("commission_rate")
+
+
 def nav_daily(returns: DataFrame) -> DataFrame:
     """NAV, drawdown and relative NAV of daily returns by scenario; the first day is the base."""
     by = Window.partitionBy("cost_scenario").orderBy("trade_date")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.ordering import with_quantiles
 from factorloom.functions.stats import per_group
 from factorloom.operators.factors import FACTORS, zscore
 from factorloom.operators.portfolio import composite_topn
@@ -15,7 +16,7 @@ Z = [f"{f}_z" for f in FACTORS]
 def microcap_filter(panel: DataFrame, quantile: float = 0.2) -> DataFrame:
     """Eligible rows without the month's smallest by market value."""
     rows = panel.where("universe_eligible")
-    rows = per_group(rows, ["signal_date"], [F.percentile("total_mv_cny", F.lit(quantile)).alias("microcap_cutoff")])
+    rows = with_quantiles(rows, ["signal_date"], {"microcap": F.col("total_mv_cny")}, {"cutoff": quantile})
     return rows.where(F.round("total_mv_cny", 4) >= F.round("microcap_cutoff", 4))
 
 

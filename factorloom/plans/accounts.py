@@ -13,7 +13,7 @@ from factorloom.plans.panels import Panels
 from factorloom.plans.registry import KEY, PERIOD_SQL, PERIODS, plan
 from factorloom.plans.twins import FACTORS, PANELS
 
-CASH, RATIO = 1_000_000.0, 1.25
+RATIO = 1.25
 BASE_COST, COSTS = 0.001, {"COST_5BPS": 0.0005, "COST_20BPS": 0.002}
 _ALL = "strategy", "benchmark"
 
@@ -38,19 +38,6 @@ PANELS |= {
         GROUP BY ALL HAVING max_by(l.units_after, l.trade_date) > 1e-12""",
     "t_priced": """SELECT h.*, coalesce(o.open, c.close) AS price FROM t_held h LEFT JOIN (SELECT suppkey, trade_date, open FROM b_daily WHERE open > 0) o USING (suppkey, trade_date)
         LEFT JOIN (SELECT d.trade_date, b.suppkey, max_by(b.close, b.trade_date) AS close FROM t_days d JOIN b_daily b ON b.trade_date < d.trade_date GROUP BY ALL) c USING (suppkey, trade_date)""",
-    "t_valued": f"SELECT *, units * price AS current_value, sum(units * price) OVER (PARTITION BY portfolio_id, trade_date) + {CASH} AS pretrade_nav FROM t_priced",
-    "t_orders": """SELECT portfolio_id, trade_date, suppkey, current_value, target_value, CASE WHEN target_value - current_value < -0.01 THEN 'SELL' ELSE 'BUY' END AS side, abs(target_value - current_value) AS desired_notional FROM (
-        SELECT portfolio_id, trade_date, suppkey, coalesce(v.current_value, 0.0::DOUBLE) AS current_value, coalesce(w.target_value, 0.0::DOUBLE) AS target_value FROM (SELECT portfolio_id, trade_date, suppkey, current_value FROM t_valued) v FULL JOIN
-        (SELECT n.portfolio_id, n.trade_date, t.suppkey, t.target_weight * n.nav AS target_value FROM t_wanted t JOIN (SELECT portfolio_id, trade_date, max(pretrade_nav) AS nav FROM t_valued GROUP BY ALL) n USING (trade_date)) w
-        USING (portfolio_id, trade_date, suppkey)) WHERE abs(target_value - current_value) > 0.01""",
-    "t_gated": """SELECT *, CASE WHEN failure_reason IS NOT NULL THEN 'FAILED' ELSE 'PLANNED' END AS order_status FROM (SELECT o.*, CASE WHEN e.suppkey IS NULL THEN 'NO_EXECUTION_STATUS'
-        WHEN NOT has_daily_price THEN concat('NO_OPEN_PRICE', CASE WHEN suspended_at_open THEN '_SUSPENDED' ELSE '' END) WHEN suspended_at_open THEN 'SUSPENDED_AT_OPEN' WHEN side = 'BUY' AND open_at_up_limit THEN 'OPEN_AT_UP_LIMIT' WHEN side = 'SELL' AND open_at_down_limit THEN 'OPEN_AT_DOWN_LIMIT'
-        WHEN CASE WHEN side = 'BUY' THEN cannot_buy_at_open ELSE cannot_sell_at_open END THEN 'OTHER_BLOCK' END AS failure_reason
-        FROM t_orders o LEFT JOIN (SELECT x.*, c.suppkey FROM t_exec x JOIN (SELECT DISTINCT ts_code, suppkey FROM b_daily) c USING (ts_code)) e USING (suppkey, trade_date))""",
-    "t_cash": f"""SELECT d.*, s.*, {CASH} + sell_proceeds * (1 - commission_rate - coalesce(f.sell_rate, 0)) AS available_cash FROM (
-        SELECT portfolio_id, trade_date, sum(CASE WHEN side = 'BUY' THEN desired_notional ELSE 0 END) AS total_buy_demand, count(*) FILTER (WHERE side = 'BUY') AS buy_orders,
-          sum(CASE WHEN side = 'SELL' AND order_status = 'PLANNED' THEN desired_notional ELSE 0 END) AS sell_proceeds FROM t_gated GROUP BY ALL) d
-        CROSS JOIN b_scenarios s LEFT JOIN b_fees f ON d.trade_date BETWEEN f.effective_from AND f.effective_to""",
     "t_marks": "SELECT l.portfolio_id, l.suppkey, b.trade_date FROM (SELECT portfolio_id, suppkey, min(trade_date) AS first FROM t_ledger GROUP BY ALL) l JOIN b_benchmark b ON b.trade_date >= l.first",
     "t_stale": """SELECT portfolio_id, suppkey, trade_date, units, price, CASE WHEN pd = trade_date THEN 'CLOSE' WHEN pd IS NOT NULL THEN 'STALE_CLOSE' END AS price_source, (trade_date - pd)::INT AS stale_calendar_days, units * price AS market_value FROM (
         SELECT m.*, l.units_after AS units, d.close AS price, d.trade_date AS pd FROM t_marks m ASOF LEFT JOIN t_ledger l ON l.portfolio_id = m.portfolio_id AND l.suppkey = m.suppkey AND l.trade_date <= m.trade_date
@@ -116,6 +103,24 @@ PANELS |= {
       benchmark_nav / max(benchmark_nav) OVER w - 1 AS benchmark_drawdown, strategy_nav / benchmark_nav AS relative_nav, CASE WHEN nav_before > 0 THEN (executed_buy_notional + executed_sell_notional) / nav_before ELSE 0 END AS turnover_ratio,
       CASE WHEN total_nav > 0 THEN cash / total_nav END AS cash_weight, CASE WHEN total_nav > 0 THEN market_value / total_nav END AS market_value_weight, CASE WHEN total_nav > 0 THEN stale_market_value / total_nav END AS stale_weight FROM t_acc2 WINDOW w AS {_w}""",
 }
+PANELS |= {
+    "t_before": "SELECT d.trade_date, d.portfolio_id, d.cost_scenario, d.is_baseline, a.cash FROM (SELECT * FROM t_days CROSS JOIN (SELECT DISTINCT portfolio_id, cost_scenario, is_baseline FROM t_acc)) d ASOF JOIN t_acc a ON a.portfolio_id = d.portfolio_id AND a.cost_scenario = d.cost_scenario AND a.trade_date < d.trade_date",
+    "t_valued": "SELECT p.*, units * price AS current_value, sum(units * price) OVER (PARTITION BY p.portfolio_id, p.trade_date) + b.cash AS pretrade_nav FROM t_priced p JOIN t_before b ON b.portfolio_id = p.portfolio_id AND b.trade_date = p.trade_date AND b.is_baseline",
+    "t_orders": """SELECT portfolio_id, trade_date, suppkey, current_value, target_value, CASE WHEN target_value - current_value < -0.01 THEN 'SELL' ELSE 'BUY' END AS side, abs(target_value - current_value) AS desired_notional FROM (
+        SELECT portfolio_id, trade_date, suppkey, coalesce(v.current_value, 0.0::DOUBLE) AS current_value, coalesce(w.target_value, 0.0::DOUBLE) AS target_value FROM (SELECT portfolio_id, trade_date, suppkey, current_value FROM t_valued) v FULL JOIN
+        (SELECT n.portfolio_id, n.trade_date, t.suppkey, t.target_weight * n.nav AS target_value FROM t_wanted t JOIN (SELECT portfolio_id, trade_date, max(pretrade_nav) AS nav FROM t_valued GROUP BY ALL) n USING (trade_date)) w
+        USING (portfolio_id, trade_date, suppkey)) WHERE abs(target_value - current_value) > 0.01""",
+    "t_gated": """SELECT *, CASE WHEN failure_reason IS NOT NULL THEN 'FAILED' ELSE 'PLANNED' END AS order_status FROM (SELECT o.*, CASE WHEN e.suppkey IS NULL THEN 'NO_EXECUTION_STATUS'
+        WHEN NOT has_daily_price THEN concat('NO_OPEN_PRICE', CASE WHEN suspended_at_open THEN '_SUSPENDED' ELSE '' END) WHEN suspended_at_open THEN 'SUSPENDED_AT_OPEN' WHEN side = 'BUY' AND open_at_up_limit THEN 'OPEN_AT_UP_LIMIT' WHEN side = 'SELL' AND open_at_down_limit THEN 'OPEN_AT_DOWN_LIMIT'
+        WHEN CASE WHEN side = 'BUY' THEN cannot_buy_at_open ELSE cannot_sell_at_open END THEN 'OTHER_BLOCK' END AS failure_reason
+        FROM t_orders o LEFT JOIN (SELECT x.*, c.suppkey FROM t_exec x JOIN (SELECT DISTINCT ts_code, suppkey FROM b_daily) c USING (ts_code)) e USING (suppkey, trade_date))""",
+    "t_cash": """SELECT d.*, s.*, b.cash + sell_proceeds * (1 - commission_rate - coalesce(f.sell_rate, 0)) AS available_cash FROM (
+        SELECT portfolio_id, trade_date, sum(CASE WHEN side = 'BUY' THEN desired_notional ELSE 0 END) AS total_buy_demand, count(*) FILTER (WHERE side = 'BUY') AS buy_orders,
+          sum(CASE WHEN side = 'SELL' AND order_status = 'PLANNED' THEN desired_notional ELSE 0 END) AS sell_proceeds FROM t_gated GROUP BY ALL) d
+        CROSS JOIN b_scenarios s JOIN t_before b ON b.portfolio_id = d.portfolio_id AND b.trade_date = d.trade_date AND b.cost_scenario = s.cost_scenario LEFT JOIN b_fees f ON d.trade_date BETWEEN f.effective_from AND f.effective_to""",
+}
+
+
 def _run_sql(source: str, by: str) -> str:
     """performance_summary in SQL."""
     return f"""SELECT *, pow(1 + strategy_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) - 1 AS strategy_annualized_return, pow(1 + benchmark_total_return, 1 / greatest((trading_days - 1) / 252, 1 / 252)) - 1 AS benchmark_annualized_return,
@@ -138,29 +143,34 @@ PANELS |= {
 
 
 def _ledger(p: Panels):
-    return po.position_ledger(p["b_orders"], ["portfolio_id", "suppkey"])
+    return p.step("ledger", lambda: po.position_ledger(p["b_orders"], ["portfolio_id", "suppkey"]))
+
+
+def _codes(p: Panels):
+    return p.step("codes", lambda: p["b_daily"].select("ts_code", "suppkey").distinct())
 
 
 def _wanted(p: Panels):
     """Targets on their scheduled days, by supplier."""
-    codes = p["b_daily"].select(F.col("ts_code").alias("canonical_ts_code"), "suppkey").distinct()
     days = p.schedule.where("scheduled_trade_date is not null").select("signal_date", F.col("scheduled_trade_date").alias("trade_date"))
-    return p.targets.join(days, "signal_date"), codes
+    return p.step("wanted", lambda: p.targets.join(days, "signal_date").join(_codes(p).withColumnRenamed("ts_code", "canonical_ts_code"), "canonical_ts_code"))
 
 
 def _valued(p: Panels):
-    days = _wanted(p)[0].select("trade_date").distinct()
-    return po.open_valuation(po.positions_at(_ledger(p), ["portfolio_id", "suppkey"], days), p["b_daily"], "suppkey", CASH)
+    def build():
+        days = p.targets.select("signal_date").join(p.schedule.where("scheduled_trade_date is not null"), "signal_date").select(F.col("scheduled_trade_date").alias("trade_date")).distinct()
+        held = po.positions_at(_ledger(p), ["portfolio_id", "suppkey"], days)
+        return po.open_valuation(held, p["b_daily"], "suppkey", p.accounts.where("is_baseline"))
+
+    return p.step("valued", build)
 
 
 def _orders(p: Panels):
-    targets, codes = _wanted(p)
-    return po.rebalance_orders(_valued(p), targets.join(codes, "canonical_ts_code"), "suppkey")
+    return p.step("new_orders", lambda: po.rebalance_orders(_valued(p), _wanted(p), "suppkey"))
 
 
 def _gated(p: Panels):
-    codes = p["b_daily"].select("ts_code", "suppkey").distinct()
-    return po.execution_gate(_orders(p), p.status.join(codes, "ts_code"), "suppkey")
+    return p.step("gated", lambda: po.execution_gate(_orders(p), p.status.join(_codes(p), "ts_code"), "suppkey"))
 
 
 def _stale(p: Panels):
@@ -193,7 +203,7 @@ _gate = ["portfolio_id", "suppkey", "trade_date", "side", "failure_reason", "ord
 plan("execution_gate", lambda p: _gated(p).select(*_gate), f"SELECT {', '.join(_gate)} FROM t_gated")
 plan(
     "cash_scaling",
-    lambda p: po.cash_scaling(_gated(p), p["b_scenarios"], p["b_fees"], CASH),
+    lambda p: po.cash_scaling(_gated(p), p["b_scenarios"], p["b_fees"], p.accounts),
     """SELECT *, CASE WHEN cash_scaling_factor <= 0 THEN 'INSUFFICIENT_CASH' WHEN cash_scaling_factor < 1 - 1e-12 THEN 'PARTIAL_CASH_CONSTRAINT' ELSE 'FILLED' END AS buy_status FROM (
       SELECT *, CASE WHEN total_buy_demand > 0 THEN least(1.0::DOUBLE, greatest(available_cash, 0) / (total_buy_demand * (1 + commission_rate))) ELSE 1.0::DOUBLE END AS cash_scaling_factor FROM t_cash)""",
     "total_buy_demand sell_proceeds available_cash commission_rate cash_scaling_factor",
@@ -201,11 +211,11 @@ plan(
 )
 plan("stale_valuation", _stale, "SELECT * FROM t_stale", "units price market_value", 4)
 plan("stale_valuation_all_days", _stale, None, "units price market_value", 4)
-plan("stale_summary_all_days", lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"]), None, "terminal_value terminal_weight", 6)
+plan("stale_summary_all_days", lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"], p.accounts.where("is_baseline")), None, "terminal_value terminal_weight", 6)
 plan(
     "stale_summary",
-    lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"]),
-    "SELECT portfolio_id, suppkey, min(trade_date) AS first_stale_date, max(trade_date) AS last_stale_date, count(*) AS stale_days, max(stale_calendar_days) AS maximum_stale_days, min(trade_date) FILTER (WHERE stale_calendar_days = m) AS date_of_maximum, bool_or(trade_date = d) AS stale_at_end, max(CASE WHEN trade_date = d THEN market_value END) AS terminal_value, max(CASE WHEN trade_date = d AND pv > 0 THEN market_value / pv END) AS terminal_weight FROM (SELECT *, max(stale_calendar_days) OVER (PARTITION BY portfolio_id, suppkey) AS m FROM (SELECT *, max(trade_date) OVER () AS d, sum(market_value) OVER (PARTITION BY portfolio_id, trade_date) AS pv FROM t_stale) WHERE stale_calendar_days > 0) GROUP BY ALL",
+    lambda p: po.stale_summary(_stale(p), ["portfolio_id", "suppkey"], p.accounts.where("is_baseline")),
+    "SELECT portfolio_id, suppkey, min(trade_date) AS first_stale_date, max(trade_date) AS last_stale_date, count(*) AS stale_days, max(stale_calendar_days) AS maximum_stale_days, min(trade_date) FILTER (WHERE stale_calendar_days = m) AS date_of_maximum, max_by(trade_date - stale_calendar_days, trade_date) AS last_price_date, bool_or(trade_date = d) AS stale_at_end, max(CASE WHEN trade_date = d THEN market_value END) AS terminal_value, max(CASE WHEN trade_date = d AND total_nav > 0 THEN market_value / total_nav END) AS terminal_weight FROM (SELECT s.*, a.total_nav, max(stale_calendar_days) OVER (PARTITION BY s.portfolio_id, suppkey) AS m FROM (SELECT *, max(trade_date) OVER () AS d FROM t_stale) s LEFT JOIN (SELECT * FROM t_acc WHERE is_baseline) a ON a.portfolio_id = s.portfolio_id AND a.trade_date = s.trade_date WHERE stale_calendar_days > 0) GROUP BY ALL",
     "terminal_value terminal_weight",
     6,
 )
@@ -226,6 +236,66 @@ plan(
     "old_units new_units carry_price value_difference",
     5,
 )
+_code_sql = "(SELECT DISTINCT ts_code, suppkey FROM b_daily)"
+_signed = "CASE WHEN side = 'BUY' THEN executed_units ELSE -executed_units END"
+PANELS |= {
+    "t_trades": f"SELECT portfolio_id, ts_code, trade_date, sum({_signed}) AS units_traded FROM b_orders JOIN {_code_sql} USING (suppkey) GROUP BY ALL",
+    "t_action": """SELECT t.portfolio_id, r.old_ts_code, r.new_ts_code, r.effective_date, r.old_close, r.old_factor, r.successor_factor, r.conversion_ratio, sum(units_traded) FILTER (WHERE t.ts_code = r.old_ts_code) AS units,
+        sum(units_traded) FILTER (WHERE t.ts_code = r.new_ts_code) AS successor_units FROM t_refs r JOIN t_trades t ON t.ts_code IN (r.old_ts_code, r.new_ts_code) AND t.trade_date < r.effective_date GROUP BY ALL HAVING abs(sum(units_traded) FILTER (WHERE t.ts_code = r.old_ts_code)) > 1e-12""",
+    "t_action_rows": """SELECT portfolio_id, unnest([old_ts_code, new_ts_code]) AS ts_code, effective_date AS trade_date, unnest([-units, units * old_factor * conversion_ratio / successor_factor]) AS units_traded, unnest(['ACTION_OUT', 'ACTION_IN']) AS activity,
+        unnest([NULL, old_close * successor_factor / conversion_ratio]) AS carry_price, coalesce(abs(successor_units) > 1e-12, false) AS successor_was_held FROM t_action""",
+    "t_carry_ledger": """SELECT portfolio_id, ts_code, trade_date, sum(u) OVER (PARTITION BY portfolio_id, ts_code ORDER BY trade_date) AS units, lead(trade_date) OVER (PARTITION BY portfolio_id, ts_code ORDER BY trade_date) AS following
+        FROM (SELECT portfolio_id, ts_code, trade_date, sum(units_traded) AS u FROM (SELECT portfolio_id, ts_code, trade_date, units_traded FROM t_trades UNION ALL SELECT portfolio_id, ts_code, trade_date, units_traded FROM t_action_rows) GROUP BY ALL)""",
+    "t_carry_price": """SELECT ts_code, trade_date, close_hfq AS price, trade_date AS pd, 'CLOSE' AS kind FROM t_daily WHERE security_code_interval_valid AND close_hfq > 0
+        UNION ALL SELECT new_ts_code, effective_date, old_close * successor_factor / conversion_ratio, old_last_date, 'CORPORATE_ACTION_CARRY_VALUE' FROM t_refs r WHERE NOT EXISTS (SELECT 1 FROM t_daily d WHERE d.ts_code = r.new_ts_code AND d.trade_date = r.effective_date AND d.security_code_interval_valid AND d.close_hfq > 0)""",
+    "t_carried": """SELECT m.portfolio_id, m.ts_code, m.trade_date, units, price, CASE WHEN kind = 'CLOSE' AND pd < m.trade_date THEN 'STALE_CLOSE' ELSE kind END AS price_source, (m.trade_date - pd)::INT AS stale_calendar_days, units * price AS market_value
+        FROM (SELECT l.portfolio_id, l.ts_code, l.units, b.trade_date FROM t_carry_ledger l JOIN b_benchmark b ON b.trade_date >= l.trade_date AND (l.following IS NULL OR b.trade_date < l.following) WHERE l.units > 1e-12) m ASOF LEFT JOIN t_carry_price q ON q.ts_code = m.ts_code AND q.trade_date <= m.trade_date""",
+}
+
+
+def _trades(p: Panels):
+    return p.step("trades", lambda: p["b_orders"].join(_codes(p), "suppkey").groupBy("portfolio_id", "ts_code", "trade_date").agg(F.sum(po.signed_units()).alias("units_traded")))
+
+
+def _action_rows(p: Panels):
+    """Positions in old codes and their successors before the effective day, as ledger rows."""
+
+    def build():
+        refs = _refs(p).select("old_ts_code", "new_ts_code", "effective_date")
+        side = refs.select("old_ts_code", "effective_date", F.explode(F.array(F.struct(F.col("old_ts_code").alias("ts_code"), F.lit("units").alias("which")), F.struct(F.col("new_ts_code").alias("ts_code"), F.lit("successor_units").alias("which")))).alias("s")).select("old_ts_code", "effective_date", "s.*")
+        both = _trades(p).join(side, "ts_code").where("trade_date < effective_date").groupBy("portfolio_id", "old_ts_code").pivot("which", ["units", "successor_units"]).agg(F.sum("units_traded"))
+        return po.action_rows(both.where(F.abs("units") > po.EPSILON), _refs(p))
+
+    return p.step("action_rows", build)
+
+
+def _carried(p: Panels):
+    rows = _action_rows(p).select("portfolio_id", "ts_code", "trade_date", "units_traded")
+    return p.step("carried", lambda: po.carried_valuation(_trades(p).unionByName(rows), p.daily, _refs(p), p["b_benchmark"]))
+
+
+plan("corporate_action_rows", _action_rows, "SELECT * FROM t_action_rows", "units_traded carry_price", 5)
+plan("carried_valuation", _carried, "SELECT * FROM t_carried", "units price market_value", 4)
+_sequence = ["trade_date", "orderkey", "linenumber", "partkey"]
+_line = f"(PARTITION BY portfolio_id, suppkey ORDER BY {', '.join(_sequence)})"
+plan(
+    "failed_sell_runs",
+    lambda p: po.failed_sell_runs(p["b_orders"], ["portfolio_id", "suppkey"], _sequence),
+    f"""SELECT portfolio_id, suppkey, first_failed_date, last_failed_date, failed_orders, desired_notional, units_before, units_after, ended_by, units_before = units_after AND e = 0 AS units_preserved FROM (
+      SELECT portfolio_id, suppkey, min(trade_date) AS first_failed_date, max(trade_date) AS last_failed_date, count(*) AS failed_orders, sum(desired_notional) AS desired_notional, arg_min(u - m, n) AS units_before, arg_max(u, n) AS units_after, sum(executed_notional) AS e, coalesce(arg_max(nx, n), 'NONE') AS ended_by
+      FROM (SELECT *, n - row_number() OVER (PARTITION BY portfolio_id, suppkey, f ORDER BY n) AS island FROM (SELECT *, side = 'SELL' AND order_status = 'FAILED' AS f, {_signed} AS m, sum({_signed}) OVER {_line} AS u, row_number() OVER {_line} AS n, lead(side || '_' || order_status) OVER {_line} AS nx FROM b_orders)) WHERE f GROUP BY portfolio_id, suppkey, island)""",
+    "desired_notional units_before units_after",
+    4,
+)
+plan(
+    "reserved_cash",
+    lambda p: po.reserved_cash(p["b_orders"], p.accounts, p["b_scenarios"]),
+    """SELECT portfolio_id, cost_scenario, trade_date, blocked_notional, blocked_buys, reserved AS reserved_cash, cash, coalesce(cash + 0.01 < reserved, true) AS is_violated FROM (
+      SELECT b.portfolio_id, s.cost_scenario, b.trade_date, blocked_notional, blocked_buys, blocked_notional * (1 + s.commission_rate) AS reserved, a.cash FROM (SELECT portfolio_id, trade_date, sum(desired_notional) AS blocked_notional, count(*) AS blocked_buys FROM b_orders WHERE side = 'BUY' AND order_status = 'FAILED' GROUP BY ALL) b
+      CROSS JOIN b_scenarios s LEFT JOIN t_acc a ON a.portfolio_id = b.portfolio_id AND a.trade_date = b.trade_date AND a.cost_scenario = s.cost_scenario)""",
+    "blocked_notional reserved_cash cash",
+    2,
+)
 plan("nav_daily", lambda p: p.nav, "SELECT * FROM t_nav", "strategy_daily_return benchmark_daily_return strategy_nav benchmark_nav strategy_drawdown benchmark_drawdown relative_nav")
 # NAVs of the test data span many powers of ten, so the query gives their logarithms.
 _drift = "signal_date, trade_date, turnover, growth"
@@ -264,13 +334,22 @@ plan(
     "account_performance",
     lambda p: pf.account_performance(p.accounts),
     """SELECT *, cumulative_two_way_turnover / greatest((trading_days - 1) / 252, 1 / 252) AS annualized_two_way_turnover FROM t_perf_acc JOIN (
-      SELECT portfolio_id, cost_scenario, avg(cash_weight) AS average_cash_weight, max(cash_weight) AS maximum_cash_weight, max(stale_weight) AS maximum_stale_weight, max_by(stale_weight, trade_date) AS terminal_stale_weight, max_by(stale_market_value, trade_date) / max(initial_capital) AS terminal_stale_share_of_capital,
+      SELECT portfolio_id, cost_scenario, avg(cash_weight) AS average_cash_weight, max(cash_weight) FILTER (WHERE trade_date >= begun) AS maximum_cash_weight, max(stale_weight) AS maximum_stale_weight, max_by(stale_weight, trade_date) AS terminal_stale_weight, max_by(stale_market_value, trade_date) / max(initial_capital) AS terminal_stale_share_of_capital,
         max(maximum_stale_calendar_days) AS maximum_stale_calendar_days, sum(turnover_ratio) AS cumulative_two_way_turnover, sum(commission_cost) / max(initial_capital) AS total_commission_cost_share, sum(stamp_duty_cost) / max(initial_capital) AS total_stamp_duty_cost_share, sum(total_trading_cost) / max(initial_capital) AS total_trading_cost_share,
-        sum(failed_buy_orders)::BIGINT AS failed_buy_orders, sum(failed_sell_orders)::BIGINT AS failed_sell_orders, sum(partial_order_count)::BIGINT AS partial_order_count FROM t_acc GROUP BY ALL) USING (portfolio_id, cost_scenario)""",
+        sum(failed_buy_orders)::BIGINT AS failed_buy_orders, sum(failed_sell_orders)::BIGINT AS failed_sell_orders, sum(partial_order_count)::BIGINT AS partial_order_count FROM (SELECT *, min(CASE WHEN executed_buy_notional + executed_sell_notional > 0 THEN trade_date END) OVER (PARTITION BY portfolio_id, cost_scenario) AS begun FROM t_acc) GROUP BY ALL) USING (portfolio_id, cost_scenario)""",
     f"{_METRICS} annualized_return_difference {' '.join(_extra)}",
     6,
 )
-plan("account_periods", lambda p: pf.grouped_performance(pf.with_periods(p.accounts, PERIODS), [*pf.ACCOUNT, "period"]), "SELECT * FROM t_period_acc", _METRICS, 6)
+_weights = ["average_cash_weight", "maximum_cash_weight", "minimum_cash_weight", "average_stale_weight", "maximum_stale_weight", "terminal_stale_weight", "two_way_turnover", "trading_cost_share"]
+plan(
+    "account_periods",
+    lambda p: pf.account_periods(p.accounts, PERIODS),
+    f"""SELECT * FROM t_period_acc JOIN (SELECT portfolio_id, cost_scenario, period, avg(cash_weight) AS average_cash_weight, max(cash_weight) AS maximum_cash_weight, min(cash_weight) AS minimum_cash_weight, avg(stale_weight) AS average_stale_weight, max(stale_weight) AS maximum_stale_weight,
+      max_by(stale_weight, trade_date) AS terminal_stale_weight, max(maximum_stale_calendar_days) AS maximum_stale_calendar_days, count(*) FILTER (WHERE stale_position_count > 0) AS stale_days, sum(turnover_ratio) AS two_way_turnover, sum(total_trading_cost) / max(initial_capital) AS trading_cost_share,
+      sum(failed_buy_orders)::BIGINT AS failed_buy_orders, sum(failed_sell_orders)::BIGINT AS failed_sell_orders, sum(partial_order_count)::BIGINT AS partial_order_count FROM t_acc JOIN {PERIOD_SQL} ON trade_date BETWEEN p.a AND p.b GROUP BY ALL) USING (portfolio_id, cost_scenario, period)""",
+    f"{_METRICS} {' '.join(_weights)}",
+    6,
+)
 plan(
     "account_monthly",
     lambda p: pf.account_monthly(p.accounts),

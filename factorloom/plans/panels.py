@@ -22,10 +22,24 @@ class Panels:
         self.spark, self.sf_dir = spark, sf_dir
         self._by_rules: dict[FactorRules, DataFrame] = {}
         self._signals: dict[int, DataFrame] = {}
+        self._made: dict[str, str] = {}
+        self._steps: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return bound(self.spark, self.sf_dir, name)
 
+    def step(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A step's table, written at its first use."""
+        if name not in self._steps:
+            self._steps[name] = hand_over(build(), name)
+        return self._steps[name]
+
+    def made(self, name: str, make: Callable[[], str]) -> str:
+        """The path of a file that is written at its first use."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
     @cached_property
     def calendar(self) -> DataFrame:
         return hand_over(panel.trading_calendar(self["b_trade_cal"]), "calendar")
@@ -95,7 +109,7 @@ class Panels:
 
     @cached_property
     def schedule(self) -> DataFrame:
-        return portfolio.rebalance_schedule(self["b_month_end"], self["b_benchmark"])
+        return hand_over(portfolio.rebalance_schedule(self["b_month_end"], self["b_benchmark"]), "schedule")
 
     @cached_property
     def nav(self) -> DataFrame:

@@ -20,6 +20,7 @@ from factorloom.operators import quality as qa
 from factorloom.operators import robustness as rb
 from factorloom.plans.panels import Panels, panels
 from factorloom.plans.twins import FACTORS, twin
+from factorloom.sources import fingerprints as fp
 from factorloom.sources import tables as src
 
 
@@ -105,7 +106,7 @@ def _fingerprint_sql(table: str) -> str:
 
 
 plan("table_fingerprint", lambda p: src.table_fingerprint({t: p[t] for t in COLUMNS}), " UNION ALL ".join(map(_fingerprint_sql, COLUMNS)))
-plan("file_fingerprint", lambda p: src.file_fingerprint(p.spark, f"{p.sf_dir}/*.parquet"))
+plan("file_fingerprint", lambda p: fp.file_hashes(p.spark, f"{p.sf_dir}/*.parquet").withColumn("path", F.element_at(F.split("path", "/"), -1)))
 
 # Panels
 plan("trading_calendar", lambda p: p.calendar, "SELECT * FROM t_calendar")
@@ -250,4 +251,4 @@ plan(
       UNION ALL SELECT factor, 'TOP_MINUS_BOTTOM', signal_date, mean_next_month_return FROM t_qr WHERE quintile = 'TOP_MINUS_BOTTOM') WHERE value IS NOT NULL) WHERE worst_rank <= 5""",
     "value",
 )
-from factorloom.plans import accounts, audits  # noqa: E402, F401  (they register the rest)
+from factorloom.plans import accounts, audits, intake  # noqa: E402, F401  (they register the rest)

@@ -94,14 +94,3 @@ def table_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
         parts = [F.coalesce(F.sum(F.conv(F.substr("h", F.lit(at), F.lit(8)), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 9)]
         rows.append(df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *parts).alias("content_hash")).select(F.lit(name).alias("table"), "*"))
     return scan_union_by_name(rows)
-
-
-def file_fingerprint(spark: SparkSession, pattern: str) -> DataFrame:
-    """Path, size and SHA-256 of each file; files are hashed where they are read."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def tree_hash(files: DataFrame) -> DataFrame:
-    """One hash over all fingerprints, by path. The list has an entry for each file."""
-    return files.agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(":", "path", "sha256")))), 256).alias("tree_sha256"), F.count(F.lit(1)).alias("files"))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom.sources import fingerprints as fp
 from factorloom.functions.stats import average_rank, bucket, safe_corr
 from factorloom.operators import panel as pn
 from factorloom.operators import performance as pf
@@ -107,6 +108,6 @@ def test_sinks_and_fingerprints(spark, tmp_path):
     back = src.read_csv(spark, str(tmp_path / "c"), "id long, s string")
     prints = src.table_fingerprint({"a": df, "b": back.repartition(3), "c": src.read_parquet_glob(spark, str(tmp_path / "p"))}).collect()
     assert len({(r.row_count, r.content_hash) for r in prints}) == 1
-    assert src.tree_hash(src.file_fingerprint(spark, str(tmp_path / "p" / "*.parquet"))).first().files >= 1
+    assert fp.tree_hash(fp.file_hashes(spark, str(tmp_path / "p" / "*.parquet"))).first().files >= 1
     with pytest.raises(ValueError):
         src.require_columns(df, ["absent"])
