@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.operators.intervals import overlapping_pairs
+
 
 def checks(df: DataFrame, category: str, violations: dict[str, Column]) -> DataFrame:
     """Rows check_id, category, observed (rows that violate), expected, status. All checks of a
@@ -42,12 +44,22 @@ def key_symmetric_diff(left: DataFrame, right: DataFrame, key: list[str]) -> Dat
 
 
 def interval_overlap(history: DataFrame, name: str) -> DataFrame:
-    """Intervals that begin before the one before them of the same code has ended, and intervals
-    that end before they begin."""
-    order = Window.partitionBy("ts_code").orderBy("effective_from", "effective_to")
-    end = F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return checks(history.select("effective_from", end.alias("e"), reach.alias("reach")), "INTERVALS", {f"{name}_overlaps": F.col("effective_from") <= F.col("reach"), f"{name}_reversed": F.col("e") < F.col("effective_from")})
+    """Pairs of intervals of one code that share a day, and intervals that end before they begin."""
+    pairs = overlapping_pairs(history, ["ts_code"]).agg(F.coalesce(F.sum("overlapping_pairs"), F.lit(0)).alias("observed"))
+    reversed_ = checks(history, "INTERVALS", {f"{name}_reversed": F.col("effective_to") < F.col("effective_from")})
+    return _verdict(pairs.withColumn("check_id", F.lit(f"{name}_overlaps")), "INTERVALS").unionByName(reversed_)
+
+
+def cell_grid(rows: DataFrame, row: str, column: str, values: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """How many rows each cell of a grid has: a line for each value of ``row`` (and of expected,
+    where given), a column for each declared value, and the declared values whose cell is empty.
+    The pivot's values are declared, so it takes one pass and its shape does not depend on the data."""
+    grid = rows.groupBy(row).pivot(column, values).agg(F.count(F.lit(1)))
+    if expected is not None:
+        grid = expected.select(row).distinct().join(grid, row, "full")
+    grid = grid.na.fill(0, values)
+    missing = F.array_join(F.filter(F.array(*(F.when(F.col(f"`{v}`") == 0, F.lit(v)) for v in values)), lambda x: x.isNotNull()), ",")
+    return grid.withColumn("missing", missing)
 
 
 def panel_profile(panel: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from factorloom.operators import quality as qa
 from factorloom.operators.portfolio import trade_costs
 from factorloom.operators.quality import apart, differs
 from factorloom.plans.accounts import _gated, _ledger, _refs, _valued
-from factorloom.plans.panels import Panels
+from factorloom.plans.panels import Panels, capital_of
 from factorloom.plans.registry import plan
 from factorloom.plans.twins import CUT, FACTORS, PANELS
 
@@ -56,17 +56,11 @@ plan(
     "SELECT ts_code, trade_date, 'LEFT_ONLY' AS side FROM (SELECT ts_code, trade_date FROM b_daily EXCEPT SELECT ts_code, trade_date FROM b_suspend) UNION ALL SELECT ts_code, trade_date, 'RIGHT_ONLY' FROM (SELECT ts_code, trade_date FROM b_suspend EXCEPT SELECT ts_code, trade_date FROM b_daily)",
 )
 _ends = "coalesce(effective_to, DATE '9999-12-31')"
+_pairs_of = "(SELECT x.ts_code FROM (SELECT *, row_number() OVER () AS k, {e} AS e FROM {t}) x JOIN (SELECT *, row_number() OVER () AS k, {e} AS e FROM {t}) y ON x.ts_code = y.ts_code AND x.k < y.k AND x.effective_from <= y.e AND y.effective_from <= x.e WHERE x.effective_from <= x.e AND y.effective_from <= y.e)"
 plan(
     "interval_overlap",
     lambda p: qa.all_checks([qa.interval_overlap(p.industry, "industry"), qa.interval_overlap(p.names, "name")]),
-    _check_sql(
-        "INTERVALS",
-        {
-            f"{n}_{k}": (f"(SELECT effective_from, {_ends} AS e, max({_ends}) OVER (PARTITION BY ts_code ORDER BY effective_from, effective_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {t})", w)
-            for n, t in (("industry", "t_industry"), ("name", "t_name"))
-            for k, w in (("overlaps", "effective_from <= reach"), ("reversed", "e < effective_from"))
-        },
-    ),
+    _check_sql("INTERVALS", {k: v for n, t in (("industry", "t_industry"), ("name", "t_name")) for k, v in ((f"{n}_overlaps", (_pairs_of.format(t=t, e=_ends), "true")), (f"{n}_reversed", (t, "effective_to < effective_from")))}),
 )
 plan(
     "panel_profile",
@@ -98,17 +92,22 @@ def _account_prefix(p: Panels):
     early = lambda df: df.where(F.col("trade_date") <= CUT)
     orders, market, key = early(p["b_orders"]), early(p["b_benchmark"]), ["portfolio_id", "suppkey"]
     valued = po.stale_valuation(po.position_ledger(orders, key), early(p["b_daily"]), market, key, "suppkey")
-    old = po.account_daily(orders, valued, market, p["b_scenarios"], p["b_fees"], p.capital)
-    out = qa.prefix_reconcile(old, early(p.accounts), ["portfolio_id", "cost_scenario", "trade_date"], _whole, _shares, 1e-9)
+    # Both runs begin with the cash that the earlier one can know of.
+    capital = capital_of(orders)
+    old = po.account_daily(orders, valued, market, p["b_scenarios"], p["b_fees"], capital)
+    new = po.account_daily(p["b_orders"], p.stale, p["b_benchmark"], p["b_scenarios"], p["b_fees"], capital)
+    out = qa.prefix_reconcile(old, early(new), ["portfolio_id", "cost_scenario", "trade_date"], _whole, _shares, 1e-9)
     return out.withColumn("maximum_numeric_error", F.round("maximum_numeric_error", 6))
 
 
 _whole, _shares = ["holding_count", "stale_position_count", "failed_buy_orders", "failed_sell_orders"], ["strategy_nav", "cash_weight", "stale_weight", "turnover_ratio"]
 _early = {"b_orders": "t_orders_c", "b_daily": "t_bars_c", "b_benchmark": "t_market_c"}
 PANELS |= {made: f"SELECT * FROM {b} WHERE trade_date <= DATE '{CUT}'" for b, made in _early.items()}
-_path = ["t_ledger", "t_marks", "t_stale", "t_flow", "t_mark", "t_acc0", "t_acc1", "t_acc2", "t_acc"]
+_path = ["t_ledger", "t_marks", "t_stale", "t_flow", "t_capital", "t_mark", "t_acc0", "t_acc1", "t_acc2", "t_acc"]
 for _n in _path:  # the same steps from the earlier run's inputs
     PANELS[f"{_n}_c"] = re.sub(r"\b(" + "|".join([*_path, *_early]) + r")\b", lambda m: _early.get(m[0], f"{m[0]}_c"), PANELS[_n])
+for _n in _path[-4:]:  # and from all inputs with the earlier run's capital
+    PANELS[f"{_n}_n"] = re.sub(r"\b(t_capital|t_acc[012])\b", lambda m: "t_capital_c" if m[0] == "t_capital" else f"{m[0]}_n", PANELS[_n])
 plan(
     "prefix_reconcile_accounts",
     _account_prefix,
@@ -116,10 +115,31 @@ plan(
       SELECT count(o.trade_date) AS old_rows, count(n.trade_date) AS new_rows, count(*) FILTER (WHERE o.trade_date IS NULL OR n.trade_date IS NULL) AS missing_or_extra_rows,
         count(*) FILTER (WHERE o.trade_date IS NOT NULL AND n.trade_date IS NOT NULL AND ({" OR ".join(f"o.{c} IS DISTINCT FROM n.{c}" for c in _whole)})) AS categorical_mismatches,
         round(greatest({", ".join(f"coalesce(max(abs(o.{c} - n.{c})), 0)" for c in _shares)}), 6) AS maximum_numeric_error
-      FROM t_acc_c o FULL JOIN (SELECT * FROM t_acc WHERE trade_date <= DATE '{CUT}') n ON o.portfolio_id = n.portfolio_id AND o.cost_scenario = n.cost_scenario AND o.trade_date = n.trade_date)""",
+      FROM t_acc_c o FULL JOIN (SELECT * FROM t_acc_n WHERE trade_date <= DATE '{CUT}') n ON o.portfolio_id = n.portfolio_id AND o.cost_scenario = n.cost_scenario AND o.trade_date = n.trade_date)""",
     "maximum_numeric_error",
     6,
 )
+
+
+def _holdings_prefix(p: Panels):
+    early = lambda df: df.where(F.col("trade_date") <= CUT)
+    key = ["portfolio_id", "suppkey"]
+    old = po.stale_valuation(po.position_ledger(early(p["b_orders"]), key), early(p["b_daily"]), early(p["b_benchmark"]), key, "suppkey")
+    out = qa.prefix_reconcile(old, early(p.stale), [*key, "trade_date"], ["price_source", "stale_calendar_days"], ["units", "price", "market_value"], 1e-6)
+    return out.withColumn("maximum_numeric_error", F.round("maximum_numeric_error", 4))
+
+
+plan(
+    "prefix_reconcile_holdings",
+    _holdings_prefix,
+    f"""SELECT *, CASE WHEN missing_or_extra_rows = 0 AND categorical_mismatches = 0 AND maximum_numeric_error <= 1e-6 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+      SELECT count(o.trade_date) AS old_rows, count(n.trade_date) AS new_rows, count(*) FILTER (WHERE o.trade_date IS NULL OR n.trade_date IS NULL) AS missing_or_extra_rows,
+        count(*) FILTER (WHERE o.trade_date IS NOT NULL AND n.trade_date IS NOT NULL AND (o.price_source IS DISTINCT FROM n.price_source OR o.stale_calendar_days IS DISTINCT FROM n.stale_calendar_days)) AS categorical_mismatches,
+        round(greatest(coalesce(max(abs(o.units - n.units)), 0), coalesce(max(abs(o.price - n.price)), 0), coalesce(max(abs(o.market_value - n.market_value)), 0)), 4) AS maximum_numeric_error
+      FROM t_stale_c o FULL JOIN (SELECT * FROM t_stale WHERE trade_date <= DATE '{CUT}') n ON o.portfolio_id = n.portfolio_id AND o.suppkey = n.suppkey AND o.trade_date = n.trade_date)""",
+    "maximum_numeric_error",
+    4,
+)
 _formula = {
     "close_hfq_is_close_times_factor": ("t_daily", "abs(close_hfq - close * adj_factor) > 1e-8"),
     "volume_is_in_shares": ("t_daily", "abs(volume_share - vol * 100) > 1e-6"),
@@ -221,6 +241,12 @@ def _statistics(p: Panels):
 
 
 plan("dq_statistics", _statistics, _check_sql("STATISTICS", _stats))
+_grid_months = "SELECT DISTINCT signal_date FROM b_month_end"
+plan(
+    "factor_grid",
+    lambda p: qa.cell_grid(dg.evaluated(p.factor_panel).where("z is not null"), "signal_date", "factor", list(FACTORS), p["b_month_end"]),
+    f"SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {f} = 0 THEN '{f}' END" for f in FACTORS)}) AS missing FROM (SELECT m.signal_date, {', '.join(f"count(*) FILTER (WHERE factor = '{f}') AS {f}" for f in FACTORS)} FROM ({_grid_months}) m LEFT JOIN (SELECT * FROM t_long WHERE universe_eligible AND next_month_return IS NOT NULL AND z IS NOT NULL) x USING (signal_date) GROUP BY ALL)",
+)
 _tg = "(SELECT signal_date, count(*) AS n, sum(target_weight) AS w, max(target_weight) AS m, max(selection_rank) AS r, count(DISTINCT canonical_ts_code) AS u FROM t_targets GROUP BY signal_date)"
 _target = {"more_than_k": (_tg, "n > 20"), "gross_above_one": (_tg, "w > 1 + 1e-9"), "name_above_cap": (_tg, "m > 0.02 + 1e-12"), "ranks_have_gaps": (_tg, "r <> n"), "code_twice": (_tg, "u <> n")}
 
@@ -264,14 +290,33 @@ _gates = {
 }
 
 
+_kept = {
+    "failed_sell_not_held": ("""(SELECT l.units_after, h.units FROM (SELECT portfolio_id, suppkey, trade_date, arg_max(side || '_' || order_status, (orderkey, linenumber, partkey)) AS last_order FROM b_orders GROUP BY ALL) o
+      JOIN t_ledger l ON l.portfolio_id = o.portfolio_id AND l.suppkey = o.suppkey AND l.trade_date = o.trade_date LEFT JOIN t_stale h ON h.portfolio_id = o.portfolio_id AND h.suppkey = o.suppkey AND h.trade_date = o.trade_date WHERE last_order = 'SELL_FAILED' AND l.units_after > 1e-12)""", "units IS NULL OR abs(units - units_after) > 1e-8")
+}
+_moved = {
+    "failed_sells_moved_units": ("b_orders", "side = 'SELL' AND order_status = 'FAILED' AND (executed_units <> 0 OR executed_notional <> 0)"),
+    "blocked_buys_above_cash": ("""(SELECT b.n * (1 + s.commission_rate) AS reserved, a.cash FROM (SELECT portfolio_id, trade_date, sum(desired_notional) AS n FROM b_orders WHERE side = 'BUY' AND order_status = 'FAILED' GROUP BY ALL) b CROSS JOIN b_scenarios s
+      LEFT JOIN t_acc a ON a.portfolio_id = b.portfolio_id AND a.trade_date = b.trade_date AND a.cost_scenario = s.cost_scenario)""", "coalesce(cash + 0.01 < reserved, true)"),
+}
+
+
 def _execution(p: Panels):
     codes = p["b_daily"].select("ts_code", "suppkey").distinct()
     status = p.status.select("ts_code", "trade_date", "has_daily_price", "cannot_buy_at_open", "cannot_sell_at_open").join(codes, "ts_code").drop("ts_code")
     legal = qa.checks(_gated(p).join(status, ["suppkey", "trade_date"], "left"), "EXECUTION", {k: _c(w) for k, (_, w) in _gates.items()})
-    return _run(p, "EXECUTION", _exe).unionByName(legal)
-
-
-plan("dq_execution", _execution, _check_sql("EXECUTION", _exe | _gates))
+    # A position whose last order of the day is a failed sell is held at the day's end as it was.
+    last = p["b_orders"].groupBy("portfolio_id", "suppkey", "trade_date").agg(F.max_by(F.concat_ws("_", "side", "order_status"), F.struct("orderkey", "linenumber", "partkey")).alias("last_order"))
+    day = ["portfolio_id", "suppkey", "trade_date"]
+    kept = last.where("last_order = 'SELL_FAILED'").join(_ledger(p).where("units_after > 1e-12"), day).join(p.stale.select(*day, "units"), day, "left")
+    held = qa.checks(kept, "EXECUTION", {k: _c(w) for k, (_, w) in _kept.items()})
+    runs = po.failed_sell_runs(p["b_orders"], ["portfolio_id", "suppkey"], ["trade_date", "orderkey", "linenumber", "partkey"])
+    moved = qa.checks(runs, "EXECUTION", {"failed_sells_moved_units": ~F.col("units_preserved")})
+    reserved = qa.checks(po.reserved_cash(p["b_orders"], p.accounts, p["b_scenarios"]), "EXECUTION", {"blocked_buys_above_cash": F.col("is_violated")})
+    return qa.all_checks([_run(p, "EXECUTION", _exe), legal, held, moved, reserved])
+
+
+plan("dq_execution", _execution, _check_sql("EXECUTION", _exe | _gates | _kept | _moved))
 _nav2 = "(SELECT cost_scenario, trade_date, strategy_nav, benchmark_nav, strategy_drawdown, relative_nav, strategy_nav / lag(strategy_nav) OVER (PARTITION BY cost_scenario ORDER BY trade_date) - 1 AS r, strategy_daily_return FROM t_nav)"
 _derived = "(SELECT portfolio_id, cost_scenario, min_by(strategy_nav, trade_date) * product(1 + strategy_daily_return) AS grown, max_by(strategy_nav, trade_date) AS strategy_nav_end FROM t_acc GROUP BY ALL)"
 _by_rate = "(SELECT cash, lag(cash) OVER (PARTITION BY portfolio_id ORDER BY commission_rate) AS before FROM (SELECT portfolio_id, commission_rate, max_by(cash, trade_date) AS cash FROM t_acc JOIN b_scenarios USING (cost_scenario) GROUP BY ALL))"

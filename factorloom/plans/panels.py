@@ -5,16 +5,24 @@ plans its own step only."""
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.operators import diagnostics, factors, panel, portfolio, robustness
 from factorloom.operators.factors import FactorRules
-from factorloom.sources.bindings import bound
-from factorloom.sources.tables import hand_over
+from factorloom.sources.bindings import TABLES, bound
+from factorloom.sources.tables import file_state, hand_over, remove_folder, shared_folder
+
+
+def capital_of(orders: DataFrame) -> DataFrame:
+    """Each portfolio's cash at the beginning: that for all its buys and a tenth more."""
+    bought = F.sum(F.when(F.col("side") == "BUY", F.col("executed_notional")).otherwise(0.0))
+    return orders.groupBy("portfolio_id").agg((bought * 1.1 + 1).alias("initial_capital"))
 
 
 class Panels:
@@ -24,14 +32,23 @@ class Panels:
         self._signals: dict[int, DataFrame] = {}
         self._made: dict[str, str] = {}
         self._steps: dict[str, DataFrame] = {}
+        self._bound: dict[str, DataFrame] = {}
+        self.folder = f"{shared_folder(spark)}/panels-{uuid.uuid4().hex}"
 
     def __getitem__(self, name: str) -> DataFrame:
-        return bound(self.spark, self.sf_dir, name)
+        return bound(self.spark, self.sf_dir, name, self._bound, self.folder)
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return hand_over(df, name, self.folder)
+
+    def discard(self) -> None:
+        """Remove all tables written for these inputs."""
+        remove_folder(self.spark, self.folder)
 
     def step(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A step's table, written at its first use."""
         if name not in self._steps:
-            self._steps[name] = hand_over(build(), name)
+            self._steps[name] = self._keep(build(), name)
         return self._steps[name]
 
     def made(self, name: str, make: Callable[[], str]) -> str:
@@ -42,19 +59,19 @@ class Panels:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return hand_over(panel.trading_calendar(self["b_trade_cal"]), "calendar")
+        return self._keep(panel.trading_calendar(self["b_trade_cal"]), "calendar")
 
     @cached_property
     def identity(self) -> DataFrame:
-        return hand_over(panel.code_identity(self["b_code_history"]), "identity")
+        return self._keep(panel.code_identity(self["b_code_history"]), "identity")
 
     @cached_property
     def meta(self) -> DataFrame:
-        return hand_over(panel.stock_meta(self["b_stock_basic"], self.identity, self.calendar, F.lit("1995-01-01").cast("date")), "meta")
+        return self._keep(panel.stock_meta(self["b_stock_basic"], self.identity, self.calendar, F.lit("1995-01-01").cast("date")), "meta")
 
     @cached_property
     def daily(self) -> DataFrame:
-        return hand_over(panel.daily_panel(self["b_daily"], self["b_adj"], self.meta, self.calendar), "daily")
+        return self._keep(panel.daily_panel(self["b_daily"], self["b_adj"], self.meta, self.calendar), "daily")
 
     @cached_property
     def suspended(self) -> DataFrame:
@@ -62,29 +79,29 @@ class Panels:
 
     @cached_property
     def status(self) -> DataFrame:
-        return hand_over(panel.execution_status(self.daily, self["b_limit"], self.suspended, self.identity), "status")
+        return self._keep(panel.execution_status(self.daily, self["b_limit"], self.suspended, self.identity), "status")
 
     @cached_property
     def industry(self) -> DataFrame:
-        return hand_over(panel.scd2_history(self["b_industry_history"], "industry_code", self.identity), "industry")
+        return self._keep(panel.scd2_history(self["b_industry_history"], "industry_code", self.identity), "industry")
 
     @cached_property
     def names(self) -> DataFrame:
-        return hand_over(panel.scd2_history(self["b_name_history"], "stock_name", self.identity), "names")
+        return self._keep(panel.scd2_history(self["b_name_history"], "stock_name", self.identity), "names")
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return hand_over(panel.month_end_panel(self["b_month_end"], self.daily, self.industry, self.names), "monthly")
+        return self._keep(panel.month_end_panel(self["b_month_end"], self.daily, self.industry, self.names), "monthly")
 
     def factors(self, rules: FactorRules = FactorRules()) -> DataFrame:
         """The factor panel under the rules: a row for each entity and month."""
         if rules not in self._by_rules:
-            self._by_rules[rules] = hand_over(factors.factor_panel(self.monthly, self.daily, rules), "factor_panel")
+            self._by_rules[rules] = self._keep(factors.factor_panel(self.monthly, self.daily, rules), "factor_panel")
         return self._by_rules[rules]
 
     @cached_property
     def raw(self) -> DataFrame:
-        return hand_over(factors.raw_factors(self.monthly, factors.daily_features(self.daily)), "raw")
+        return self._keep(factors.raw_factors(self.monthly, factors.daily_features(self.daily)), "raw")
 
     @cached_property
     def factor_panel(self) -> DataFrame:
@@ -92,46 +109,60 @@ class Panels:
 
     @cached_property
     def ic(self) -> DataFrame:
-        return hand_over(diagnostics.monthly_rank_ic(self.factor_panel), "ic")
+        return self._keep(diagnostics.monthly_rank_ic(self.factor_panel), "ic")
 
     @cached_property
     def quintiles(self) -> DataFrame:
-        return hand_over(diagnostics.quintile_returns(self.factor_panel), "quintiles")
+        return self._keep(diagnostics.quintile_returns(self.factor_panel), "quintiles")
 
     @cached_property
     def targets(self) -> DataFrame:
-        return hand_over(portfolio.composite_topn(self.factor_panel, 20), "targets")
+        return self._keep(portfolio.composite_topn(self.factor_panel, 20), "targets")
 
     def variant_signals(self, variants: Callable[[Panels], dict[str, DataFrame]], k: int) -> DataFrame:
         if k not in self._signals:
-            self._signals[k] = hand_over(robustness.variant_signals(variants(self), k), "variant_signals")
+            self._signals[k] = self._keep(robustness.variant_signals(variants(self), k), "variant_signals")
         return self._signals[k]
 
     @cached_property
     def schedule(self) -> DataFrame:
-        return hand_over(portfolio.rebalance_schedule(self["b_month_end"], self["b_benchmark"]), "schedule")
+        return self._keep(portfolio.rebalance_schedule(self["b_month_end"], self["b_benchmark"]), "schedule")
 
     @cached_property
     def nav(self) -> DataFrame:
-        return hand_over(portfolio.nav_daily(self["b_returns"]), "nav")
+        return self._keep(portfolio.nav_daily(self["b_returns"]), "nav")
 
     @cached_property
     def stale(self) -> DataFrame:
         """Positions on every market day; a position is known by portfolio and supplier."""
         key = ["portfolio_id", "suppkey"]
-        return hand_over(portfolio.stale_valuation(portfolio.position_ledger(self["b_orders"], key), self["b_daily"], self["b_benchmark"], key, "suppkey"), "stale")
+        return self._keep(portfolio.stale_valuation(portfolio.position_ledger(self["b_orders"], key), self["b_daily"], self["b_benchmark"], key, "suppkey"), "stale")
 
     @cached_property
     def capital(self) -> DataFrame:
-        """Each portfolio's cash at the beginning: that for all its buys and a tenth more."""
-        bought = F.sum(F.when(F.col("side") == "BUY", F.col("executed_notional")).otherwise(0.0))
-        return self["b_orders"].groupBy("portfolio_id").agg((bought * 1.1 + 1).alias("initial_capital"))
+        return capital_of(self["b_orders"])
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return hand_over(portfolio.account_daily(self["b_orders"], self.stale, self["b_benchmark"], self["b_scenarios"], self["b_fees"], self.capital), "accounts")
+        return self._keep(portfolio.account_daily(self["b_orders"], self.stale, self["b_benchmark"], self["b_scenarios"], self["b_fees"], self.capital), "accounts")
+
+
+#: Inputs whose tables are kept at a time.
+KEPT = 8
+_PANELS: OrderedDict[tuple[SparkSession, str], tuple[tuple, Panels]] = OrderedDict()
 
 
-@lru_cache(8)
 def panels(spark: SparkSession, sf_dir: str) -> Panels:
-    return Panels(spark, sf_dir)
+    """The panels over a folder, made anew when a table's files there have changed. Tables of the old
+    state, and those of the folder not used for the longest time, are removed; results
+    that were not read by then can no longer be."""
+    state, key = file_state(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]), (spark, sf_dir)
+    before, found = _PANELS.pop(key, (None, None))
+    if before != state:
+        if found is not None:
+            found.discard()
+        found = Panels(spark, sf_dir)
+    _PANELS[key] = (state, found)
+    while len(_PANELS) > KEPT:
+        _PANELS.popitem(last=False)[1][1].discard()
+    return found

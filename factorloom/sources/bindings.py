@@ -7,7 +7,6 @@ day of shipments, a portfolio scenario an order status.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -150,19 +149,21 @@ def used(sql: str) -> list[str]:
 WRITTEN = {"b_daily", "b_month_end"}
 
 
-@lru_cache(256)
-def _bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame], folder: str) -> DataFrame:
+    """A table or binding as a DataFrame; made holds those of earlier calls for the same inputs."""
+    if name not in made:
+        made[name] = _bind(spark, sf_dir, name, made, folder)
+    return made[name]
+
+
+def _bind(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame], folder: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if not used(BINDINGS[name]):
+    inputs = used(BINDINGS[name])
+    if not inputs:
         return spark.sql(BINDINGS[name])
-    made = spark.sql(re.sub(rf"\b({'|'.join(used(BINDINGS[name]))})\b", r"{\1}", BINDINGS[name]), **{n: _bound(spark, sf_dir, n) for n in used(BINDINGS[name])})
-    return hand_over(made, name) if name in WRITTEN else made
-
-
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or binding as a DataFrame."""
-    return _bound(spark, sf_dir, name)
+    df = spark.sql(re.sub(rf"\b({'|'.join(inputs)})\b", r"{\1}", BINDINGS[name]), **{n: bound(spark, sf_dir, n, made, folder) for n in inputs})
+    return hand_over(df, name, folder) if name in WRITTEN else df
 
 
 def with_bindings(sql: str) -> str:

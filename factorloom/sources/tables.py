@@ -50,15 +50,41 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def hand_over(df: DataFrame, name: str) -> DataFrame:
-    """Write a step's result to the shared folder and read it back: later steps start from the
-    table, and the loss of an executor costs no earlier step."""
+def hand_over(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write a step's result to the shared folder, or the given one in it, and read it back: later
+    steps start from the table, and the loss of an executor costs no earlier step."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     write_parquet(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def file_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """For each path (a file or a folder of files) how many files, bytes and which latest change;
+    nothing for one that is absent."""
+    out = []
+    for path in paths:
+        system, where = _hadoop(spark, path)
+        if not system.exists(where):
+            out.append(None)
+            continue
+        files = [f for f in system.listStatus(where) if not f.isDirectory()]
+        out.append((len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)))
+    return tuple(out)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of tables that nothing reads any more."""
+    if spark._jsc is not None and not spark._jsc.sc().isStopped():
+        system, where = _hadoop(spark, path)
+        system.delete(where, True)
+
+
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A small result table as CSV with header, or as JSON lines."""
     df.write.mode("overwrite").format(kind).option("header", True).save(path)
