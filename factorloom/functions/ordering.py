@@ -1,17 +1,19 @@
 """Order statistics of large groups: running counts, exact quantiles and average ranks without a
 task that holds a group.
 
-Values are first counted by group and value, which joins equal values before the shuffle. Distinct
-values are dealt to buckets by a fixed function that never decreases with the value: 256 buckets
+Values are dealt to buckets by a fixed function that never decreases with the value: 256 buckets
 for each power of two, and so for negative values the other way round. Counts of whole buckets
 come before a bucket's own values, so windows run within buckets and over buckets, never over a
-group. No sampling decides the buckets, so a lost task gives the same ones again.
+group. Equal values are counted before they are shuffled. No sampling decides the buckets, so a
+lost task gives the same ones again.
 
 Defined results: nulls take no part; NaN is above all numbers; negative and positive zero are
 equal; a group without values has no quantiles and no ranks."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +50,31 @@ def value_counts(df: DataFrame, by: list[str], value: Column) -> DataFrame:
 
 def quantiles(df: DataFrame, by: list[str], values: dict[str, Column], probabilities: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles, one row for each group: column ``<value>_<probability>`` for
-    each name of both. All values share one pass."""
-    long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("of"), c.cast("double").alias("value")) for k, c in values.items()))).alias("v")).select(*by, "v.*")
+    each name of both. Two rounds for all values at once: a histogram over buckets says in which of
+    them the wanted ranks lie, and only values of these buckets are ordered."""
+    options = F.array(*(F.struct(F.lit(k).alias("of"), c.cast("double").alias("value")) for k, c in values.items()))
     key = [*by, "of"]
-    ranked = running_totals(value_counts(long, key, F.col("value")), key, "value", "n")
+    long = df.select(*by, F.explode(options).alias("v")).select(*by, "v.*").where("value is not null").withColumn("bucket", radix(F.col("value")))
+    line = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    histogram = long.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    histogram = histogram.withColumns({"before": F.sum("n").over(line) - F.col("n"), "total": F.sum("n").over(Window.partitionBy(*key))})
+
+    def at(q: float) -> Column:
+        return (F.col("total") - 1) * F.lit(q)
+
+    def holds(k: Column) -> Column:
+        return (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+
+    wanted = reduce(Column.__or__, (holds(r(at(q))) for q in probabilities.values() for r in (F.floor, F.ceil)))
+    chosen = histogram.where(wanted).select(*(F.col(c).alias(f"__{c}") for c in [*key, "bucket"]), F.col("before").alias("ahead"), "total")
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*key, "bucket"]]
+    narrowed = long.join(chosen, on).groupBy(*key, "bucket", "ahead", "total", "value").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*key, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = narrowed.withColumn("before", F.col("ahead") + F.sum("n").over(inside) - F.col("n"))
     aggregates = []
     for name, q in probabilities.items():
-        at = (F.col("total") - 1) * F.lit(q)
-        low, high = F.floor(at), F.ceil(at)
-        holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))  # noqa: B023, E731
-        aggregates += [F.max(F.when(holds(low), F.col("value"))).alias(f"__lo_{name}"), F.max(F.when(holds(high), F.col("value"))).alias(f"__hi_{name}"), F.max(at - low).alias(f"__up_{name}"), F.max(high - at).alias(f"__down_{name}")]
+        low, high = F.floor(at(q)), F.ceil(at(q))
+        aggregates += [F.max(F.when(holds(low), F.col("value"))).alias(f"__lo_{name}"), F.max(F.when(holds(high), F.col("value"))).alias(f"__hi_{name}"), F.max(at(q) - low).alias(f"__up_{name}"), F.max(high - at(q)).alias(f"__down_{name}")]
     by_value = ranked.groupBy(*key).agg(*aggregates)
 
     def between(name: str) -> Column:
@@ -80,9 +97,14 @@ def with_quantiles(df: DataFrame, by: list[str], values: dict[str, Column], prob
     return df.join(quantiles(df, by, values, probabilities), by, "left")
 
 
-def with_average_rank(df: DataFrame, by: list[str], value: Column, rank: str, total: str | None = None) -> DataFrame:
-    """df with the average rank of a value in its group (keys not null) and, if asked for, the number
-    of ranked rows; both null where the value is."""
-    marked = df.withColumn("__value", value.cast("double"))
-    table = average_ranks(marked.select(*by, "__value"), by, F.col("__value")).select(*by, F.col("value").alias("__value"), F.col("average_rank").alias(rank), *([F.col("total").alias(total)] if total else []))
-    return marked.join(table, [*by, "__value"], "left").drop("__value")
+def with_average_ranks(df: DataFrame, by: list[str], values: dict[str, Column], total: str | None = None) -> DataFrame:
+    """df with the average rank of each value in its group (keys not null), by the name given, and,
+    if asked for, the number of ranked rows of the first; null where the value is. Ranks are taken
+    from df itself, so several cost no more than one each."""
+    marked = df.withColumns({f"__{name}": value.cast("double") for name, value in values.items()})
+    out = marked
+    for i, name in enumerate(values):
+        ranks = average_ranks(marked.select(*by, f"__{name}"), by, F.col(f"__{name}"))
+        more = [F.col("total").alias(total)] if total and i == 0 else []
+        out = out.join(ranks.select(*by, F.col("value").alias(f"__{name}"), F.col("average_rank").alias(name), *more), [*by, f"__{name}"], "left")
+    return out.drop(*(f"__{name}" for name in values))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.ordering import with_average_rank
+from factorloom.functions.ordering import with_average_ranks
 from factorloom.functions.stats import bucket, safe_corr
 from factorloom.operators.factors import FACTORS, KEY
 
@@ -50,7 +50,7 @@ def monthly_rank_ic(panel: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     """Spearman correlation of factor and next month's return."""
     by, both = ["signal_date", "factor"], F.col("z").isNotNull()
     rows = evaluated(panel).withColumn("label", F.round("next_month_return", 9))
-    rows = with_average_rank(with_average_rank(rows, by, F.col("z"), "a"), by, F.when(both, F.col("label")), "b")
+    rows = with_average_ranks(rows, by, {"a": F.col("z"), "b": F.when(both, F.col("label"))})
     return rows.groupBy(*by).agg(safe_corr(F.col("a"), F.col("b"), minimum).alias("rank_ic"), F.count("a").alias("observations"))
 
 
@@ -73,7 +73,7 @@ def ic_summary(monthly_ic: DataFrame) -> DataFrame:
 def quintiled(rows: DataFrame, keep: list[str], minimum: int = MINIMUM) -> DataFrame:
     """Long rows with a score, with their quintile; months of too few rows are left out."""
     by = ["signal_date", "factor"]
-    ranked = with_average_rank(rows.where("z is not null").select(*by, *keep, "z"), by, F.col("z"), "r", "n")
+    ranked = with_average_ranks(rows.where("z is not null").select(*by, *keep, "z"), by, {"r": F.col("z")}, total="n")
     return ranked.where(F.col("n") >= max(minimum, QUINTILES)).select(*by, *keep, "z", bucket(F.col("r"), F.col("n"), QUINTILES).alias("quintile"))
 
 
@@ -110,7 +110,7 @@ def factor_correlation(panel: DataFrame, factors: list[str] = FACTORS, minimum:
     by = ["signal_date", "factor_left", "factor_right"]
     rows = panel.where("universe_eligible").select("signal_date", F.explode(options).alias("p")).select("signal_date", "p.*")
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    ranked = with_average_rank(with_average_rank(rows, by, F.when(both, F.col("x")), "a"), by, F.when(both, F.col("y")), "b")
+    ranked = with_average_ranks(rows, by, {"a": F.when(both, F.col("x")), "b": F.when(both, F.col("y"))})
     return ranked.groupBy(*by).agg(safe_corr(F.col("a"), F.col("b"), minimum).alias("spearman_correlation"), F.count("a").alias("observations"))
 
 
@@ -138,7 +138,7 @@ def size_exposure(panel: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     """Pearson and Spearman correlation of factors with the logarithm of market value."""
     by, both = ["signal_date", "factor"], F.col("z").isNotNull()
     rows = long_form(panel.where("universe_eligible and total_mv_cny > 0").withColumn("size", F.ln("total_mv_cny")), [*KEY, "size"]).withColumn("size_rank", F.round("size", 9))
-    rows = with_average_rank(with_average_rank(rows, by, F.col("z"), "a"), by, F.when(both, F.col("size_rank")), "b")
+    rows = with_average_ranks(rows, by, {"a": F.col("z"), "b": F.when(both, F.col("size_rank"))})
     return rows.groupBy(*by).agg(
         safe_corr(F.col("z"), F.col("size"), minimum).alias("pearson_corr_log_total_mv"), safe_corr(F.col("a"), F.col("b"), minimum).alias("spearman_corr_log_total_mv"), F.count("a").alias("observations")
     )

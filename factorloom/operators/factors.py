@@ -6,6 +6,7 @@ moments directly, quantiles by counts of values in buckets, so no task holds or
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,5 +119,12 @@ def zscore(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def factor_panel(monthly: DataFrame, panel: DataFrame, rules: FactorRules = FactorRules()) -> DataFrame:
     """Raw, winsorized and standardised factors with label, universe and moments."""
-    rows = universe_filter(raw_factors(monthly, daily_features(panel, rules), rules), rules)
-    return zscore(winsorize(rows, FACTORS, rules.winsor), {f"{f}_winsorized": f"{f}_z" for f in FACTORS})
+    return scored(raw_factors(monthly, daily_features(panel, rules), rules), rules)
+
+
+def scored(raw: DataFrame, rules: FactorRules = FactorRules(), keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """Raw factors with universe, winsorized and standardised scores. Each step reads its input for
+    a month's figures and for its rows; ``keep`` may write a step and read it back."""
+    universe = keep(universe_filter(raw, rules), "universe")
+    clamped = keep(winsorize(universe, FACTORS, rules.winsor), "winsorized")
+    return zscore(clamped, {f"{f}_winsorized": f"{f}_z" for f in FACTORS})

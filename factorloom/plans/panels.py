@@ -96,12 +96,17 @@ class Panels:
     def factors(self, rules: FactorRules = FactorRules()) -> DataFrame:
         """The factor panel under the rules: a row for each entity and month."""
         if rules not in self._by_rules:
-            self._by_rules[rules] = self._keep(factors.factor_panel(self.monthly, self.daily, rules), "factor_panel")
+            self._by_rules[rules] = self._keep(factors.scored(self.raw_for(rules), rules, self._keep), "factor_panel")
         return self._by_rules[rules]
 
+    def raw_for(self, rules: FactorRules) -> DataFrame:
+        """Raw factors; rules that differ in the universe only share them."""
+        spans = (rules.recent_skip, rules.lookback, rules.volatility_window, rules.liquidity_window)
+        return self.step("raw_" + "_".join(map(str, spans)), lambda: factors.raw_factors(self.monthly, factors.daily_features(self.daily, rules), rules))
+
     @cached_property
     def raw(self) -> DataFrame:
-        return self._keep(factors.raw_factors(self.monthly, factors.daily_features(self.daily)), "raw")
+        return self.raw_for(FactorRules())
 
     @cached_property
     def factor_panel(self) -> DataFrame:
