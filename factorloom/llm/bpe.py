@@ -35,10 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import tokens
-from factorloom.llm.common import n_buckets, pack, small_batches, unpack
+from factorloom.llm.common import input_bytes, n_buckets, pack, small_batches, unpack
 
-#: Characters of text in a block.
-BLOCK_CHARS = 16 << 20
+#: Characters of text in a block, and blocks whose equal words are encoded once; as common words
+#: are in every block, a task's words would grow with the corpus without this bound.
+BLOCK_CHARS, GROUP_BLOCKS = 16 << 20, 256
+#: Characters that a byte of input may stand for, as tables are compressed.
+EXPANSION = 4
 #: Words of a block that are expanded to ids at once.
 STEP = 1 << 19
 _ROW = "key long, block long, bucket int, payload binary"
@@ -54,7 +57,7 @@ def _word_array(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _block_rows(ids: list, texts: list[str], buckets: int, with_words: bool) -> pa.RecordBatch:
+def _block_rows(ids: list, texts: list[str], buckets: int, groups: int, with_words: bool) -> pa.RecordBatch:
     """A row for each bucket with the words of a block, or one row with its coded texts."""
     words, codes, counts = tokens.code_texts(texts)
     rank = np.empty(len(words), np.int64)
@@ -71,7 +74,7 @@ def _block_rows(ids: list, texts: list[str], buckets: int, with_words: bool) ->
     rows = [] if with_words and len(words) else [(block, block, -1, docs)]
     for b, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ()):
         if start < end:
-            rows.append((b, block, b, pack(*_join_words([words[i] for i in order[start:end]]))))
+            rows.append((b + buckets * (block % groups), block, b, pack(*_join_words([words[i] for i in order[start:end]]))))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "block", "bucket", "payload"])
 
 
@@ -80,6 +83,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
     doc_id, n_tokens long, ids binary."""
     small_batches(spark)
     path, buckets = path or tokens.vocabulary_path(), n_buckets(spark)
+    groups = 1 + EXPANSION * input_bytes(docs) // (BLOCK_CHARS * GROUP_BLOCKS)
 
     def cut(batches: Iterator[pa.RecordBatch], with_words: bool) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -89,10 +93,10 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
                 texts.append(text or "")
                 size += len(texts[-1])
                 if size >= BLOCK_CHARS:
-                    yield _block_rows(ids, texts, buckets, with_words)
+                    yield _block_rows(ids, texts, buckets, groups, with_words)
                     ids, texts, size = [], [], 0
         if ids:
-            yield _block_rows(ids, texts, buckets, with_words)
+            yield _block_rows(ids, texts, buckets, groups, with_words)
 
     def encode(rows: pa.Table) -> pa.Table:
         rows = rows.take(np.unique(rows["block"].to_numpy(), return_index=True)[1])  # equal blocks get one answer

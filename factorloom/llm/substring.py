@@ -25,6 +25,7 @@ any length are worked through whole.
 
 from __future__ import annotations
 
+import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -114,15 +115,32 @@ def _is_marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Ranges:
-    """Covered ranges of words by document, packed for the parts that merge them."""
+    """Covered ranges of words by document, packed for the parts that merge them. Single ranges are
+    kept as plain integers, and one that continues the range before it in its text extends it."""
+
+    #: Words that a held range counts for, by its memory.
+    WORDS = 4
 
     def __init__(self) -> None:
         self.columns: list[tuple] = []
+        self.single = array.array("q")
 
     def add(self, doc_id, digest, start, end) -> None:
-        self.columns.append((np.atleast_1d(doc_id).astype(np.int64), np.atleast_1d(digest).astype(np.int64), np.atleast_1d(start).astype(np.uint32), np.atleast_1d(end).astype(np.uint32)))
+        self.columns.append((doc_id.astype(np.int64), digest.astype(np.int64), start.astype(np.uint32), end.astype(np.uint32)))
+
+    def add_one(self, doc_id: int, digest: int, start: int, end: int) -> int:
+        """Add a range; how many ranges more are held."""
+        one = self.single
+        if len(one) and one[-4] == doc_id and one[-3] == digest and one[-2] <= start <= one[-1]:
+            one[-1] = max(one[-1], end)
+            return 0
+        one.extend((doc_id, digest, start, end))
+        return 1
 
     def rows(self, parts: int) -> list[tuple[int, bytes]]:
+        if len(self.single):
+            self.add(*np.frombuffer(self.single, np.int64).reshape(-1, 4).T)
+            self.single = array.array("q")
         if not self.columns:
             return []
         cols = [np.concatenate(c) for c in zip(*self.columns, strict=True)]
@@ -226,7 +244,7 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     small_batches(spark)
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     sent = spark.sparkContext.broadcast(repeated_anchors(docs, window))
-    shards = n_buckets(spark)
+    shards = n_buckets(spark, docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot = sent.value
@@ -267,13 +285,13 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         seen[passage] = (doc_id, digest, i, mark)
                         words_held += j + window - i
                     elif (old[0], old[2]) < (doc_id, i):
-                        ranges.add(doc_id, digest, i, j + window)
+                        words_held += Ranges.WORDS * ranges.add_one(doc_id, digest, i, j + window)
                     elif (old[0], old[2]) > (doc_id, i):
-                        ranges.add(old[0], old[1], old[2], old[2] + j + window - i)
+                        words_held += Ranges.WORDS * ranges.add_one(old[0], old[1], old[2], old[2] + j + window - i)
                         seen[passage] = (doc_id, digest, i, mark)
-            if words_held >= BLOCK_WORDS:
-                yield flush()
-                words_held = 0
+                    if words_held >= BLOCK_WORDS:  # a long text may fill several blocks
+                        yield flush()
+                        words_held = 0
         yield flush()
 
     def locate(rows: pa.Table) -> pa.Table:
@@ -324,17 +342,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ones are joined by one space; others stay as they are. Columns and their types stay."""
     spark = docs.sparkSession
     small_batches(spark)
-    clear = docs.withColumns({"__doc": F.col("doc_id"), "__text": F.col("text")})
-    ranges = covered_ranges(docs, window).withColumnsRenamed({"doc_id": "__doc", "digest": "__digest", "covered": "__covered"})
-    joined = clear.withColumn("__digest", F.xxhash64("__text")).join(ranges, ["__doc", "__digest"], "left").drop("__doc", "__digest", "__text")
+    free = "__"
+    while any(c.lower().startswith(free) for c in docs.columns):  # names that the input does not have
+        free += "_"
+    doc, text, digest, covered = (free + x for x in ("doc", "text", "digest", "covered"))
+    clear = docs.withColumns({doc: F.col("doc_id"), text: F.col("text")})
+    ranges = covered_ranges(docs, window).withColumnsRenamed({"doc_id": doc, "digest": digest, "covered": covered})
+    joined = clear.withColumn(digest, F.xxhash64(text)).join(ranges, [doc, digest], "left").drop(doc, digest, text)
     place = docs.columns.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if c is None else b" ".join(keep_words(t, c)[0]) for t, c in zip(b["text"].cast(pa.binary()).to_pylist(), b["__covered"].to_pylist(), strict=True)]
-            columns = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != "__covered"]
+            texts = [t if c is None else b" ".join(keep_words(t, c)[0]) for t, c in zip(b["text"].cast(pa.binary()).to_pylist(), b[covered].to_pylist(), strict=True)]
+            columns = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != covered]
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, [n for n in b.schema.names if n != "__covered"])
+            yield pa.RecordBatch.from_arrays(columns, [n for n in b.schema.names if n != covered])
 
     return joined.mapInArrow(rewrite, docs.schema)
 
