@@ -291,9 +291,10 @@ def sample_join_audit(status: DataFrame, industry: DataFrame, names: DataFrame,
     rows = interval_join(rows, "trade_date", names, ["stock_name"])
 
     def known(history: DataFrame, value: str, name: str) -> DataFrame:
-        at = rows.select(F.col("trade_date").alias("audit_date")).distinct()
-        seen = at.join(history, history["effective_from"] <= at["audit_date"])
-        return seen.groupBy("ts_code", F.col("audit_date").alias("trade_date")).agg(F.count_distinct(value).alias(name))
+        """Distinct values that a code has had by each date: those whose first start is not later."""
+        first = history.where(F.col(value).isNotNull() & F.col("effective_from").isNotNull()).groupBy("ts_code", value).agg(F.min("effective_from").alias("first"))
+        later = F.filter(F.array(*(F.lit(d).cast("date") for d in dates)), lambda d: d >= F.col("first"))
+        return first.select("ts_code", F.explode(later).alias("trade_date")).groupBy("ts_code", "trade_date").agg(F.count(F.lit(1)).alias(name))
 
     rows = rows.join(known(names, "stock_name", "names_known"), BAR, "left").join(known(industry, "industry_code", "industries_known"), BAR, "left").na.fill(0, ["names_known", "industries_known"])
     price, buy, sell = F.col("has_daily_price"), F.col("cannot_buy_at_open"), F.col("cannot_sell_at_open")

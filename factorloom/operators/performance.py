@@ -213,3 +213,17 @@ def chart_series(nav: DataFrame, annual: DataFrame) -> DataFrame:
     daily = nav.select("cost_scenario", F.explode(F.array(*(point(v, "trade_date", v) for v in ("strategy_nav", "benchmark_nav", "strategy_drawdown", "relative_nav")))).alias("p"))
     yearly = annual.select("cost_scenario", F.explode(F.array(*(point(v, "year", v) for v in ("strategy_total_return", "benchmark_total_return")))).alias("p"))
     return daily.union(yearly).select("cost_scenario", "p.*")
+
+
+def chart_tables(ic: DataFrame, periods: list[tuple[str, str, str]], registry: DataFrame, recovery: DataFrame, baseline: str) -> DataFrame:
+    """Points of three charts (chart, series, label, value, position from 1): mean rank IC by sample
+    and factor, experiments by their annualised return from the lowest on, and the baseline's
+    annualised return by recovery rate."""
+    samples = with_periods(ic.withColumn("trade_date", F.col("signal_date")), periods).groupBy("period", "factor").agg(F.avg("rank_ic").alias("value"))
+    names = F.array(*(F.lit(n) for n, _, _ in periods))
+    by_sample = samples.select(F.lit("IC_BY_SAMPLE").alias("chart"), F.col("period").alias("series"), F.col("factor").alias("label"), "value", F.array_position(names, F.col("period")).cast("long").alias("position"))
+    # One row for each experiment, and one for each rate.
+    order = Window.orderBy(F.round("annualized_log_return", 9).asc_nulls_last(), "experiment_id")
+    ranked = registry.select(F.lit("EXPERIMENTS").alias("chart"), F.when(F.col("annualized_log_return") >= 0, "GAIN").otherwise("LOSS").alias("series"), F.col("experiment_id").alias("label"), F.col("annualized_log_return").alias("value"), F.row_number().over(order).cast("long").alias("position"))
+    curve = recovery.where(F.col("cost_scenario") == baseline).select(F.lit("RECOVERY").alias("chart"), F.col("cost_scenario").alias("series"), F.format_number("recovery_rate", 2).alias("label"), F.col("adjusted_annualized_return").alias("value"), F.row_number().over(Window.orderBy("recovery_rate")).cast("long").alias("position"))
+    return by_sample.unionByName(ranked).unionByName(curve)

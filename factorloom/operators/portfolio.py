@@ -40,6 +40,27 @@ def market_inputs(panel: DataFrame, targets: DataFrame, schedule: DataFrame) ->
     return rows.select("canonical_ts_code", "trade_date", F.col("open").alias("raw_open"), F.col("open_hfq").alias("adjusted_open"), F.col("close_hfq").alias("adjusted_close"))
 
 
+def selected_codes(targets: DataFrame, actions: DataFrame) -> DataFrame:
+    """Codes of the targets, and old and new codes of actions(old_ts_code, new_ts_code)."""
+    both = actions.select(F.explode(F.array("old_ts_code", "new_ts_code")).alias("canonical_ts_code"))
+    return targets.select("canonical_ts_code").union(both).distinct()
+
+
+def market_prices(panel: DataFrame, codes: DataFrame, schedule: DataFrame, end: str) -> DataFrame:
+    """All bars of the codes from the first signal on: raw and adjusted prices."""
+    first = schedule.agg(F.min("signal_date").alias("__first"))  # one row
+    rows = panel.where("is_sh_sz and is_within_listing_window and security_code_interval_valid").where(F.col("trade_date") <= end)
+    rows = rows.join(codes, "canonical_ts_code", "left_semi").join(first).where("trade_date >= __first")
+    return rows.select("ts_code", "canonical_ts_code", "trade_date", F.col("open").alias("raw_open"), F.col("close").alias("raw_close"), "adj_factor", F.col("open_hfq").alias("adjusted_open"), F.col("close_hfq").alias("adjusted_close"))
+
+
+def market_executions(status: DataFrame, codes: DataFrame, schedule: DataFrame) -> DataFrame:
+    """The codes' states on the scheduled days: what can be bought or sold, and why not."""
+    days = schedule.select(F.col("scheduled_trade_date").alias("trade_date")).where("trade_date is not null").distinct()
+    rows = status.where("security_code_interval_valid").join(codes, "canonical_ts_code", "left_semi").join(days, "trade_date", "left_semi")
+    return rows.select("ts_code", "canonical_ts_code", "trade_date", "open_price", "has_daily_price", "has_suspend_record", "suspended_at_open", "up_limit", "down_limit", "open_at_up_limit", "open_at_down_limit", "cannot_buy_at_open", "cannot_sell_at_open", "execution_block_reason")
+
+
 def scenario_expand(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Every row under every cost scenario (a table of a few rows)."""
     return rows.join(scenarios.select(F.explode(F.array(F.struct(*scenarios.columns))).alias("s")).select("s.*"))
@@ -51,6 +72,14 @@ def fee_schedule(days: DataFrame, fees: DataFrame) -> DataFrame:
     return days.join(regimes, F.col("trade_date").between(F.col("__from"), F.col("__to")), "left").drop("__from", "__to")
 
 
+def fee_gaps(days: DataFrame, fees: DataFrame) -> DataFrame:
+    """Days of days(trade_date) that no regime covers, or more than one, with the number of
+    regimes: a day must have one rate."""
+    one = days.select("trade_date").where("trade_date is not null").distinct()
+    counted = fee_schedule(one, fees.select("effective_from", "effective_to", F.lit(1).alias("__one")))
+    return counted.groupBy("trade_date").agg(F.count("__one").alias("regimes")).where("regimes <> 1")
+
+
 def trade_costs(orders: DataFrame, scenarios: DataFrame, fees: DataFrame) -> DataFrame:
     """Commission on both sides and stamp duty on sells, under each scenario."""
     rows = scenario_expand(fee_schedule(orders, fees), scenarios)

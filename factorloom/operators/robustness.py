@@ -54,6 +54,37 @@ def variant_signals(variants: dict[str, DataFrame], k: int) -> DataFrame:
     return out
 
 
+def variant_diagnostics(sources: dict[str, DataFrame], variants: dict[str, DataFrame], selected: DataFrame) -> DataFrame:
+    """For each variant: eligible rows of its source and of the variant, months, and how many are
+    selected in a month."""
+    counts = []
+    for name, rows in variants.items():
+        before = sources[name].where("universe_eligible").agg(F.count(F.lit(1)).alias("eligible_rows_before"))
+        usable = rows.where("universe_eligible").na.drop(subset=Z).agg(F.count(F.lit(1)).alias("eligible_rows_after"), F.count_distinct("signal_date").alias("signal_months"))
+        counts.append(before.join(usable).withColumn("experiment_id", F.lit(name)))  # one row each
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    months = selected.groupBy("experiment_id", "signal_date").agg(F.count(F.lit(1)).alias("n"))
+    per = months.groupBy("experiment_id").agg(F.min("n").alias("minimum_selected"), F.max("n").alias("maximum_selected"), F.avg("n").alias("average_selected"))
+    return out.withColumn("removed_rows", F.col("eligible_rows_before") - F.col("eligible_rows_after")).join(per, "experiment_id", "left")
+
+
+def experiment_catalogue(registry: DataFrame, recovery: DataFrame, failures: DataFrame, costs: list[str], baseline: str) -> DataFrame:
+    """Every experiment with its category, source and main results: paths and cost rates of the
+    registry, the case of no recovery at the end for the baseline scenario, and the analysis
+    of failed orders, which has counts only. Returns are logarithms."""
+    kind = F.when(F.col("experiment_id").isin(costs), "COST").when(F.col("experiment_id") == "BASELINE", "REFERENCE").otherwise("VARIANT")
+    shape = ["experiment_id", "category", "source", "log_total_return", "annualized_log_return", "maximum_drawdown", "failed_orders"]
+    none = lambda kind: F.lit(None).cast(kind)
+    paths = registry.select("experiment_id", kind.alias("category"), F.lit("DRIFTING_PATH").alias("source"), "log_total_return", "annualized_log_return", "maximum_drawdown", none("long").alias("failed_orders"))
+    log = lambda c: F.when(F.col(c) > -1, F.log1p(c))
+    worst = recovery.where(F.col("cost_scenario") == baseline).where("recovery_rate = 0.0")
+    worst = worst.select(F.lit("DELIST_TERMINAL_RECOVERY").alias("experiment_id"), F.lit("TERMINAL").alias("category"), F.lit("TERMINAL_SENSITIVITY").alias("source"), log("adjusted_total_return").alias("log_total_return"), log("adjusted_annualized_return").alias("annualized_log_return"), none("double").alias("maximum_drawdown"), none("long").alias("failed_orders"))
+    failed = failures.agg(F.sum("orders").alias("failed_orders")).select(F.lit("FAILURE_PERIOD_ANALYSIS").alias("experiment_id"), F.lit("DIAGNOSTIC").alias("category"), F.lit("FAILED_ORDERS").alias("source"), *(none("double").alias(c) for c in shape[3:6]), "failed_orders")
+    return paths.unionByName(worst).unionByName(failed).withColumn("status", F.when((F.col("source") == "DRIFTING_PATH") & F.col("log_total_return").isNull(), "MISSING").otherwise("PASS"))
+
+
 def at_other_costs(selected: DataFrame, of: str, names: list[str]) -> DataFrame:
     """Selections with those of one experiment once more under each of the names."""
     again = F.explode(F.array(*map(F.lit, names))).alias("experiment_id")

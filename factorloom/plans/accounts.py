@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factorloom.operators import factors as fc
 from factorloom.operators import performance as pf
 from factorloom.operators import portfolio as po
+from factorloom.operators import quality as qa
 from factorloom.operators import robustness as rb
 from factorloom.operators.factors import FactorRules
 from factorloom.plans.panels import Panels
@@ -191,6 +192,39 @@ plan(
     "raw_open adjusted_open adjusted_close",
     6,
 )
+_selected = "(SELECT canonical_ts_code FROM t_targets UNION SELECT old_ts_code FROM b_code_history UNION SELECT new_ts_code FROM b_code_history)"
+_END = "2001-12-31"
+
+
+def _market(p: Panels):
+    codes = p.step("selected_codes", lambda: po.selected_codes(p.targets, p["b_code_history"]))
+    return po.market_prices(p.daily, codes, p.schedule, _END), po.market_executions(p.status, codes, p.schedule)
+
+
+_price_sql = f"""SELECT ts_code, canonical_ts_code, trade_date, open AS raw_open, close AS raw_close, adj_factor, open_hfq AS adjusted_open, close_hfq AS adjusted_close FROM t_daily WHERE is_sh_sz AND is_within_listing_window AND security_code_interval_valid
+      AND canonical_ts_code IN {_selected} AND trade_date BETWEEN (SELECT min(signal_date) FROM t_schedule) AND DATE '{_END}'"""
+_state = "ts_code, canonical_ts_code, trade_date, open_price, has_daily_price, has_suspend_record, suspended_at_open, up_limit, down_limit, open_at_up_limit, open_at_down_limit, cannot_buy_at_open, cannot_sell_at_open, execution_block_reason"
+_state_sql = f"SELECT {_state} FROM t_exec WHERE security_code_interval_valid AND canonical_ts_code IN {_selected} AND trade_date IN (SELECT scheduled_trade_date FROM t_schedule)"
+plan("market_prices", lambda p: _market(p)[0], _price_sql, "raw_open raw_close adj_factor adjusted_open adjusted_close", 5)
+plan("market_executions", lambda p: _market(p)[1], _state_sql, "open_price up_limit down_limit", 5)
+
+
+def _market_checks(p: Panels):
+    key = ["canonical_ts_code", "trade_date"]
+    prices, states = _market(p)
+    return qa.duplicate_keys({"market_prices": (prices, key), "market_executions": (states, key)})
+
+
+plan(
+    "market_input_checks",
+    _market_checks,
+    " UNION ALL ".join(f"SELECT '{n}' AS check_id, 'KEY_UNIQUENESS' AS category, count(*) AS observed, 0::BIGINT AS expected, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT count(*) AS n FROM ({q}) GROUP BY canonical_ts_code, trade_date) WHERE n > 1" for n, q in (("market_prices", _price_sql), ("market_executions", _state_sql))),
+)
+plan(
+    "fee_gaps",
+    lambda p: po.fee_gaps(p["b_orders"].select("trade_date").union(p["events"].select(F.col("ts").cast("date"))), p["b_fees"]),
+    "SELECT trade_date, count(f.sell_rate) AS regimes FROM (SELECT trade_date FROM b_orders UNION SELECT CAST(ts AS DATE) FROM events) d LEFT JOIN b_fees f ON d.trade_date BETWEEN f.effective_from AND f.effective_to WHERE trade_date IS NOT NULL GROUP BY trade_date HAVING count(f.sell_rate) <> 1",
+)
 _ord = ["orderkey", "linenumber", "partkey", "suppkey", "trade_date"]
 plan("scenario_expand", lambda p: po.scenario_expand(p["b_orders"].select(*_ord, "executed_notional"), p["b_scenarios"]), f"SELECT {', '.join(_ord)}, executed_notional, cost_scenario, commission_rate, is_baseline FROM b_orders CROSS JOIN b_scenarios", "executed_notional commission_rate", 4)
 plan("fee_schedule", lambda p: po.fee_schedule(p["b_orders"].select("trade_date").distinct(), p["b_fees"]), "SELECT trade_date, sell_rate FROM (SELECT DISTINCT trade_date FROM b_orders) LEFT JOIN b_fees ON trade_date BETWEEN effective_from AND effective_to", "sell_rate")
@@ -441,27 +475,73 @@ def _registry(p: Panels):
     cost = F.lit(BASE_COST)
     for name, rate in COSTS.items():
         cost = F.when(F.col("experiment_id") == name, rate).otherwise(cost)
-    return rb.experiment_registry(selected, po.drift_nav(selected, p.schedule, p.daily, cost, ["experiment_id"]), cost)
+    nav = p.step("experiment_nav", lambda: po.drift_nav(selected, p.schedule, p.daily, cost, ["experiment_id"]))
+    return p.step("registry", lambda: rb.experiment_registry(selected, nav, cost))
+
+
+def _recovery(p: Panels):
+    stale = p["orders"].groupBy(F.col("o_orderstatus").alias("cost_scenario")).agg((F.max("o_totalprice") / 10).alias("carrying_value"), (F.min("o_totalprice") / 1e6).alias("stale_weight"))
+    return rb.recovery_sensitivity(pf.performance_summary(p.nav), stale, [0.0, 0.25, 0.5, 0.75, 1.0])
 
 
 _cost_sql = f"(CASE experiment_id {' '.join(f"WHEN '{n}' THEN {r}::DOUBLE" for n, r in COSTS.items())} ELSE {BASE_COST}::DOUBLE END)"
 PANELS["t_exp"] = "SELECT * FROM t_variants" + "".join(f" UNION ALL SELECT * REPLACE ('{n}' AS experiment_id) FROM t_variants WHERE experiment_id = 'BASELINE'" for n in COSTS)
+PANELS["t_registry"] = f"""SELECT *, CASE WHEN end_date > start_date THEN log_total_return / ((end_date - start_date) / 365.25) END AS annualized_log_return FROM (
+      SELECT experiment_id, sum(n)::BIGINT AS selected_rows, count(*) AS signal_months, min(n) AS minimum_selected, max(n) AS maximum_selected, avg(n) AS average_selected FROM (SELECT experiment_id, signal_date, count(*) AS n FROM t_exp GROUP BY ALL) GROUP BY experiment_id) LEFT JOIN (
+      SELECT experiment_id, min(trade_date) AS start_date, max(trade_date) AS end_date, ln(max_by(nav_at_end, trade_date)) AS log_total_return, least(min(fall), 0) AS maximum_drawdown, sum(turnover) AS two_way_turnover, sum({_cost_sql} * turnover) AS trading_cost_share
+      FROM (SELECT *, nav_at_end / greatest(1, max(nav_at_end) OVER (PARTITION BY experiment_id ORDER BY trade_date)) - 1 AS fall FROM ({_drifting('t_exp', _cost_sql, 'experiment_id,')})) GROUP BY experiment_id) USING (experiment_id)"""
 plan(
     "experiment_registry",
     _registry,
-    f"""SELECT *, CASE WHEN end_date > start_date THEN log_total_return / ((end_date - start_date) / 365.25) END AS annualized_log_return FROM (
-      SELECT experiment_id, sum(n)::BIGINT AS selected_rows, count(*) AS signal_months, min(n) AS minimum_selected, max(n) AS maximum_selected, avg(n) AS average_selected FROM (SELECT experiment_id, signal_date, count(*) AS n FROM t_exp GROUP BY ALL) GROUP BY experiment_id) LEFT JOIN (
-      SELECT experiment_id, min(trade_date) AS start_date, max(trade_date) AS end_date, ln(max_by(nav_at_end, trade_date)) AS log_total_return, least(min(fall), 0) AS maximum_drawdown, sum(turnover) AS two_way_turnover, sum({_cost_sql} * turnover) AS trading_cost_share
-      FROM (SELECT *, nav_at_end / greatest(1, max(nav_at_end) OVER (PARTITION BY experiment_id ORDER BY trade_date)) - 1 AS fall FROM ({_drifting('t_exp', _cost_sql, 'experiment_id,')})) GROUP BY experiment_id) USING (experiment_id)""",
+    "SELECT * FROM t_registry",
     "average_selected log_total_return maximum_drawdown two_way_turnover trading_cost_share annualized_log_return",
     6,
 )
+PANELS["t_recovery"] = """SELECT cost_scenario, recovery_rate, tn AS original_terminal_nav, tr AS adjusted_total_return, pow(1 + tr, 252 / trading_days) - 1 AS adjusted_annualized_return, tr - strategy_total_return AS total_return_change, pow(1 + tr, 252 / trading_days) - 1 - strategy_annualized_return AS annualized_return_change FROM (
+      SELECT *, (tn - cv * (1 - recovery_rate)) / (tn / (1 + strategy_total_return)) - 1 AS tr FROM (SELECT p.*, cv, cv / sw AS tn, recovery_rate FROM t_perf p JOIN (SELECT o_orderstatus AS cost_scenario, max(o_totalprice) / 10 AS cv, min(o_totalprice) / 1e6 AS sw FROM orders GROUP BY 1) USING (cost_scenario)
+      CROSS JOIN (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) AS r(recovery_rate)))"""
 plan(
     "recovery_sensitivity",
-    lambda p: rb.recovery_sensitivity(pf.performance_summary(p.nav), p["orders"].groupBy(F.col("o_orderstatus").alias("cost_scenario")).agg((F.max("o_totalprice") / 10).alias("carrying_value"), (F.min("o_totalprice") / 1e6).alias("stale_weight")), [0.0, 0.25, 0.5, 0.75, 1.0]),
-    """SELECT cost_scenario, recovery_rate, tn AS original_terminal_nav, tr AS adjusted_total_return, pow(1 + tr, 252 / trading_days) - 1 AS adjusted_annualized_return, tr - strategy_total_return AS total_return_change, pow(1 + tr, 252 / trading_days) - 1 - strategy_annualized_return AS annualized_return_change FROM (
-      SELECT *, (tn - cv * (1 - recovery_rate)) / (tn / (1 + strategy_total_return)) - 1 AS tr FROM (SELECT p.*, cv, cv / sw AS tn, recovery_rate FROM t_perf p JOIN (SELECT o_orderstatus AS cost_scenario, max(o_totalprice) / 10 AS cv, min(o_totalprice) / 1e6 AS sw FROM orders GROUP BY 1) USING (cost_scenario)
-      CROSS JOIN (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) AS r(recovery_rate)))""",
+    _recovery,
+    "SELECT * FROM t_recovery",
     "original_terminal_nav adjusted_total_return adjusted_annualized_return total_return_change annualized_return_change",
     6,
 )
+
+
+def _sources(p: Panels):
+    own = {"MOMENTUM_9_1": p.factors(FactorRules(lookback=189)), "LOWVOL_120": p.factors(FactorRules(volatility_window=120))}
+    return {name: own.get(name, p.factor_panel) for name in _variants(p)}
+
+
+_of = [("BASELINE", "t_panel", "t_panel"), ("MICROCAP_EXCLUDE_BOTTOM20", "t_panel", "t_micro"), ("MOMENTUM_9_1", "t_panel_m", "t_panel_m"), ("LOWVOL_120", "t_panel_v", "t_panel_v"), ("INDUSTRY_NEUTRAL", "t_panel", "t_ind"), ("LOG_SIZE_NEUTRAL", "t_panel", "t_size")]
+_diagnosed = " UNION ALL ".join(f"SELECT '{n}' AS experiment_id, (SELECT count(*) FROM {a} WHERE universe_eligible) AS eligible_rows_before, count(*) AS eligible_rows_after, count(DISTINCT signal_date) AS signal_months FROM {b} WHERE {_known}" for n, a, b in _of)
+plan(
+    "variant_diagnostics",
+    lambda p: rb.variant_diagnostics(_sources(p), _variants(p), p.variant_signals(_variants, 20)),
+    f"""SELECT *, eligible_rows_before - eligible_rows_after AS removed_rows FROM ({_diagnosed}) LEFT JOIN (SELECT experiment_id, min(n) AS minimum_selected, max(n) AS maximum_selected, avg(n) AS average_selected
+      FROM (SELECT experiment_id, signal_date, count(*) AS n FROM t_variants GROUP BY ALL) GROUP BY experiment_id) USING (experiment_id)""",
+    "average_selected",
+    6,
+)
+_LOG = "CASE WHEN {0} > -1 THEN ln(1 + {0}) END"
+plan(
+    "experiment_catalogue",
+    lambda p: rb.experiment_catalogue(_registry(p), _recovery(p), po.failure_summary(p["b_orders"]), list(COSTS), "F"),
+    f"""SELECT *, CASE WHEN source = 'DRIFTING_PATH' AND log_total_return IS NULL THEN 'MISSING' ELSE 'PASS' END AS status FROM (
+      SELECT experiment_id, CASE WHEN experiment_id IN ({", ".join(f"'{c}'" for c in COSTS)}) THEN 'COST' WHEN experiment_id = 'BASELINE' THEN 'REFERENCE' ELSE 'VARIANT' END AS category, 'DRIFTING_PATH' AS source, log_total_return, annualized_log_return, maximum_drawdown, NULL::BIGINT AS failed_orders FROM t_registry
+      UNION ALL SELECT 'DELIST_TERMINAL_RECOVERY', 'TERMINAL', 'TERMINAL_SENSITIVITY', {_LOG.format("adjusted_total_return")}, {_LOG.format("adjusted_annualized_return")}, NULL, NULL FROM t_recovery WHERE cost_scenario = 'F' AND recovery_rate = 0
+      UNION ALL SELECT 'FAILURE_PERIOD_ANALYSIS', 'DIAGNOSTIC', 'FAILED_ORDERS', NULL, NULL, NULL, count(*) FROM b_orders WHERE order_status = 'FAILED')""",
+    "log_total_return annualized_log_return maximum_drawdown",
+    6,
+)
+_at = " ".join(f"WHEN '{n}' THEN {i}" for i, (n, _, _) in enumerate(PERIODS, 1))
+plan(
+    "chart_tables",
+    lambda p: pf.chart_tables(p.ic, PERIODS, _registry(p), _recovery(p), "F"),
+    f"""SELECT 'IC_BY_SAMPLE' AS chart, p.period AS series, factor AS label, avg(rank_ic) AS value, (CASE p.period {_at} END)::BIGINT AS position FROM t_ic JOIN {PERIOD_SQL} ON signal_date BETWEEN p.a AND p.b GROUP BY p.period, factor
+      UNION ALL SELECT 'EXPERIMENTS', CASE WHEN annualized_log_return >= 0 THEN 'GAIN' ELSE 'LOSS' END, experiment_id, annualized_log_return, row_number() OVER (ORDER BY round(annualized_log_return, 9) NULLS LAST, experiment_id) FROM t_registry
+      UNION ALL SELECT 'RECOVERY', cost_scenario, printf('%.2f', recovery_rate), adjusted_annualized_return, row_number() OVER (ORDER BY recovery_rate) FROM t_recovery WHERE cost_scenario = 'F'""",
+    "value",
+    6,
+)

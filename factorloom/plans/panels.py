@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factorloom.operators import diagnostics, factors, panel, portfolio, robustness
 from factorloom.operators.factors import FactorRules
 from factorloom.sources.bindings import TABLES, bound
-from factorloom.sources.tables import file_state, hand_over, remove_folder, shared_folder
+from factorloom.sources.tables import CO_PARTITION, file_state, hand_over, hand_over_bucketed, remove_folder, shared_folder
 
 
 def capital_of(orders: DataFrame) -> DataFrame:
@@ -33,16 +33,26 @@ class Panels:
         self._made: dict[str, str] = {}
         self._steps: dict[str, DataFrame] = {}
         self._bound: dict[str, DataFrame] = {}
+        self._tables: list[str] = []
+        spark.conf.set(CO_PARTITION, "false")
         self.folder = f"{shared_folder(spark)}/panels-{uuid.uuid4().hex}"
 
     def __getitem__(self, name: str) -> DataFrame:
-        return bound(self.spark, self.sf_dir, name, self._bound, self.folder)
+        return bound(self.spark, self.sf_dir, name, self._bound, self._keep, self._by_code)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return hand_over(df, name, self.folder)
 
+    def _by_code(self, df: DataFrame, name: str, column: str = "ts_code") -> DataFrame:
+        """A table with a row for each code and day, in buckets of the code."""
+        made, table = hand_over_bucketed(df, name, self.folder, column)
+        self._tables.append(table)
+        return made
+
     def discard(self) -> None:
         """Remove all tables written for these inputs."""
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         remove_folder(self.spark, self.folder)
 
     def step(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -71,7 +81,7 @@ class Panels:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return self._keep(panel.daily_panel(self["b_daily"], self["b_adj"], self.meta, self.calendar), "daily")
+        return self._by_code(panel.daily_panel(self["b_daily"], self["b_adj"], self.meta, self.calendar), "daily")
 
     @cached_property
     def suspended(self) -> DataFrame:
@@ -79,7 +89,7 @@ class Panels:
 
     @cached_property
     def status(self) -> DataFrame:
-        return self._keep(panel.execution_status(self.daily, self["b_limit"], self.suspended, self.identity), "status")
+        return self._by_code(panel.execution_status(self.daily, self["b_limit"], self.suspended, self.identity), "status")
 
     @cached_property
     def industry(self) -> DataFrame:
@@ -102,7 +112,13 @@ class Panels:
     def raw_for(self, rules: FactorRules) -> DataFrame:
         """Raw factors; rules that differ in the universe only share them."""
         spans = (rules.recent_skip, rules.lookback, rules.volatility_window, rules.liquidity_window)
-        return self.step("raw_" + "_".join(map(str, spans)), lambda: factors.raw_factors(self.monthly, factors.daily_features(self.daily, rules), rules))
+        return self.step("raw_" + "_".join(map(str, spans)), lambda: factors.raw_factors(self.monthly, factors.daily_features(self.entity_bars, rules), rules))
+
+    @cached_property
+    def entity_bars(self) -> DataFrame:
+        """What factors read of the bars, in buckets of the entity that windows over time go by."""
+        columns = ["ts_code", "canonical_ts_code", "trade_date", "close_hfq", "amount_cny", "is_sh_sz", "is_within_listing_window", "security_code_interval_valid"]
+        return self._by_code(self.daily.select(*columns), "entity_bars", "canonical_ts_code")
 
     @cached_property
     def raw(self) -> DataFrame:

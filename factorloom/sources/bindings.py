@@ -7,11 +7,10 @@ day of shipments, a portfolio scenario an order status.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.sources.tables import hand_over
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 BINDINGS = {
@@ -145,25 +144,30 @@ def used(sql: str) -> list[str]:
     return [n for n in (*TABLES, *BINDINGS) if n in words]
 
 
-#: Bindings that are written once, as most others start from them.
-WRITTEN = {"b_daily", "b_month_end"}
+#: Bindings that are written once, as most others start from them; the bars in buckets of the code.
+WRITTEN, BY_CODE = {"b_month_end"}, {"b_daily"}
+
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame], folder: str) -> DataFrame:
-    """A table or binding as a DataFrame; made holds those of earlier calls for the same inputs."""
+def bound(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame], keep: Keep, by_code: Keep) -> DataFrame:
+    """A table or binding as a DataFrame; made holds those of earlier calls for the same inputs,
+    keep and by_code write one and read it back."""
     if name not in made:
-        made[name] = _bind(spark, sf_dir, name, made, folder)
+        made[name] = _bind(spark, sf_dir, name, made, keep, by_code)
     return made[name]
 
 
-def _bind(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame], folder: str) -> DataFrame:
+def _bind(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame], keep: Keep, by_code: Keep) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     inputs = used(BINDINGS[name])
     if not inputs:
         return spark.sql(BINDINGS[name])
-    df = spark.sql(re.sub(rf"\b({'|'.join(inputs)})\b", r"{\1}", BINDINGS[name]), **{n: bound(spark, sf_dir, n, made, folder) for n in inputs})
-    return hand_over(df, name, folder) if name in WRITTEN else df
+    df = spark.sql(re.sub(rf"\b({'|'.join(inputs)})\b", r"{\1}", BINDINGS[name]), **{n: bound(spark, sf_dir, n, made, keep, by_code) for n in inputs})
+    if name in BY_CODE:
+        return by_code(df, name)
+    return keep(df, name) if name in WRITTEN else df
 
 
 def with_bindings(sql: str) -> str:

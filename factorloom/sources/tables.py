@@ -59,6 +59,22 @@ def hand_over(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: With it a join on more columns than the buckets' uses the buckets of both sides as they are.
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def hand_over_bucketed(df: DataFrame, name: str, folder: str, column: str) -> tuple[DataFrame, str]:
+    """``hand_over`` as a table in buckets of a column, one file each, and the table's name: windows
+    within the column's values and joins on it with alike tables need no exchange. Bucket and
+    shuffle use one hash, so the write takes a single exchange; the column's values must be many, as
+    a bucket holds all rows of a value."""
+    spark = df.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, column).write.mode("overwrite").option("compression", "zstd").option("path", f"{folder}/{table}")
+    writer.bucketBy(n, column).saveAsTable(table)
+    return spark.table(table), table
+
+
 def _hadoop(spark: SparkSession, path: str) -> tuple:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
