@@ -62,6 +62,16 @@ def matches_of(left: DataFrame, day: str, history: DataFrame, columns: list[str]
     return passed.select("__row.*", *(F.when(known & (F.col("__open") > 0), F.col(f"__latest.{c}")).alias(c) for c in columns), matches.alias("matches"))
 
 
+def _refused(day: str, code: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"more than one interval holds {day} of "), F.col(code).cast("string")))
+
+
+def only_match(left: DataFrame, day: str, history: DataFrame, columns: list[str], code: str = "ts_code") -> DataFrame:
+    """``matches_of`` without its count, where a second match ends the job."""
+    sure = F.when(F.col("matches") > 1, _refused(day, code).cast("boolean")).otherwise(F.lit(True))
+    return matches_of(left, day, history, columns, code).where(sure).drop("matches")
+
+
 def single_match(left: DataFrame, day: str, history: DataFrame, columns: list[str], strict: bool = False, code: str = "ts_code") -> tuple[DataFrame, Observation]:
     """``matches_of`` without its count, which an observation gives once the result has been
     read: rows, unmatched and ambiguous, in the same pass. Read it into a table first: a global sort
@@ -71,6 +81,6 @@ def single_match(left: DataFrame, day: str, history: DataFrame, columns: list[st
     rows = matches_of(left, day, history, columns, code)
     two = F.col("matches") > 1
     if strict:
-        rows = rows.withColumn("matches", F.when(two, F.raise_error(F.concat(F.lit(f"more than one interval holds {day} of "), F.col(code).cast("string"))).cast("int")).otherwise(F.col("matches")))
+        rows = rows.withColumn("matches", F.when(two, _refused(day, code).cast("long")).otherwise(F.col("matches")))
     counts: list[Column] = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("matches") == 0).alias("unmatched"), F.count_if(F.col("matches") > 1).alias("ambiguous")]
     return rows.observe(seen, *counts).drop("matches"), seen

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.operators.intervals import only_match
+
 BAR = ["ts_code", "trade_date"]
 
 
@@ -86,10 +88,9 @@ def is_st(name: Column) -> Column:
 
 
 def interval_join(left: DataFrame, day: str, history: DataFrame, columns: list[str]) -> DataFrame:
-    """left with the columns of the interval of its code that holds the day; null where none does."""
-    right = history.select(F.col("ts_code").alias("__code"), F.col("effective_from").alias("__from"), F.col("effective_to").alias("__to"), *columns)
-    fits = (F.col("ts_code") == F.col("__code")) & (F.col("__from") <= F.col(day)) & (F.col("__to").isNull() | (F.col(day) <= F.col("__to")))
-    return left.join(right, fits, "left").drop("__code", "__from", "__to")
+    """left with the columns of the one interval of its code that holds the day; null where none
+    does. A second interval that holds it ends the job."""
+    return only_match(left, day, history, columns)
 
 
 def daily_panel(daily: DataFrame, adj: DataFrame, meta: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -73,6 +73,9 @@ def test_strict_ends_the_job_on_an_overlap(spark):
     bad, _ = iv.single_match(rows.union(spark.createDataFrame([("A", _d(9))], rows.schema)), "trade_date", history, ["v"], strict=True)
     with pytest.raises(Exception, match="more than one interval"):
         bad.collect()
+    assert [r.v for r in iv.only_match(rows, "trade_date", history, ["v"]).collect()] == ["x"]
+    with pytest.raises(Exception, match="more than one interval"):
+        iv.only_match(rows.union(spark.createDataFrame([("A", _d(9))], rows.schema)), "trade_date", history, ["v"]).select("ts_code").collect()
 
 
 def test_empty(spark):
