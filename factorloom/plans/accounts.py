@@ -291,16 +291,17 @@ def _trades(p: Panels):
     return p.step("trades", lambda: p["b_orders"].join(_codes(p), "suppkey").groupBy("portfolio_id", "ts_code", "trade_date").agg(F.sum(po.signed_units()).alias("units_traded")))
 
 
-def _action_rows(p: Panels):
+def action_rows_of(trades, refs):
     """Positions in old codes and their successors before the effective day, as ledger rows."""
+    names = refs.select("old_ts_code", "new_ts_code", "effective_date")
+    sides = F.array(F.struct(F.col("old_ts_code").alias("ts_code"), F.lit("units").alias("which")), F.struct(F.col("new_ts_code").alias("ts_code"), F.lit("successor_units").alias("which")))
+    side = names.select("old_ts_code", "effective_date", F.explode(sides).alias("s")).select("old_ts_code", "effective_date", "s.*")
+    both = trades.join(side, "ts_code").where("trade_date < effective_date").groupBy("portfolio_id", "old_ts_code").pivot("which", ["units", "successor_units"]).agg(F.sum("units_traded"))
+    return po.action_rows(both.where(F.abs("units") > po.EPSILON), refs)
 
-    def build():
-        refs = _refs(p).select("old_ts_code", "new_ts_code", "effective_date")
-        side = refs.select("old_ts_code", "effective_date", F.explode(F.array(F.struct(F.col("old_ts_code").alias("ts_code"), F.lit("units").alias("which")), F.struct(F.col("new_ts_code").alias("ts_code"), F.lit("successor_units").alias("which")))).alias("s")).select("old_ts_code", "effective_date", "s.*")
-        both = _trades(p).join(side, "ts_code").where("trade_date < effective_date").groupBy("portfolio_id", "old_ts_code").pivot("which", ["units", "successor_units"]).agg(F.sum("units_traded"))
-        return po.action_rows(both.where(F.abs("units") > po.EPSILON), _refs(p))
 
-    return p.step("action_rows", build)
+def _action_rows(p: Panels):
+    return p.step("action_rows", lambda: action_rows_of(_trades(p), _refs(p)))
 
 
 def _carried(p: Panels):

@@ -14,7 +14,7 @@ from factorloom.operators import portfolio as po
 from factorloom.operators import quality as qa
 from factorloom.operators.portfolio import trade_costs
 from factorloom.operators.quality import apart, differs
-from factorloom.plans.accounts import _gated, _ledger, _refs, _valued
+from factorloom.plans.accounts import RATIO, _action_rows, _gated, _ledger, _refs, _trades, _valued, action_rows_of
 from factorloom.plans.panels import Panels, capital_of
 from factorloom.plans.registry import plan
 from factorloom.plans.twins import CUT, FACTORS, PANELS
@@ -140,6 +140,27 @@ plan(
     "maximum_numeric_error",
     4,
 )
+def _actions_prefix(p: Panels):
+    early = lambda df: df.where(F.col("trade_date") <= CUT)
+    old = action_rows_of(early(_trades(p)), po.corporate_action_refs(p["b_code_history"], early(p.daily), RATIO))
+    out = qa.prefix_reconcile(old, early(_action_rows(p)), ["portfolio_id", "ts_code", "trade_date", "activity"], ["successor_was_held"], ["units_traded", "carry_price"], 1e-9)
+    return out.withColumn("maximum_numeric_error", F.round("maximum_numeric_error", 6))
+
+
+for _n in ("t_trades", "t_refs", "t_action", "t_action_rows"):  # the same steps from the earlier run's inputs
+    PANELS[f"{_n}_c"] = re.sub(r"\b(t_trades|t_refs|t_action|b_orders)\b", lambda m: "t_orders_c" if m[0] == "b_orders" else f"{m[0]}_c", PANELS[_n]).replace("JOIN t_daily ", f"JOIN (SELECT * FROM t_daily WHERE trade_date <= DATE '{CUT}') ").replace("FROM t_daily d ", f"FROM (SELECT * FROM t_daily WHERE trade_date <= DATE '{CUT}') d ")
+_same = "o.portfolio_id = n.portfolio_id AND o.ts_code = n.ts_code AND o.trade_date = n.trade_date AND o.activity = n.activity"
+plan(
+    "prefix_reconcile_actions",
+    _actions_prefix,
+    f"""SELECT *, CASE WHEN missing_or_extra_rows = 0 AND categorical_mismatches = 0 AND maximum_numeric_error <= 1e-9 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+      SELECT count(o.trade_date) AS old_rows, count(n.trade_date) AS new_rows, count(*) FILTER (WHERE o.trade_date IS NULL OR n.trade_date IS NULL) AS missing_or_extra_rows,
+        count(*) FILTER (WHERE o.trade_date IS NOT NULL AND n.trade_date IS NOT NULL AND o.successor_was_held IS DISTINCT FROM n.successor_was_held) AS categorical_mismatches,
+        round(greatest(coalesce(max(abs(o.units_traded - n.units_traded)), 0), coalesce(max(abs(o.carry_price - n.carry_price)), 0)), 6) AS maximum_numeric_error
+      FROM t_action_rows_c o FULL JOIN (SELECT * FROM t_action_rows WHERE trade_date <= DATE '{CUT}') n ON {_same})""",
+    "maximum_numeric_error",
+    6,
+)
 _formula = {
     "close_hfq_is_close_times_factor": ("t_daily", "abs(close_hfq - close * adj_factor) > 1e-8"),
     "volume_is_in_shares": ("t_daily", "abs(volume_share - vol * 100) > 1e-6"),

@@ -88,6 +88,14 @@ plan(
 )
 
 
+plan(
+    "action_input_rules",
+    lambda p: _actions(p)[1].select(F.explode("broken").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("rows")),
+    f"""SELECT rule, count(*) AS rows FROM (SELECT unnest(string_split(CASE c_custkey % 16 {_broken} END, ',')) AS rule FROM
+      (SELECT c_custkey, unnest(range(CASE WHEN c_custkey % 16 = 10 THEN 2 ELSE 1 END)) AS copy FROM customer WHERE c_custkey % 16 IN ({', '.join(map(str, FAULTS))}))) GROUP BY rule""",
+)
+
+
 def _spans(p: Panels) -> DataFrame:
     """Intervals of unequal length from the orders; every 17th is open, every 19th reversed."""
     days = F.when(F.col("o_orderkey") % 19 == 0, -3).otherwise(F.col("o_orderkey") % 97).cast("int")
