@@ -39,7 +39,7 @@ from factorloom.llm.common import input_bytes, n_buckets, pack, small_batches, u
 
 #: Characters of text in a block, and blocks whose equal words are encoded once; as common words
 #: are in every block, a task's words would grow with the corpus without this bound.
-BLOCK_CHARS, GROUP_BLOCKS = 16 << 20, 256
+BLOCK_CHARS, GROUP_BLOCKS = 8 << 20, 256
 #: Characters that a byte of input may stand for, as tables are compressed.
 EXPANSION = 4
 #: Words of a block that are expanded to ids at once.
