@@ -17,7 +17,7 @@ Defined results: rows with a null id, label or vector, or with a null or non-fin
 (before or after scaling), take no part; an empty vector scores 0 with all; of vectors of unequal
 length the shorter counts as filled up with zeros; equal scores are ordered by id; repeated rows
 are rows of their own, so a copy of an anchor is one of its positives and a repeated anchor has
-its results twice; scores beyond 64 bits are cut to the ends of that range; an empty table
+its results twice; a label that has no successor in 64 bits counts as null; scores beyond 64 bits are cut to the ends of that range; an empty table
 gives an empty result; vectors of any length go through whole; other columns of the input,
 whatever their names, are ignored.
 """
@@ -356,12 +356,13 @@ def mine(
 
 
 def _label() -> Column:
-    return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    label = F.col("label").cast("long")
+    return F.when(F.col("vec_id") % 7 == 0, F.try_add(label, F.lit(1).cast("long")) % 10).otherwise(label)
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return mine(rows.select(F.col("vec_id").cast("long").alias("id"), _label().cast("long").alias("label"), F.col("embedding").alias("vector")))
+    return mine(rows.select(F.col("vec_id").cast("long").alias("id"), _label().alias("label"), F.col("embedding").alias("vector")))
 
 
 ORACLE = """

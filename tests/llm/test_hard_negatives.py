@@ -66,3 +66,10 @@ def test_query_ignores_further_columns(spark, tmp_path):
     base.selectExpr("*", "'x' as block", "1 as id", "2 as vector", "3 as place").write.parquet(f"{tmp_path}/embeddings.parquet")
     rows = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in base.collect()]
     assert sorted(tuple(r) for r in hn.op11_hard_negatives(spark, str(tmp_path)).collect()) == _brute(rows)
+
+
+def test_labels_at_the_end_of_their_type(spark, tmp_path):
+    rows = [(0, [1.0], 2**31 - 1), (7, [1.0], 2**31 - 1), (1, [1.0], 2**31 - 1), (2, [0.9], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = _brute([(i, (x + 1) % 10 if i % 7 == 0 else x, v) for i, v, x in rows])
+    assert sorted(tuple(r) for r in hn.op11_hard_negatives(spark, str(tmp_path)).collect()) == want
