@@ -63,8 +63,10 @@ def test_mean_rank_has_ties_in_the_middle(spark):
 def test_stale_summary_has_the_value_at_the_end(spark):
     rows = [("P", "a", DAY(1), 0, 50.0), ("P", "a", DAY(2), 1, 50.0), ("P", "a", DAY(3), 2, 50.0), ("P", "b", DAY(2), 5, 7.0), ("P", "b", DAY(3), 0, 150.0), ("Q", "a", DAY(3), 0, 9.0)]
     valued = spark.createDataFrame(rows, "portfolio_id string, code string, trade_date date, stale_calendar_days int, market_value double")
-    out = {(r.portfolio_id, r.code): r for r in po.stale_summary(valued, ["portfolio_id", "code"]).collect()}
+    nav = spark.createDataFrame([("P", DAY(3), 400.0), ("Q", DAY(3), 9.0)], "portfolio_id string, trade_date date, total_nav double")
+    out = {(r.portfolio_id, r.code): r for r in po.stale_summary(valued, ["portfolio_id", "code"], nav).collect()}
     assert set(out) == {("P", "a"), ("P", "b")}
     a, b = out["P", "a"], out["P", "b"]
-    assert (a.stale_at_end, a.terminal_value, a.terminal_weight, a.stale_days) == (True, 50.0, 0.25, 2)
+    assert (a.stale_at_end, a.terminal_value, a.terminal_weight, a.stale_days) == (True, 50.0, 0.125, 2)
+    assert a.last_price_date == DAY(1)
     assert (b.stale_at_end, b.terminal_value, b.terminal_weight) == (False, None, None)
