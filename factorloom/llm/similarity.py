@@ -33,7 +33,6 @@ whole sets; ties in the order of prefixes go by the shingle, those of representa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +40,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WordHashes, as_bytes, discard, materialize, mix, n_buckets, pack, small_batches, table, unpack, window_hashes
+from factorloom.llm.common import as_bytes, discard, materialize, mix, n_buckets, pack, small_batches, table, unpack, window_hashes
 from factorloom.llm.components import components
+from factorloom.llm.word_hashes import WordHashes
 
 K, PERCENT = 5, 75
 #: Bits that name a shingle where it is counted, texts from which one is heavy, and entries of
 #: the table of the heaviest.
 COUNT_BITS, HEAVY, HEAVY_MOST = 40, 8, 1 << 20
+#: First bits of a shingle in the map of that table.
+SEEN_BITS = 23
 #: Shingles of a counted block; prefix entries and documents of a packed block; members of a
 #: head, or of a list, that are compared at once; texts with a shingle from which its list is
 #: dealt to several tasks.
@@ -56,7 +58,7 @@ COUNT_ENTRIES, BLOCK_ENTRIES, BLOCK_DOCS, GROUP, HOT = 1 << 22, 1 << 20, 1 << 17
 
 def shingle_set(text: bytes, hashes: WordHashes, k: int = K) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of k lower-cased words."""
-    words = hashes.of(text.lower().split())
+    words = hashes.of_texts([text])[0]
     if not len(words):
         return np.empty(0, np.uint64)
     return np.unique(window_hashes(words, min(k, len(words))))
@@ -64,10 +66,8 @@ def shingle_set(text: bytes, hashes: WordHashes, k: int = K) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """The sets of many texts one behind the other, and where each begins (and the last ends)."""
-    words = [t.lower().split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
+    h, n = hashes.of_texts(texts)
     ends = np.cumsum(n)
-    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
     size = np.maximum(n - k + 1, 0)
     whole = window_hashes(h, k)[np.repeat(ends - n, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] if size.any() else np.empty(0, np.uint64)
     short = np.flatnonzero((n > 0) & (n < k))
@@ -104,19 +104,27 @@ def _counted(shingles: np.ndarray) -> np.ndarray:
 
 
 class Heavy:
-    """The table of heavy shingles: names, sorted, and the texts that have each."""
+    """The table of heavy shingles: names, sorted, and the texts that have each. A map of the names'
+    first bits tells most other shingles apart without a search in the table."""
 
     def __init__(self, names: np.ndarray, texts: np.ndarray):
-        order = np.argsort(names)
+        order = np.argsort(names, kind="stable")
         self.names, self.texts = names[order], texts[order]
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.seen[self.names >> np.uint64(COUNT_BITS - SEEN_BITS)] = True
+
+    def __reduce__(self) -> tuple:
+        return Heavy, (self.names, self.texts)  # the map is made again where the table is read
 
     def weights(self, flat: np.ndarray) -> np.ndarray:
         """Texts with each shingle, 0 for all that are not heavy."""
-        if not len(self.names):
-            return np.zeros(len(flat), np.int64)
-        name = _counted(flat)
-        at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
-        return np.where(self.names[at] == name, self.texts[at], 0)
+        out = np.zeros(len(flat), np.int64)
+        likely = np.flatnonzero(self.seen[flat >> np.uint64(64 - SEEN_BITS)])
+        if len(likely):
+            name = _counted(flat[likely])
+            at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+            out[likely] = np.where(self.names[at] == name, self.texts[at], 0)
+        return out
 
 
 def heavy_shingles(texts: DataFrame, buckets: int, k: int = K) -> Heavy:
