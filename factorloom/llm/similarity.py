@@ -12,16 +12,19 @@
 3. A bucket lists, for each shingle, the classes with it in their prefix. The class that comes
    first in the order of fingerprints is the head; heads and members are candidate pairs after
    bounds by size and position.
-4. One compressed text of each candidate class is kept; sets are made again from it where they
+4. The second scan also gives each class a sketch, the parities of its shingles in one or two slots
+   for each. Slots of two sets that differ are no more than the shingles that only one of both has, so sketches
+   bound what two sets share, and pairs that cannot link go before any text is moved.
+5. One compressed text of each class of the other pairs is kept; sets are made again from it where they
    are compared, as it is several times smaller than its set. The members of a head, in groups
    of bounded size, are put into a prefix tree by the global order; the head's set runs through
    it, sharing overlaps of common beginnings and leaving subtrees whose remaining length cannot
    reach the threshold.
-5. Components of these links usually join each list. The members of all lists of a head are one
+6. Components of these links usually join each list. The members of all lists of a head are one
    group. Where its classes still lie in several components, those outside the largest one are
-   compared again with all of the group, in cells of bounded size: one block's tree with another
-   block's sets, skipping pairs that are connected already. So no link between components is
-   lost, and no group's pairs are all written out.
+   compared again with all of the group, in cells of bounded size: first the sketches, then, of members
+   that some sketch leaves a link, one block's tree with another block's sets, skipping pairs that are
+   connected already. So no link between components is lost, and no group's pairs are all written out.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is its own component; fewer than k words are one shingle; copies and repeated rows
@@ -32,12 +35,12 @@ whole sets; ties in the order of prefixes go by the shingle, those of representa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import as_bytes, discard, materialize, mix, n_buckets, pack, small_batches, table, unpack, window_hashes
@@ -54,6 +57,9 @@ SEEN_BITS = 23
 #: head, or of a list, that are compared at once; texts with a shingle from which its list is
 #: dealt to several tasks.
 COUNT_ENTRIES, BLOCK_ENTRIES, BLOCK_DOCS, GROUP, HOT = 1 << 22, 1 << 20, 1 << 17, 256, 20_000
+#: Least slots of a sketch; shingles on one side of a cell of sketches, and of a cell of sets; slots
+#: of the map of wanted documents, and those of one of its parts.
+SKETCH_LEAST, SKETCH_CELL, SET_CELL, WANTED_SLOTS, WANTED_PART = 64, 1 << 22, 1 << 21, 1 << 23, 1 << 16
 
 
 def shingle_set(text: bytes, hashes: WordHashes, k: int = K) -> np.ndarray:
@@ -99,6 +105,48 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(fingerprints(shingles, np.array([0, len(shingles)]))[0])
 
 
+def sketches(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set the parities of its shingles in slots, which are a power of two and no fewer than
+    the shingles."""
+    size = np.diff(at)
+    slots = np.maximum(SKETCH_LEAST, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(slots)])
+    slot = np.repeat(start[:-1], size) + (flat & np.repeat(slots - 1, size).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(start[-1] >> 3, np.uint8)
+    np.bitwise_xor.at(out, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+    raw, cuts = out.tobytes(), (start >> 3).tolist()
+    return [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _folded(table: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, one in a row, with as many slots as width says: half the slots are the parities of both halves."""
+    while table.shape[-1] > width:
+        half = table.shape[-1] // 2
+        table = table[..., :half] ^ table[..., half:]
+    return table
+
+
+class Sketches:
+    """Sketches of many sets, beside the sets' sizes, by their length."""
+
+    def __init__(self, sizes: np.ndarray, raw: list[bytes]):
+        self.sizes, length = sizes, np.fromiter(map(len, raw), np.int64, len(raw))
+        self.tables = [(at := np.flatnonzero(length == n), np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1)) for n in np.unique(length)]
+
+    def likely(self, n: int, raw: bytes, percent: int) -> np.ndarray:
+        """Which sets can be linked with one of n shingles and that sketch: no other is."""
+        out, own = np.zeros(len(self.sizes), bool), np.frombuffer(raw, np.uint64)
+        for at, table in self.tables:
+            size = self.sizes[at]
+            near = np.flatnonzero(100 * np.minimum(size, n) >= percent * np.maximum(size, n))
+            if len(near):
+                width, size = min(table.shape[1], len(own)), size[near]
+                differ = np.bitwise_count(_folded(table[near], width) ^ _folded(own, width)).sum(1, dtype=np.int64)
+                both = np.minimum((n + size - differ) // 2, np.minimum(size, n))
+                out[at[near]] = 100 * both >= percent * (n + size - both)
+        return out
+
+
 def _counted(shingles: np.ndarray) -> np.ndarray:
     return shingles >> np.uint64(64 - COUNT_BITS)
 
@@ -181,10 +229,12 @@ def heavy_shingles(texts: DataFrame, buckets: int, k: int = K) -> Heavy:
         return pa.table({"bucket": rows["bucket"][:1], "payload": pa.array([pack(names[heavy], total[heavy])], pa.binary())})
 
     names, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for r in texts.select("text").mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInArrow(add, "bucket int, payload binary").collect():  # HEAVY_MOST entries at most
+    heaviest = materialize(texts.select("text").mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInArrow(add, "bucket int, payload binary"), "heavy")
+    for r in heaviest.collect():  # HEAVY_MOST entries at most
         own, total = unpack(r.payload)
         names.append(own + r.bucket * width)
         counts.append(total)
+    discard(heaviest)
     return Heavy(np.concatenate(names).astype(np.uint64), np.concatenate(counts))
 
 
@@ -274,7 +324,7 @@ class Union:
 
 
 def _scan(docs: DataFrame, heavy: Heavy, buckets: int, k: int, percent: int) -> DataFrame:
-    """Rows (bucket, kind, payload): of kind 1 the packed classes of a block with their sizes and
+    """Rows (bucket, kind, payload): of kind 1 the packed classes of a block with their sizes, sketches and
     documents, of kind 0 the packed prefixes of its distinct sets."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -282,6 +332,7 @@ def _scan(docs: DataFrame, heavy: Heavy, buckets: int, k: int, percent: int) ->
         heavy, hashes = sent.value, WordHashes()
         fps, sizes, prefixes, weights, held, seen = [], [], [], [], 0, set()
         owners: list[tuple] = []
+        drawn: dict[int, bytes] = {}
         documents = 0
 
         def classes() -> list[tuple[int, int, bytes]]:
@@ -295,7 +346,8 @@ def _scan(docs: DataFrame, heavy: Heavy, buckets: int, k: int, percent: int) ->
             for i in np.unique(bucket).tolist():
                 chosen = bucket == i
                 of = np.repeat(chosen, size)
-                rows.append((i, 1, pack(fp[first][chosen], n[first][chosen], size[chosen], doc[of], valid[of])))
+                own = [drawn.get(x, b"") for x in fp[first][chosen].tolist()]
+                rows.append((i, 1, pack(fp[first][chosen], n[first][chosen], size[chosen], doc[of], valid[of], np.fromiter(map(len, own), np.int64, len(own)), np.frombuffer(b"".join(own), np.uint8))))
             return rows
 
         def lists() -> list[tuple[int, int, bytes]]:
@@ -319,7 +371,7 @@ def _scan(docs: DataFrame, heavy: Heavy, buckets: int, k: int, percent: int) ->
         def flush() -> pa.RecordBatch:
             nonlocal held, documents
             rows = [*classes(), *(lists() if fps else ())]
-            for x in (fps, sizes, prefixes, weights, seen, owners):
+            for x in (fps, sizes, prefixes, weights, seen, owners, drawn):
                 x.clear()
             held = documents = 0
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "payload"])
@@ -332,10 +384,12 @@ def _scan(docs: DataFrame, heavy: Heavy, buckets: int, k: int, percent: int) ->
             valid = b["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             owners.append((fp, np.diff(at), b["doc_id"].fill_null(0).to_numpy(), valid.astype(np.uint8)))
             documents += len(b)
+            sketch = sketches(flat, at)
             for i in np.flatnonzero(valid & (fp >= 0)).tolist():
                 name = int(fp[i])
                 if name not in seen:
                     seen.add(name)
+                    drawn[name] = sketch[i]
                     s, w, n = flat[at[i] : at[i + 1]], weight[at[i] : at[i + 1]], int(at[i + 1] - at[i])
                     order = np.argsort(w, kind="stable")[: n - needed(n, percent) + 1] if w.any() else slice(n - needed(n, percent) + 1)
                     fps.append(name)
@@ -351,15 +405,18 @@ def _scan(docs: DataFrame, heavy: Heavy, buckets: int, k: int, percent: int) ->
     return docs.mapInArrow(scan, "bucket int, kind int, payload binary")
 
 
-_FOUND = "kind int, a long, b long, ids array<long>"
+_FOUND = "kind int, a long, b long, ids array<long>, sketch binary"
 
 
 def _classes(payloads: list[bytes]) -> pa.Table:
-    """Kind 3: fingerprint, size and documents of a block's class; null for an empty set."""
+    """Kind 3: fingerprint, size, documents and sketch of a block's class; fingerprint and sketch are null for
+    an empty set, the sketch is for a class without any doc_id, too."""
     parts = [unpack(x) for x in payloads]
-    fp, n, size, doc, valid = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 5
+    fp, n, size, doc, valid, width, sketch = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 7
     ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(doc, pa.int64(), mask=valid == 0))
-    return pa.table({"kind": np.full(len(fp), 3, np.int32), "a": pa.array(fp, mask=fp < 0), "b": pa.array(n), "ids": ids})
+    raw, cuts = sketch.tobytes(), np.concatenate([[0], np.cumsum(width)]).astype(int).tolist()
+    drawn = pa.array([raw[i:j] or None for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    return pa.table({"kind": np.full(len(fp), 3, np.int32), "a": pa.array(fp, mask=fp < 0), "b": pa.array(n), "ids": ids, "sketch": drawn})
 
 
 def _lists(rows: pa.Table, percent: int) -> pa.Table:
@@ -391,22 +448,61 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(groups), np.int32), np.full(len(heads), 2, np.int32)])
     a = np.concatenate([pairs[:, 0], groups[:, 0], token[heads].astype(np.int64)])
     b = np.concatenate([pairs[:, 1], groups[:, 1], fp[heads]])
-    return pa.concat_tables([classes, pa.table({"kind": kind, "a": a, "b": b, "ids": pa.nulls(len(a), pa.list_(pa.int64()))}).cast(classes.schema)])
+    return pa.concat_tables([classes, pa.table({"kind": kind, "a": a, "b": b, "ids": pa.nulls(len(a), pa.list_(pa.int64())), "sketch": pa.nulls(len(a), pa.binary())}).cast(classes.schema)])
+
+
+def _likely_pairs(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can be links by their sketches."""
+    side = lambda c: drawn.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"of_{c}"))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, x, y = (b[c].to_pylist() for c in ("n_a", "n_b", "of_a", "of_b"))
+            kept = [bool(Sketches(np.array([j]), [v]).likely(i, u, percent)[0]) for i, j, u, v in zip(n, m, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(sift, "a long, b long")
+
+
+def _slot(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(WANTED_SLOTS)).cast("int")
+
+
+def _map_of(chosen: DataFrame) -> np.ndarray:
+    """The slots of chosen(doc_id), as bits: a map of fixed size, made in parts."""
+
+    def mark(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(WANTED_PART, bool)
+        bits[rows["slot"].to_numpy() % WANTED_PART] = True
+        return pa.table({"part": rows["part"][:1], "bits": pa.array([pack(np.packbits(bits))], pa.binary())})
+
+    slots = chosen.select(_slot().alias("slot")).distinct().select((F.col("slot") / WANTED_PART).cast("int").alias("part"), "slot")
+    out = np.zeros((WANTED_SLOTS // WANTED_PART, WANTED_PART // 8), np.uint8)
+    for r in slots.groupBy("part").applyInArrow(mark, "part int, bits binary").collect():
+        (out[r.part],) = unpack(r.bits)
+    return out.reshape(-1)
 
 
 def _class_texts(docs: DataFrame, least: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """fp and the compressed text of the least document of each wanted class."""
+    """fp and the compressed text of the least document of each wanted class. A map of their ids keeps nearly
+    all other texts out of the join."""
     chosen = least.where("doc_id is not null").join(wanted, "fp", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(_map_of(chosen))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd, hashes = zstandard.ZstdCompressor(level=3), WordHashes()
         for b in batches:
+            slot = b["slot"].to_numpy()
+            b = b.filter(pa.array((sent.value[slot >> 3] << (slot & 7).astype(np.uint8)) & 128 > 0, pa.bool_()))
+            if not len(b):
+                continue
             texts = as_bytes(b["text"])
             # Rows may share a doc_id: the class's own text is the one with its fingerprint.
-            own = pa.array(fingerprints(*shingle_sets(texts, hashes, k)) == b["fp"].to_numpy())
-            yield pa.RecordBatch.from_arrays([b["fp"], pa.array([zstd.compress(t) for t in texts], pa.binary())], ["fp", "packed"]).filter(own)
+            own = pa.array(fingerprints(*shingle_sets(texts, hashes, k)), pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], own, pa.array([zstd.compress(t) for t in texts], pa.binary())], ["doc_id", "fp", "packed"])
 
-    return docs.join(chosen, "doc_id").select("fp", "text").mapInArrow(squeeze, "fp long, packed binary")
+    texts = docs.where("doc_id is not null").select("doc_id", "text", _slot().alias("slot")).mapInArrow(squeeze, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, packed binary")
+    return texts.join(chosen, ["doc_id", "fp"]).select("fp", "packed")
 
 
 def _made_sets(packed: pa.ChunkedArray, heavy: Heavy, k: int) -> list[np.ndarray]:
@@ -435,36 +531,76 @@ def _star_links(pairs: DataFrame, texts: DataFrame, made_sets, percent: int) ->
     return members.unionByName(heads).groupBy("a", "part").applyInArrow(probe, "a long, b long")
 
 
-def _group_links(members: DataFrame, labels: DataFrame, texts: DataFrame, made_sets, percent: int) -> DataFrame:
-    """Links between different components within the groups (list, fp)."""
+def _mixed_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (major, fp, component, asks) of the groups (list, fp) that lie in several components."""
     labelled = members.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("list", "fp", F.coalesce("component", "fp").alias("component"))
     # Of a group the largest component is known to hang together: only the others' members ask.
     # Groups with the same largest component are one, so a family's texts are sent about once.
     counts = labelled.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    rows = labelled.join(mixed.select("list", "major"), "list").select("major", "fp", "component").distinct()
-    sizes = rows.groupBy("major").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("component") != F.col("major")).alias("asking"))
+    return labelled.join(mixed.select("list", "major"), "list").select("major", "fp", "component", (F.col("component") != F.col("major")).alias("asks")).distinct()
+
+
+def _in_cells(rows: DataFrame, drawn: DataFrame, most: int) -> DataFrame:
+    """rows(major, fp, component, asks) with n, once for each cell (i, j) that they are asked or ask in;
+    the members on one side of a cell have about ``most`` shingles."""
+    rows = rows.join(drawn.select("fp", "n"), "fp")
+    sizes = rows.groupBy("major").agg(F.sum("n").alias("size"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)).alias("asking"))
     rows = rows.join(sizes, "major")
-    parts = lambda c: F.greatest(F.ceil(F.col(c) / GROUP).cast("int"), F.lit(1))
-    rows = rows.select("major", "fp", "component", (F.col("component") != F.col("major")).alias("asks"), parts("size").alias("rows"), parts("asking").alias("columns"))
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / most).cast("int"), F.lit(1))
+    rows = rows.select("major", "fp", "n", "component", "asks", parts("size").alias("rows"), parts("asking").alias("columns"))
     rows = rows.withColumns({"own_i": F.pmod(F.xxhash64("fp"), "rows").cast("int"), "own_j": F.pmod(F.xxhash64("fp"), "columns").cast("int")})
     # A member is asked in its row of cells and, if it asks, asks in its column of cells.
     asked = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
     asking = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
     cells = F.when(F.col("asks"), F.array_union(asked, asking)).otherwise(asked)
-    met = rows.select("major", "fp", "component", "asks", "own_i", "own_j", F.explode(cells).alias("cell")).select("*", "cell.i", "cell.j").drop("cell")
-    placed = met.join(texts, "fp").select("major", "i", "j", "asks", "own_i", "own_j", "fp", "component", "packed")
+    return rows.select("major", "fp", "n", "component", "asks", "own_i", "own_j", F.explode(cells).alias("cell")).select("*", "cell.i", "cell.j").drop("cell")
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a cell's rows that are asked, and of those that ask."""
+    asked = np.flatnonzero(rows["own_i"].to_numpy() == rows["i"].to_numpy())
+    return asked, np.flatnonzero(rows["asks"].to_numpy() & (rows["own_j"].to_numpy() == rows["j"].to_numpy()))
+
+
+def _likely_groups(groups: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Of groups(major, fp, component, asks) the members that sketches leave a link with another component of their
+    group, and whether they ask for one."""
+
+    def sift(rows: pa.Table) -> pa.Table:
+        comps, size, raw = rows["component"].to_numpy(), rows["n"].to_numpy(), rows["sketch"].to_pylist()
+        (asked, asking), kept = _sides(rows), {}
+        table, of_asked = Sketches(size[asked], [raw[t] for t in asked]), comps[asked]
+        for q in asking.tolist():
+            met = asked[table.likely(int(size[q]), raw[q], percent) & (of_asked != comps[q])].tolist()
+            if met:
+                kept |= {q: True} | {t: kept.get(t, False) for t in met}
+        at = pa.array(list(kept), pa.int64())
+        return rows.select(["major", "fp", "component"]).take(at).append_column("asks", pa.array(list(kept.values()), pa.bool_()))
+
+    placed = _in_cells(groups, drawn, SKETCH_CELL).join(drawn.select("fp", "sketch"), "fp")
+    found = placed.groupBy("major", "i", "j").applyInArrow(sift, "major long, fp long, component long, asks boolean")
+    return found.groupBy("major", "fp", "component").agg(F.bool_or("asks").alias("asks"))
+
+
+def _group_links(groups: DataFrame, drawn: DataFrame, texts: DataFrame, made_sets: Callable, percent: int) -> DataFrame:
+    """Links between different components within groups(major, fp, component, asks)."""
+    placed = _in_cells(groups, drawn, SET_CELL).join(texts, "fp")
 
     def compare(rows: pa.Table) -> pa.Table:
         fps, comps = rows["fp"].to_pylist(), rows["component"].to_pylist()
-        asked = np.flatnonzero(rows["own_i"].to_numpy() == rows["i"].to_numpy())
-        asking = np.flatnonzero(rows["asks"].to_numpy() & (rows["own_j"].to_numpy() == rows["j"].to_numpy()))
+        asked, asking = _sides(rows)
         made = made_sets(rows["packed"])
         places = {c: n for n, c in enumerate(dict.fromkeys(comps))}
         union, group = Union(len(places)), [places[c] for c in comps]
         tree, found = PrefixTree([made[n] for n in asked]), []
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        raw = sketches(np.concatenate(made), at)
+        table = Sketches(sizes[asked], [raw[t] for t in asked])
         for q in asking:
-            for t in tree.probe(np.sort(made[q]), percent, lambda t, q=q: union.find(group[asked[t]]) == union.find(group[q])):
+            likely = table.likely(len(made[q]), raw[q], percent)
+            for t in tree.probe(np.sort(made[q]), percent, lambda t, q=q, likely=likely: not likely[t] or union.find(group[asked[t]]) == union.find(group[q])):
                 if union.join(group[asked[t]], group[q]):
                     found.append((fps[q], fps[asked[t]]))
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
@@ -490,16 +626,24 @@ def similarity_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -
     first = heads.groupBy("a").agg(F.min("b").alias("first"))
     pairs = pairs.union(heads.join(first, "a").where("b != first").select("first", "b")).distinct()
     wanted = found.where("kind < 2").select(F.explode(F.array(F.when(F.col("kind") == 0, F.col("a")), F.col("b"))).alias("fp")).where("fp is not null").distinct()
-    texts = materialize(_class_texts(docs, least, wanted, k), "texts")
+    drawn = found.where("kind = 3 and sketch is not null").select(F.col("a").alias("fp"), F.col("b").alias("n"), "sketch")
+    drawn = materialize(drawn.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sketches")
+    pairs = materialize(_likely_pairs(pairs, drawn, percent), "pairs")
+    texts = materialize(_class_texts(docs, least, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), k), "texts")
     sent = spark.sparkContext.broadcast(heavy)
     made_sets = lambda packed: _made_sets(packed, sent.value, k)
     stars = materialize(_star_links(pairs, texts, made_sets, percent), "links")
     labels = components(stars)
-    more = materialize(_group_links(members, labels, texts, made_sets, percent), "links")
-    discard(texts)
-    if more.limit(1).count():
-        discard(labels)
-        labels = components(stars.union(more))
+    groups = materialize(_likely_groups(_mixed_groups(members, labels), drawn, percent), "groups")
+    if groups.limit(1).count():
+        others = materialize(_class_texts(docs, least, groups.select("fp").distinct().join(texts, "fp", "left_anti"), k), "texts")
+        more = materialize(_group_links(groups, drawn, texts.union(others), made_sets, percent), "links")
+        discard(others)
+        if more.limit(1).count():
+            discard(labels)
+            labels = components(stars.union(more))
+    for done in (texts, drawn, pairs, groups):
+        discard(done)
     named = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
     of_component = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = classes.join(named.join(of_component, "component").select("fp", "component_id"), "fp", "left")
